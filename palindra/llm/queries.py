@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, token_store
+from . import fingerprints, mixing, quality, token_store, toxicity, warc
 
 QUERIES = {
+    "op1_fingerprint": fingerprints.op1_fingerprint,
     "op5_token_store": token_store.op5_token_store,
+    "op6_quality": quality.op6_quality,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_warc": warc.op9_warc,
     "op10_mix": mixing.op10_mix,
 }
 
 SQL = {
+    "op9_warc": warc.OP9_SQL,
     "op10_mix": mixing.OP10_SQL,
 }
