@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, quality, token_store, toxicity, warc
+from . import fingerprints, mixing, packing, quality, token_store, toxicity, warc
 
 QUERIES = {
     "op1_fingerprint": fingerprints.op1_fingerprint,
+    "op3_packing": packing.op3_packing,
     "op5_token_store": token_store.op5_token_store,
     "op6_quality": quality.op6_quality,
     "op8_toxicity": toxicity.op8_toxicity,
