@@ -52,7 +52,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("nulls"))
     before = W.orderBy(F.desc("nulls"), F.asc_nulls_first("low"), "file").rowsBetween(W.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return rows.join(files, "file").select("doc_id", (F.col("offset") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
+    # one row a file: the ids stay where they were read
+    return rows.join(F.broadcast(files), "file").select("doc_id", (F.col("offset") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
