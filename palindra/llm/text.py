@@ -70,18 +70,21 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs where ``inside`` holds, never across two texts."""
+def runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs where ``inside`` holds, never across two texts.
+
+    ``cut[i]`` also parts byte i from byte i+1.
+    """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    edge = np.ones(len(data) + 1, bool)
-    edge[1:-1] = ~inside[:-1]
-    full = offsets[:-1][np.diff(offsets) > 0]
-    edge[full] = True
-    starts = np.flatnonzero(inside & edge[:-1])
-    edge[1:-1] = ~inside[1:]
-    edge[full] = True
-    return starts, np.flatnonzero(inside & edge[1:]) + 1
+    parted = np.zeros(len(data) + 1, bool)
+    parted[offsets] = True
+    if cut is not None:
+        parted[1:-1] |= cut[: len(data) - 1]
+    starts, ends = parted[:-1].copy(), parted[1:]
+    starts[1:] |= ~inside[:-1]
+    ends[:-1] |= ~inside[1:]
+    return np.flatnonzero(inside & starts), np.flatnonzero(inside & ends) + 1
 
 
 def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:

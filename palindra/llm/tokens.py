@@ -12,7 +12,7 @@ import pyarrow as pa
 
 from . import text
 
-KEEP = 400_000
+KEEP = 1_000_000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _SIGN = np.zeros(256, bool)
@@ -27,42 +27,71 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.begin, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.used = 0
+
+    def whole(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of the values, each encoded by itself."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(values, add_special_tokens=False)]
+        return np.array([i for ids in lists for i in ids], np.uint32), np.array([len(x) for x in lists], np.int64)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Add the ids of new pieces. Words of letters alone are encoded many at a time: each ends with
+        its only word-end token; if the count of those disagrees they are encoded one by one."""
+        letters = [p for p in pieces if p.isalpha()]
+        rest = [p for p in pieces if not p.isalpha()]
+        for at in range(0, len(letters), 1000):
+            group = letters[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else ids
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                self._add(group, ids, np.diff(ends, prepend=0))
+            else:
+                self._add(group, *self.whole(group))
+        if rest:
+            self._add(rest, *self.whole(rest))
+
+    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.known)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while n + len(pieces) > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.size[n : n + len(pieces)] = sizes
+        self.begin[n : n + len(pieces)] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.known.update(zip(pieces, range(n, n + len(pieces))))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): text d has ``ids[first[d]:first[d+1]]``; null counts as empty."""
         data, offsets = text.flat(texts)
         if b"<|" in data.tobytes():
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
-            return np.array([i for ids in lists for i in ids], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+            ids, sizes = self.whole([t or "" for t in texts.to_pylist()])
+            return ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         data = text._LOWER[data]
-        starts, ends = _pieces(data, offsets)
+        letter, sign = _LETTER[data], _SIGN[data]
+        starts, ends = text.runs(data, offsets, ~text._SPACE[data], letter[:-1] & sign[1:] | sign[:-1] & letter[1:])
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         coded = text.strings(data, starts, ends).dictionary_encode()
         pieces = coded.dictionary.to_pylist()
         if len(self.known) > KEEP:
-            self.known.clear()
-        new = [p for p in pieces if p not in self.known]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, np.uint32).tobytes()
-        parts = [self.known[p] for p in pieces]
-        pool = np.frombuffer(b"".join(parts), np.uint32)
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        begin = np.cumsum(size) - size
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        each = size[codes]
+            self.forget()
+        if new := [p for p in pieces if p not in self.known]:
+            self.learn(new)
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[coded.indices.to_numpy(zero_copy_only=False)]
+        each = self.size[at]
         upto = np.concatenate([[0], np.cumsum(each)])
-        take = np.repeat(begin[codes] - upto[:-1], each) + np.arange(upto[-1])
-        return pool[take], upto[np.searchsorted(starts, offsets)]
-
-
-def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts, ends = text.runs(data, offsets, ~text._SPACE[data])
-    letter, sign = _LETTER[data], _SIGN[data]
-    cut = np.flatnonzero(letter[:-1] & sign[1:] | sign[:-1] & letter[1:]) + 1
-    inner = np.setdiff1d(cut, offsets, assume_unique=False)
-    return np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
+        take = np.repeat(self.begin[at] - upto[:-1], each) + np.arange(upto[-1])
+        return self.pool[take], upto[np.searchsorted(starts, offsets)]
 
 
 def encoder(path: str) -> Encoder:
