@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, packing, quality, token_store, toxicity, warc
+from . import fingerprints, mixing, near_dups, packing, quality, token_store, toxicity, warc
 
 QUERIES = {
     "op1_fingerprint": fingerprints.op1_fingerprint,
+    "op2_near_dups": near_dups.op2_near_dups,
     "op3_packing": packing.op3_packing,
     "op5_token_store": token_store.op5_token_store,
     "op6_quality": quality.op6_quality,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_near_dups": near_dups.OP2_SQL,
     "op9_warc": warc.OP9_SQL,
     "op10_mix": mixing.OP10_SQL,
 }
