@@ -75,6 +75,8 @@ def bloom(rows: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits:
         for spot in _bits(hashes(batch), bits):
             np.bitwise_or.at(table, (spot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (spot & np.uint64(63)))
 
+    # one table a slot of the cluster, not one a shuffle partition
+    rows = rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism))
     return gather(rows, fill, 1 << (bits - 6), np.uint64, np.bitwise_or)
 
 

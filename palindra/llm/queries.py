@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, near_dups, packing, quality, token_store, toxicity, warc
+from . import fingerprints, line_dedup, mixing, near_dups, packing, quality, token_store, toxicity, warc
 
 QUERIES = {
     "op1_fingerprint": fingerprints.op1_fingerprint,
     "op2_near_dups": near_dups.op2_near_dups,
     "op3_packing": packing.op3_packing,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_token_store": token_store.op5_token_store,
     "op6_quality": quality.op6_quality,
     "op8_toxicity": toxicity.op8_toxicity,
