@@ -75,12 +75,11 @@ def thresholds(docs: DataFrame, budget: DataFrame) -> DataFrame:
     return open_.select("source", F.when(near, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("threshold"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row of ``docs``.
+def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, DataFrame]:
+    """(sizes, sources): (doc_id, source, size, hash) of every row, and what to take of every source.
 
-    Null texts have size 0, a null source is a source of its own, equal ids are taken alike (they
-    share their hash), an empty table gives no rows, and other columns are ignored. The only
-    difference between taken words and target is at most half the words of one hash value.
+    A source has (source, source_size, target, whole, threshold): all its documents ``whole`` times,
+    and once more those whose hash is at most the threshold.
     """
     rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     rows = storage.materialize(rows.withColumn("hash", unit_hash(F.col("doc_id"))), "mix-sizes")
@@ -89,10 +88,36 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     per = per.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     cut = storage.materialize(thresholds(rows.where("size > 0"), per.where("rest > 0").select("source", "rest")), "mix-thresholds")
     per, cut = per.alias("p"), cut.alias("c")
-    per = per.join(cut, F.col("p.source").eqNullSafe(F.col("c.source")), "left").select("p.*", F.coalesce("threshold", F.lit(-1)).alias("threshold"))
+    per = per.join(cut, F.col("p.source").eqNullSafe(F.col("c.source")), "left").select("p.source", "p.source_size", "p.target", "p.whole", F.coalesce("threshold", F.lit(-1)).alias("threshold"))
+    return rows, storage.materialize(per, "mix-sources")
+
+
+def _times(hash_: Column) -> Column:
+    return F.col("s.whole") + (hash_ <= F.col("s.threshold")).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) for every row of ``docs``.
+
+    Null texts have size 0, a null source is a source of its own, equal ids are taken alike (they
+    share their hash), an empty table gives no rows, and other columns are ignored. The only
+    difference between taken words and target is at most half the words of one hash value.
+    """
+    rows, per = plan(docs, weights, share, most)
     out = rows.alias("d").join(per.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    times = F.col("s.whole") + (F.col("d.hash") <= F.col("s.threshold")).cast("long")
-    return out.select("d.doc_id", "d.source", "d.size", "s.source_size", "s.target", (times * F.col("d.size")).alias("taken"))
+    return out.select("d.doc_id", "d.source", "d.size", "s.source_size", "s.target", (_times(F.col("d.hash")) * F.col("d.size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them: none, once or more, columns unchanged.
+
+    The table of sources is small and written, so Spark broadcasts it by its size; texts stay in place.
+    """
+    _, per = plan(docs, weights, share, most)
+    out = docs.alias("d").join(per.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    times = _times(unit_hash(F.col("d.doc_id"))).cast("int")
+    out = out.select("d.*", F.explode(F.array_repeat(F.lit(0), times)).alias("_copy"))
+    return out.drop("_copy")
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,6 +204,13 @@ def groups(docs: DataFrame, size: int = SIZE, least: tuple[int, int] = LEAST, lo
     return out
 
 
+def kept(docs: DataFrame, size: int = SIZE, least: tuple[int, int] = LEAST, lower: bool = False) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their group; rows with a null id stay."""
+    ids = groups(docs, size, least, lower).where("doc_id = component_id").select("doc_id").distinct()
+    known = docs.join(ids, "doc_id", "left_semi").select(docs.columns)
+    return known.union(docs.where("doc_id IS NULL"))
+
+
 def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, (85, 100), lower=True)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

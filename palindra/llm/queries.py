@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, line_dedup, mixing, near_dups, packing, quality, token_store, toxicity, warc
+from . import fingerprints, line_dedup, mixing, near_dups, packing, quality, suffix_dedup, token_store, toxicity, warc
 
 QUERIES = {
     "op1_fingerprint": fingerprints.op1_fingerprint,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_token_store": token_store.op5_token_store,
     "op6_quality": quality.op6_quality,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_warc": warc.op9_warc,
     "op10_mix": mixing.op10_mix,
