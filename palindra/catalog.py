@@ -1,6 +1,515 @@
-"""Registry of the library's own queries over the driver's tables, with their SQL twins."""
+"""Registry of the library's own queries over the driver's tables, with their SQL twins.
+
+The driver's tables stand in for spectra, proteins and peptides: orders are precursors (even keys
+the first digest, odd keys the mirror), lineitem holds peaks of the spectra named by supplier,
+documents are proteins and benchmark passages give peptides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palindra import chemistry
+from palindra.functions import peaks as P
+from palindra.functions import sequences as S
+from palindra.operators import mapping, merging, recall, statistics
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query by its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- precursors ---------------------------------------------------------------------------------
+
+
+def precursors(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
+    """(id, mh, rt): orders of one parity."""
+    rows = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 2 == side)
+    return rows.select(F.col("o_orderkey").alias("id"), (300 + F.col("o_totalprice") / 200).alias("mh"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("double").alias("rt"))
+
+
+_K, _R = chemistry.K, chemistry.R
+_TYPES = ", ".join(f"({c}, {d!r}::DOUBLE)" for c, d in chemistry.recall_types())
+_PRECURSORS = f"""
+p AS (SELECT o_orderkey AS id, 300 + o_totalprice / 200 AS mh, CAST(epoch(o_orderdate) AS DOUBLE) AS rt FROM orders),
+t(code, delta) AS (VALUES {_TYPES}),
+c AS (SELECT a.id AS a_id, b.id AS b_id, t.code AS type_code, a.mh AS a_mh, b.mh AS b_mh
+      FROM p a CROSS JOIN t JOIN p b ON b.mh BETWEEN a.mh - t.delta - 0.2 AND a.mh - t.delta + 0.2
+      WHERE a.id % 2 = 0 AND b.id % 2 = 1 AND a.mh BETWEEN 300 AND 3500 AND b.mh BETWEEN 300 AND 3500
+        AND abs(a.mh - t.delta - b.mh) <= (a.mh + b.mh) * 20.0::DOUBLE * 1e-6::DOUBLE AND abs(a.rt - b.rt) <= 2592000)
+"""
+_WINDOW = 2_592_000.0
+
+
+@query(
+    "SELECT o_orderkey AS id, round((o_totalprice / 1000 + 100 - 1.00727645224::DOUBLE) * (o_custkey % 3 + 1) + 1.00727645224::DOUBLE, 6) AS mh FROM orders "
+    "WHERE (o_totalprice / 1000 + 100 - 1.00727645224::DOUBLE) * (o_custkey % 3 + 1) + 1.00727645224::DOUBLE BETWEEN 300 AND 3500"
+)
+def mh_projection(spark, sf_dir):
+    """MH+ of charged precursors inside the mass range."""
+    mass = recall.mh(F.col("o_totalprice") / 1000 + 100, F.col("o_custkey") % 3 + 1)
+    return table(spark, sf_dir, "orders").where(recall.in_range(mass)).select(F.col("o_orderkey").alias("id"), F.round(mass, 6).alias("mh"))
+
+
+@query(f"WITH {_PRECURSORS} SELECT a_id, b_id, type_code, round(a_mh, 6) AS a_mh, round(b_mh, 6) AS b_mh FROM c")
+def mirror_candidates(spark, sf_dir):
+    """All mirror candidate pairs within 20 ppm and the retention window."""
+    found = recall.mirror_candidates(precursors(spark, sf_dir, 0), precursors(spark, sf_dir, 1), rt=_WINDOW)
+    return found.select("a_id", "b_id", "type_code", F.round("a_mh", 6).alias("a_mh"), F.round("b_mh", 6).alias("b_mh"))
+
+
+@query(f"WITH {_PRECURSORS} SELECT type_code, count(*) AS n, count(DISTINCT a_id) AS n_a, count(DISTINCT b_id) AS n_b FROM c GROUP BY type_code")
+def mirror_candidates_by_type(spark, sf_dir):
+    found = recall.mirror_candidates(precursors(spark, sf_dir, 0), precursors(spark, sf_dir, 1), rt=_WINDOW)
+    return found.groupBy("type_code").agg(F.count("*").alias("n"), F.countDistinct("a_id").alias("n_a"), F.countDistinct("b_id").alias("n_b"))
+
+
+# ---- peaks --------------------------------------------------------------------------------------
+
+
+def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(spectrum, mass, peaks): peaks in m/z order; mass is a precursor's MH+."""
+    peak = F.struct((100 + F.col("l_extendedprice") / 60).alias("mz"), F.col("l_quantity").alias("inten"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("j"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("spectrum")).agg(F.array_sort(F.collect_list(peak)).alias("peaks"))
+    return rows.withColumn("mass", (1000 + F.col("spectrum") % 50 * 10).cast("double"))
+
+
+_PEAKS = "p AS (SELECT l_suppkey AS spectrum, 100 + l_extendedprice / 60 AS mz, l_quantity AS inten, l_orderkey AS k, l_linenumber AS j, CAST(1000 + l_suppkey % 50 * 10 AS DOUBLE) AS mass FROM lineitem)"
+
+
+def listed(rows: DataFrame, peaks: str = "peaks") -> DataFrame:
+    return rows.select("spectrum", F.explode(peaks).alias("p")).select("spectrum", F.round("p.mz", 6).alias("mz"), F.col("p.inten").alias("inten"), F.col("p.k").alias("k"), F.col("p.j").alias("j"))
+
+
+@query(f"WITH {_PEAKS} SELECT spectrum, round(mz, 6) AS mz, inten, k, j FROM p QUALIFY row_number() OVER (PARTITION BY spectrum ORDER BY inten DESC, mz DESC, k DESC, j DESC) <= 200")
+def peak_topn(spark, sf_dir):
+    """The 200 strongest peaks of every spectrum."""
+    return listed(spectra(spark, sf_dir).withColumn("peaks", P.top(F.col("peaks"), 200)))
+
+
+@query(f"WITH {_PEAKS} SELECT spectrum, round(mz, 6) AS mz, inten, k, j FROM p QUALIFY row_number() OVER (PARTITION BY spectrum, floor(mz / 100) ORDER BY inten DESC, mz DESC, k DESC, j DESC) <= 7")
+def peak_topk_per_bin(spark, sf_dir):
+    """The seven strongest peaks of every 100 Da."""
+    rows = spectra(spark, sf_dir).withColumn("ordered", P.by_bin(F.col("peaks"), 100.0))
+    return listed(rows.select("spectrum", P.top_by_bin(F.col("ordered"), 7).alias("peaks")))
+
+
+@query(
+    f"WITH {_PEAKS}, w AS (SELECT *, min(inten) OVER (PARTITION BY spectrum) AS lo, max(inten) OVER (PARTITION BY spectrum) AS hi FROM p) "
+    "SELECT spectrum, k, j, round(pow(CASE WHEN hi = lo THEN inten / hi ELSE (inten - lo) / (hi - lo) END * 10000, 0.5), 6) AS scaled FROM w"
+)
+def peak_normalize_sqrt(spark, sf_dir):
+    """Min-max scaled square-rooted intensities."""
+    rows = spectra(spark, sf_dir).withColumns({"lo": F.array_min(F.transform("peaks", lambda p: p.inten)), "hi": F.array_max(F.transform("peaks", lambda p: p.inten))})
+    return rows.select("spectrum", "lo", "hi", F.explode("peaks").alias("p")).select("spectrum", F.col("p.k").alias("k"), F.col("p.j").alias("j"), F.round(P.scaled(F.col("p.inten"), F.col("lo"), F.col("hi")), 6).alias("scaled"))
+
+
+_BANDS = ", ".join(f"({lo}, {hi})" for lo, hi in P.immonium_bands())
+
+
+@query(
+    f"WITH {_PEAKS}, b(lo, hi) AS (VALUES {_BANDS}), q AS (SELECT *, row_number() OVER (PARTITION BY spectrum ORDER BY mz, inten, k, j) AS i FROM p), "
+    "h AS (SELECT spectrum, max(CASE WHEN i > 1 AND mz > 200 THEN 1 ELSE 0 END) = 1 AND min(mz) <= 200 AS heavy FROM q GROUP BY spectrum) "
+    "SELECT q.spectrum, round(mz, 6) AS mz, inten, k, j FROM q JOIN h ON h.spectrum = q.spectrum WHERE mz > 20 AND mz < mass - 50 AND "
+    "(NOT heavy OR mz > 200 OR NOT EXISTS (SELECT 1 FROM b WHERE floor(q.mz * 100000 + 0.5) BETWEEN b.lo AND b.hi))"
+)
+def peak_filter_bands(spark, sf_dir):
+    """Peaks without the precursor region and the immonium bands."""
+    rows = spectra(spark, sf_dir).withColumn("peaks", P.without_immonium(F.col("peaks")))
+    return listed(rows.withColumn("peaks", P.trimmed(F.col("peaks"), F.col("mass"))))
+
+
+def _long_peaks(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("spectrum"), (100 + F.col("l_extendedprice") / 60).alias("mz"), F.col("l_quantity").alias("inten"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("j"))
+
+
+@query(
+    f"WITH {_PEAKS}, n AS (SELECT spectrum, count(*) AS n FROM p GROUP BY spectrum) "
+    "SELECT a.spectrum, a.k, a.j, round(CAST(count(b.mz) + 1 AS DOUBLE) / max(n.n), 9) AS local_rank FROM p a JOIN n ON n.spectrum = a.spectrum "
+    "LEFT JOIN p b ON b.spectrum = a.spectrum AND b.mz BETWEEN a.mz - 100 AND a.mz + 100 AND b.inten > a.inten GROUP BY a.spectrum, a.k, a.j, a.mz, a.inten"
+)
+def peak_local_rank(spark, sf_dir):
+    """Rank by intensity among the peaks within 100 of m/z, as a share of all peaks of the spectrum."""
+    n = F.size("peaks")
+
+    def rank(p):
+        higher = F.size(F.filter("peaks", lambda q: q.mz.between(p.mz - 100, p.mz + 100) & (q.inten > p.inten)))
+        return F.struct(p.k.alias("k"), p.j.alias("j"), F.round((higher + 1) / n, 9).alias("local_rank"))
+
+    return spectra(spark, sf_dir).select("spectrum", F.explode(F.transform("peaks", rank)).alias("p")).select("spectrum", "p.*")
+
+
+@query(f"WITH {_PEAKS} SELECT spectrum, k, j, round(inten / max(inten) OVER (PARTITION BY spectrum ORDER BY mz RANGE BETWEEN 50 PRECEDING AND 50 FOLLOWING), 6) AS local_share FROM p")
+def peak_local_relative(spark, sf_dir):
+    """Intensity relative to the strongest peak within 50 of m/z."""
+    from pyspark.sql import Window as W
+
+    near = W.partitionBy("spectrum").orderBy("mz").rangeBetween(-50, 50)
+    return _long_peaks(spark, sf_dir).select("spectrum", "k", "j", F.round(F.col("inten") / F.max("inten").over(near), 6).alias("local_share"))
+
+
+@query(
+    f"WITH {_PEAKS}, g AS (SELECT unnest(range(1, 11)) * 150.0::DOUBLE AS at), d AS (SELECT DISTINCT spectrum, mz FROM p) "
+    "SELECT d.spectrum, g.at, round(arg_min(d.mz, abs(d.mz - g.at) - CASE WHEN d.mz >= g.at THEN 1e-12 ELSE 0 END), 6) AS nearest FROM d CROSS JOIN g GROUP BY d.spectrum, g.at"
+)
+def peak_nearest(spark, sf_dir):
+    """The peak nearest to each of ten positions; of two equally near ones the one on the right."""
+    at = F.explode(F.array(*(F.lit(150.0 * k) for k in range(1, 11)))).alias("at")
+    rows = spectra(spark, sf_dir).select("spectrum", "peaks", at)
+    near = F.array_min(F.transform("peaks", lambda p: F.struct(F.abs(p.mz - F.col("at")).alias("d"), (p.mz < F.col("at")).alias("left"), p.mz.alias("mz"))))
+    return rows.select("spectrum", "at", F.round(near["mz"], 6).alias("nearest"))
+
+
+@query(
+    f"WITH {_PEAKS}, q AS (SELECT *, row_number() OVER (PARTITION BY spectrum ORDER BY mz, inten, k, j) AS i FROM p) "
+    "SELECT spectrum, round(mass + 1.007276::DOUBLE - mz, 6) AS mz, round(1 / (1 + exp(-CAST(i AS DOUBLE))), 6) AS weight FROM q WHERE mass + 1.007276::DOUBLE - mz > 0"
+)
+def complement_peaks(spark, sf_dir):
+    """Complementary peaks with rank weights."""
+    rows = spectra(spark, sf_dir).select("spectrum", F.explode(P.complements(F.col("peaks"), F.col("mass"))).alias("p"))
+    return rows.select("spectrum", F.round("p.mz", 6).alias("mz"), F.round("p.weight", 6).alias("weight"))
+
+
+@query(
+    f"WITH {_PEAKS}, s AS (SELECT *, row_number() OVER (PARTITION BY spectrum ORDER BY inten DESC, mz DESC, k DESC, j DESC) AS r FROM p), "
+    "a AS (SELECT *, 1 / (1 + exp(-CAST(row_number() OVER (PARTITION BY spectrum ORDER BY mz, inten, k, j) AS DOUBLE))) AS w FROM s WHERE r <= 20), "
+    "h AS (SELECT x.spectrum AS a_id, y.spectrum AS b_id, CAST(trunc((x.mz - y.mz) / 0.04 + sign(x.mz - y.mz) * 0.5) AS BIGINT) AS bin, "
+    "sum(x.w * y.w) AS weight, sum(x.w * y.w * (x.inten + y.inten)) AS strength FROM a x JOIN a y ON y.spectrum = x.spectrum + 1 "
+    "WHERE x.spectrum % 2 = 0 AND abs(x.mz - y.mz) <= 200 GROUP BY 1, 2, 3) "
+    "SELECT a_id, b_id, bin, round(weight * strength, 4) AS score FROM h"
+)
+def delta_histogram(spark, sf_dir):
+    """Score of every mass difference between two spectra: the native twin of the pair kernel, on 20 peaks each."""
+    top = spectra(spark, sf_dir).select("spectrum", P.top(F.col("peaks"), 20).alias("peaks"))
+    top = top.withColumn("w", P.rank_weights(F.col("peaks"))).select("spectrum", F.explode(F.arrays_zip("peaks", "w")).alias("x"))
+    side = lambda s: top.select(F.col("spectrum").alias(f"{s}_id"), F.col("x.peaks.mz").alias(f"{s}_mz"), F.col("x.peaks.inten").alias(f"{s}_inten"), F.col("x.w").alias(f"{s}_w"))
+    gap = F.col("a_mz") - F.col("b_mz")
+    b = side("b").withColumn("a_id", F.col("b_id") - 1)
+    rows = side("a").where("a_id % 2 = 0").join(b, "a_id").where(F.abs(gap) <= 200)
+    scaled = gap / 0.04 + F.signum(gap) * 0.5
+    bin_ = F.when(scaled >= 0, F.floor(scaled)).otherwise(F.ceil(scaled)).cast("long")
+    w = F.col("a_w") * F.col("b_w")
+    out = rows.groupBy("a_id", "b_id", bin_.alias("bin")).agg(F.sum(w).alias("weight"), F.sum(w * (F.col("a_inten") + F.col("b_inten"))).alias("strength"))
+    return out.select("a_id", "b_id", "bin", F.round(F.col("weight") * F.col("strength"), 4).alias("score"))
+
+
+# ---- statistics ---------------------------------------------------------------------------------
+
+
+def _scored(spark, sf_dir):
+    """(id, target_p, decoy_p) of line items: two columns that separate a part of the rows."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 100_000 * (1 - F.col("l_discount"))).alias("target_p"), (F.col("l_quantity") / 50 + F.col("l_tax")).alias("decoy_p"))
+
+
+_SCORED = "s AS (SELECT l_orderkey, l_linenumber, l_extendedprice / 100000 * (1 - l_discount) AS target_p, l_quantity / 50 + l_tax AS decoy_p FROM lineitem)"
+_FDR = (
+    f"WITH {_SCORED}, p AS (SELECT *, least(target_p, decoy_p) AS p, target_p < decoy_p AS is_target FROM s), "
+    "f AS (SELECT *, CAST(1 + sum(CASE WHEN is_target THEN 0 ELSE 1 END) OVER w AS DOUBLE) / greatest(sum(CASE WHEN is_target THEN 1 ELSE 0 END) OVER w, 1) AS fdr FROM p "
+    "WINDOW w AS (ORDER BY p, l_orderkey, l_linenumber, decoy_p, target_p ROWS UNBOUNDED PRECEDING)), "
+    "q AS (SELECT *, min(fdr) OVER (ORDER BY p, l_orderkey, l_linenumber, decoy_p, target_p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM f) "
+)
+
+
+@query(_FDR + "SELECT l_orderkey, l_linenumber, is_target, round(fdr, 6) AS fdr, round(q, 6) AS q FROM q")
+def fdr_qvalue(spark, sf_dir):
+    rows = statistics.q_values(_scored(spark, sf_dir), "target_p", "decoy_p", ["l_orderkey", "l_linenumber", "decoy_p", "target_p"])
+    return rows.select("l_orderkey", "l_linenumber", "is_target", F.round("fdr", 6).alias("fdr"), F.round("q", 6).alias("q"))
+
+
+@query(_FDR + "SELECT count(*) AS n, round(max(p), 6) AS worst_p FROM q WHERE is_target AND q <= 0.1")
+def fdr_accept(spark, sf_dir):
+    rows = statistics.q_values(_scored(spark, sf_dir), "target_p", "decoy_p", ["l_orderkey", "l_linenumber", "decoy_p", "target_p"])
+    return statistics.accepted(rows, 0.1).agg(F.count("*").alias("n"), F.round(F.max("p"), 6).alias("worst_p"))
+
+
+@query(
+    "WITH r AS (SELECT l_suppkey AS spectrum, l_extendedprice * l_quantity AS score FROM lineitem), "
+    "k AS (SELECT spectrum, score, row_number() OVER (PARTITION BY spectrum ORDER BY score) - 1 AS place, count(*) OVER (PARTITION BY spectrum) AS n FROM r WHERE score > 0), "
+    "l AS (SELECT *, round_even(n * 0.9::DOUBLE, 0) - 1 AS low FROM k), z AS (SELECT *, n - 10 - low AS size FROM l), "
+    "t AS (SELECT spectrum, n, ln(score) AS x, ln(0.1::DOUBLE * (size - (place - low + 1) + 1) / size) AS y FROM z WHERE place >= low AND place < n - 10 AND size > 19) "
+    "SELECT spectrum, max(n) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 5) AS intercept FROM t GROUP BY spectrum"
+)
+def pair_pvalue_tail_fit(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("spectrum"), (F.col("l_extendedprice") * F.col("l_quantity")).alias("score"))
+    fit = statistics.tail_fit(rows, "spectrum", "score")
+    return fit.select("spectrum", "n", F.round("slope", 6).alias("slope"), F.round("intercept", 5).alias("intercept"))
+
+
+def _sweep(plus_one: bool) -> str:
+    rate = "CAST(n_decoy + 1 AS DOUBLE) / greatest(n_target, 1) * 100" if plus_one else "CAST(n_decoy AS DOUBLE) / (n_target + 1) * 100"
+    return (
+        "WITH s AS (SELECT p_name AS sequence, max(p_retailprice) AS mass, max(CASE WHEN p_size % 3 > 0 THEN 1 ELSE 0 END) AS t, max(CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END) AS d FROM part GROUP BY p_name), "
+        "g AS (SELECT unnest(range(0, 2001)) AS threshold), c AS (SELECT g.threshold, count(CASE WHEN t = 1 AND d = 0 THEN 1 END) AS n_target, count(CASE WHEN t = 0 AND d = 1 THEN 1 END) AS n_decoy "
+        f"FROM g LEFT JOIN s ON s.mass >= g.threshold GROUP BY g.threshold), r AS (SELECT *, {rate} AS rate FROM c) "
+        "SELECT threshold, n_target, n_decoy, round(rate, 6) AS rate, round(min(rate) OVER (ORDER BY threshold ROWS UNBOUNDED PRECEDING), 6) AS best_rate FROM r"
+    )
+
+
+def _sweep_rows(spark, sf_dir, plus_one):
+    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("sequence"), F.col("p_retailprice").alias("mass"), (F.col("p_size") % 3 > 0).alias("target"), (F.col("p_size") % 5 == 0).alias("decoy"))
+    out = statistics.threshold_sweep(rows, 2000, plus_one)
+    return out.select("threshold", "n_target", "n_decoy", F.round("rate", 6).alias("rate"), F.round("best_rate", 6).alias("best_rate"))
+
+
+@query(_sweep(True))
+def mass_threshold_sweep(spark, sf_dir):
+    return _sweep_rows(spark, sf_dir, True)
+
+
+@query(_sweep(False))
+def mass_threshold_sweep_pairs(spark, sf_dir):
+    return _sweep_rows(spark, sf_dir, False)
+
+
+@query(
+    "WITH c AS (SELECT count(CASE WHEN l_returnflag = 'R' AND l_discount > 0.05 THEN 1 END) AS tp, count(CASE WHEN l_returnflag <> 'R' AND l_discount > 0.05 THEN 1 END) AS fp, "
+    "count(CASE WHEN l_returnflag = 'R' AND NOT l_discount > 0.05 THEN 1 END) AS fn, count(CASE WHEN l_returnflag <> 'R' AND NOT l_discount > 0.05 THEN 1 END) AS tn FROM lineitem) "
+    "SELECT *, round(CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0 END, 6) AS precision, "
+    "round(CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn), 6) AS accuracy FROM c"
+)
+def confusion_matrix(spark, sf_dir):
+    return statistics.confusion(table(spark, sf_dir, "lineitem"), F.col("l_returnflag") == "R", F.col("l_discount") > 0.05)
+
+
+@query(
+    "WITH r AS (SELECT l_orderkey AS title, min(CASE WHEN l_returnflag = 'R' THEN l_linenumber END) AS best FROM lineitem GROUP BY l_orderkey), k AS (SELECT unnest(range(1, 11)) AS k) "
+    "SELECT k.k, count(CASE WHEN r.best <= k.k THEN 1 END) AS n_hit, count(*) AS n_title, round(CAST(count(CASE WHEN r.best <= k.k THEN 1 END) AS DOUBLE) / count(*), 6) AS recall FROM k CROSS JOIN r GROUP BY k.k"
+)
+def topk_recall(spark, sf_dir):
+    return statistics.topk_recall(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", F.col("l_returnflag") == "R")
+
+
+# ---- proteins and peptides ----------------------------------------------------------------------
+
+_LETTERS = "translate(upper(regexp_replace({0}, '[^A-Za-z]', '', 'g')), 'I', 'L')"
+
+
+def proteins(spark, sf_dir):
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("protein_id"), S.leucine(F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))).alias("seq"))
+
+
+def peptides(spark, sf_dir):
+    seq = S.leucine(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")))
+    parts = F.explode(F.array(*(F.substring("seq", at, 10) for at in (1, 9, 17, 25)), F.substring("seq", 3, 4), F.substring("seq", 5, 3)))
+    return table(spark, sf_dir, "benchmark").select(seq.alias("seq")).select(parts.alias("sequence")).where("length(sequence) in (3, 4, 10)").distinct()
+
+
+_MAPPED = f"""
+d AS (SELECT doc_id AS protein_id, {_LETTERS.format('text')} AS seq FROM documents),
+b AS (SELECT {_LETTERS.format('text')} AS seq FROM benchmark),
+x AS (SELECT DISTINCT sequence FROM (SELECT unnest([substr(seq, 1, 10), substr(seq, 9, 10), substr(seq, 17, 10), substr(seq, 25, 10), substr(seq, 3, 4), substr(seq, 5, 3)]) AS sequence FROM b) WHERE length(sequence) IN (3, 4, 10)),
+c AS (SELECT protein_id, c, substr(seq, 64 * c + 1, 73) AS part FROM (SELECT protein_id, seq, unnest(range(0, (length(seq) - 1) // 64 + 1)) AS c FROM d)),
+k AS (SELECT protein_id, 64 * c + i AS pos, substr(part, i + 1, 3) AS head, substr(part, i + 1, 10) AS ahead FROM (SELECT protein_id, c, part, unnest(range(0, least(64, length(part)))) AS i FROM c)),
+loc AS (SELECT x.sequence, k.protein_id, CAST(k.pos AS INTEGER) AS start, CAST(k.pos + length(x.sequence) AS INTEGER) AS "end" FROM x JOIN k ON k.head = substr(x.sequence, 1, 3) AND starts_with(k.ahead, x.sequence))
+"""
+
+
+def _located(spark, sf_dir):
+    return mapping.locate(peptides(spark, sf_dir), proteins(spark, sf_dir))
+
+
+@query(f'WITH {_MAPPED} SELECT sequence, protein_id, start, "end" FROM loc')
+def kmer_map_target(spark, sf_dir):
+    """Every place of every peptide in the proteins."""
+    return _located(spark, sf_dir)
+
+
+_DECOY = _MAPPED.replace(f"{_LETTERS.format('text')} AS seq FROM documents", f"reverse({_LETTERS.format('text')}) AS seq FROM documents")
+
+
+@query(f'WITH {_DECOY} SELECT sequence, protein_id, start, "end" FROM loc')
+def kmer_map_decoy(spark, sf_dir):
+    """Every place of every peptide in the reversed proteins."""
+    return mapping.locate(peptides(spark, sf_dir), proteins(spark, sf_dir).select("protein_id", F.reverse("seq").alias("seq")))
+
+
+@query(
+    f"WITH {_MAPPED}, r AS (SELECT DISTINCT x.sequence FROM x JOIN d ON contains(reverse(d.seq), x.sequence)), t AS (SELECT DISTINCT sequence FROM loc) "
+    "SELECT x.sequence, CASE WHEN t.sequence IS NOT NULL AND r.sequence IS NOT NULL THEN 'TD' WHEN t.sequence IS NOT NULL THEN 'T' WHEN r.sequence IS NOT NULL THEN 'D' ELSE 'NoMatch' END AS tag "
+    "FROM x LEFT JOIN t ON t.sequence = x.sequence LEFT JOIN r ON r.sequence = x.sequence"
+)
+def kmer_map_td_tag(spark, sf_dir):
+    both = mapping.with_decoys(proteins(spark, sf_dir))
+    found = mapping.locate(peptides(spark, sf_dir), both).join(both.select("protein_id", "is_decoy"), "protein_id")
+    return mapping.tags(peptides(spark, sf_dir), found)
+
+
+_COVER = (
+    f"WITH {_MAPPED}, u AS (SELECT DISTINCT protein_id, unnest(range(start, \"end\")) AS pos FROM loc), w AS (SELECT protein_id, count(*) AS covered FROM u GROUP BY protein_id), "
+    "e AS (SELECT DISTINCT sequence, protein_id FROM loc), s AS (SELECT sequence, count(*) AS n FROM e GROUP BY sequence), "
+    "q AS (SELECT protein_id, count(CASE WHEN n = 1 THEN 1 END) AS n_unique, count(CASE WHEN n > 1 THEN 1 END) AS n_nonunique, count(*) AS n_total FROM e JOIN s ON s.sequence = e.sequence GROUP BY protein_id), "
+    "v AS (SELECT w.protein_id, covered, CAST(length(seq) AS BIGINT) AS total, round(CAST(covered AS DOUBLE) / length(seq), 6) AS rate, n_unique, n_nonunique, n_total FROM w JOIN q ON q.protein_id = w.protein_id JOIN d ON d.protein_id = w.protein_id) "
+)
+
+
+@query(_COVER + "SELECT * FROM v")
+def protein_coverage(spark, sf_dir):
+    return mapping.coverage(_located(spark, sf_dir), proteins(spark, sf_dir))
+
+
+@query(
+    _COVER + "SELECT count(*) AS n_proteins, count(CASE WHEN covered = total THEN 1 END) AS n_full, CAST(sum(covered) AS BIGINT) AS covered, CAST(sum(total) AS BIGINT) AS total, "
+    "round(avg(rate), 6) AS mean_rate, min(rate) AS min_rate, max(rate) AS max_rate FROM v"
+)
+def coverage_summary(spark, sf_dir):
+    return mapping.coverage_summary(mapping.coverage(_located(spark, sf_dir), proteins(spark, sf_dir)))
+
+
+@query(f"WITH {_MAPPED} SELECT sequence, count(DISTINCT protein_id) AS n_proteins, count(*) AS n_places FROM loc GROUP BY sequence")
+def unique_peptides(spark, sf_dir):
+    return _located(spark, sf_dir).groupBy("sequence").agg(F.countDistinct("protein_id").alias("n_proteins"), F.count("*").alias("n_places"))
+
+
+@query(
+    f"WITH {_MAPPED}, u AS (SELECT DISTINCT protein_id, unnest(range(start, \"end\")) AS pos FROM (SELECT protein_id, start, \"end\" FROM loc WHERE length(sequence) = 10 UNION ALL SELECT protein_id, start, \"end\" FROM loc WHERE length(sequence) = 4)) "
+    "SELECT protein_id, count(*) AS covered FROM u GROUP BY protein_id"
+)
+def coverage_union(spark, sf_dir):
+    rows = _located(spark, sf_dir)
+    return merging.coverage_union([rows.where("length(sequence) = 10"), rows.where("length(sequence) = 4")])
+
+
+@query(
+    "SELECT p_partkey, type_code, CASE WHEN type_code IN (6, 7) THEN seq ELSE substr(seq, 2) END AS a_form, CASE WHEN type_code IN (8, 9) THEN seq ELSE substr(seq, 1, length(seq) - 1) END AS b_form "
+    "FROM (SELECT p_partkey, CAST(p_size % 6 + 4 AS INTEGER) AS type_code, translate(regexp_replace(upper(p_name), '[^A-Z]', '', 'g'), 'I', 'L') AS seq FROM part)"
+)
+def mirror_forms(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 6 + 4).cast("int").alias("type_code"), S.leucine(F.regexp_replace(F.upper("p_name"), "[^A-Z]", "")).alias("seq"))
+    return rows.select("p_partkey", "type_code", S.first_form(F.col("seq"), F.col("type_code")).alias("a_form"), S.second_form(F.col("seq"), F.col("type_code")).alias("b_form"))
+
+
+_MOD_BASE = "n AS (SELECT p_partkey, regexp_replace(upper(p_name), '[^A-Z]', '', 'g') AS seq, p_size FROM part)"
+_MOD = f"WITH {_MOD_BASE}, m AS (SELECT p_partkey, seq, p_size, substr(seq, 1, 1) || CASE WHEN p_size % 2 = 0 THEN '(Acetyl)' ELSE '' END || substr(seq, 2, 1) || '(' || p_size || '.5)' || substr(seq, 3) AS modified FROM n) "
+
+
+def _modified(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(F.upper("p_name"), "[^A-Z]", "").alias("seq"), "p_size")
+    mods = F.concat(F.when(F.col("p_size") % 2 == 0, "1,Acetyl;").otherwise(""), F.lit("2,"), F.col("p_size").cast("string"), F.lit(".5;"))
+    return rows.withColumn("modified", S.applied(F.col("seq"), mods))
+
+
+@query(_MOD + "SELECT p_partkey, modified FROM m")
+def mod_apply(spark, sf_dir):
+    return _modified(spark, sf_dir).select("p_partkey", "modified")
+
+
+@query(_MOD + "SELECT p_partkey, translate(seq, 'IJ', 'LM') AS bare FROM m")
+def mod_strip(spark, sf_dir):
+    return _modified(spark, sf_dir).select("p_partkey", S.stripped(F.col("modified")).alias("bare"))
+
+
+@query(_MOD + "SELECT p_partkey, array_to_string(regexp_extract_all(modified, '[A-Z](\\([^)]*\\))?'), '|') AS tokens, CAST(len(regexp_extract_all(modified, '[A-Z](\\([^)]*\\))?')) AS INTEGER) AS n FROM m")
+def tokenize_seq(spark, sf_dir):
+    parts = S.residues(F.col("modified"))
+    return _modified(spark, sf_dir).select("p_partkey", F.array_join(parts, "|").alias("tokens"), F.size(parts).alias("n"))
+
+
+_MASS = " + ".join(f"{m!r}::DOUBLE * (length(seq) - length(replace(seq, '{a}', '')))" for a, m in chemistry.RESIDUES.items())
+
+
+@query(
+    f"WITH {_MOD_BASE}, l AS (SELECT p_partkey, translate(seq, 'I', 'L') AS seq FROM n) "
+    f"SELECT p_partkey, CASE WHEN regexp_matches(seq, '[BJOUXZ]') THEN NULL ELSE round({_MASS} + {chemistry.WATER + chemistry.PROTON!r}::DOUBLE, 5) END AS mass FROM l"
+)
+def peptide_mass(spark, sf_dir):
+    """MH+ of letters read as residues; null where a letter is none."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(F.upper("p_name"), "[^A-Z]", "").alias("seq"))
+    return rows.select("p_partkey", F.round(S.mass(F.col("seq")), 5).alias("mass"))
+
+
+# ---- merging ------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH s AS (SELECT DISTINCT l_partkey AS k, 1 AS bit FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT DISTINCT l_partkey, 2 FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT DISTINCT l_partkey, 4 FROM lineitem WHERE l_linestatus = 'O'), "
+    "m AS (SELECT k, sum(bit) AS mask FROM s GROUP BY k) "
+    "SELECT concat_ws('&', CASE WHEN CAST(mask AS INTEGER) & 1 > 0 THEN 'single_a' END, CASE WHEN CAST(mask AS INTEGER) & 2 > 0 THEN 'single_b' END, CASE WHEN CAST(mask AS INTEGER) & 4 > 0 THEN 'mirror' END) AS region, count(*) AS n FROM m GROUP BY mask"
+)
+def set_regions(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    return merging.regions({"single_a": rows.where("l_returnflag = 'R'"), "single_b": rows.where("l_returnflag = 'A'"), "mirror": rows.where("l_linestatus = 'O'")}, "l_partkey")
+
+
+@query("SELECT l_partkey AS title, l_orderkey, l_linenumber, l_discount AS score FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_discount, l_orderkey, l_linenumber) = 1")
+def best_row_per_title(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("title"), "l_orderkey", "l_linenumber", F.col("l_discount").alias("score"))
+    return merging.best(rows, ["title"], [F.col("score"), F.col("l_orderkey"), F.col("l_linenumber")])
+
+
+@query("SELECT l_suppkey AS title, l_partkey AS sequence, max(l_extendedprice) AS score FROM lineitem GROUP BY 1, 2")
+def dedup_best_score(spark, sf_dir):
+    """One candidate a title and sequence, with its best score."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("title"), F.col("l_partkey").alias("sequence"), F.col("l_extendedprice").alias("score"))
+    return rows.groupBy("title", "sequence").agg(F.max("score").alias("score"))
+
+
+_PER_ORDER = "SELECT l_orderkey AS title, CASE WHEN l_partkey % 3 = 0 THEN 'X' ELSE l_returnflag END AS sequence FROM lineitem WHERE {0} QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = 1"
+
+
+def _per_order(spark, sf_dir, condition):
+    rows = table(spark, sf_dir, "lineitem").where(condition)
+    rows = merging.best(rows.select(F.col("l_orderkey").alias("title"), "l_linenumber", F.when(F.col("l_partkey") % 3 == 0, "X").otherwise(F.col("l_returnflag")).alias("sequence")), ["title"], [F.col("l_linenumber")])
+    return rows.select("title", "sequence")
+
+
+@query(
+    f"WITH s AS ({_PER_ORDER.format('l_quantity > 20')}), m AS ({_PER_ORDER.format('l_quantity < 30')}) "
+    "SELECT coalesce(s.title, m.title) AS title, CASE WHEN s.sequence IS NULL OR s.sequence = m.sequence THEN m.sequence ELSE s.sequence END AS sequence, "
+    "CASE WHEN s.sequence IS NULL OR s.sequence = m.sequence THEN 'mirror' ELSE 'single' END AS source FROM s FULL JOIN m ON s.title = m.title"
+)
+def merge_single_mirror(spark, sf_dir):
+    return merging.single_or_mirror(_per_order(spark, sf_dir, "l_quantity > 20"), _per_order(spark, sf_dir, "l_quantity < 30"))
+
+
+@query(
+    f"WITH a AS ({_PER_ORDER.format('l_quantity > 30')}), b AS ({_PER_ORDER.format('l_quantity < 20')}), m AS ({_PER_ORDER.format('l_linenumber = 1')}) "
+    "SELECT m.title, CAST(CASE WHEN a.sequence IS NOT NULL AND b.sequence IS NOT NULL THEN CASE WHEN a.sequence = m.sequence AND b.sequence = m.sequence THEN 1 WHEN b.sequence = m.sequence THEN 2 "
+    "WHEN a.sequence = m.sequence THEN 3 WHEN a.sequence = b.sequence THEN 4 ELSE 5 END WHEN a.sequence IS NOT NULL THEN CASE WHEN a.sequence = m.sequence THEN 6 ELSE 7 END "
+    "WHEN b.sequence IS NOT NULL THEN CASE WHEN b.sequence = m.sequence THEN 8 ELSE 9 END ELSE 10 END AS INTEGER) AS class FROM m LEFT JOIN a ON a.title = m.title LEFT JOIN b ON b.title = m.title"
+)
+def conflict_class(spark, sf_dir):
+    a = _per_order(spark, sf_dir, "l_quantity > 30").withColumnRenamed("sequence", "a")
+    b = _per_order(spark, sf_dir, "l_quantity < 20").withColumnRenamed("sequence", "b")
+    m = _per_order(spark, sf_dir, "l_linenumber = 1")
+    rows = m.join(a, "title", "left").join(b, "title", "left")
+    return rows.select("title", merging.conflict_class(F.col("a"), F.col("b"), F.col("sequence"), F.col("sequence")).alias("class"))
+
+
+# ---- time windows -------------------------------------------------------------------------------
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def tumbling_rt(spark, sf_dir):
+    """Hourly counts and sums by type: the batch form of the streaming window."""
+    rows = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return rows.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+@query(
+    "WITH g AS (SELECT user_id, ts, value, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "
+    "s AS (SELECT user_id, ts, value, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) "
+    "SELECT user_id, min(ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, session"
+)
+def session_rt(spark, sf_dir):
+    """Sessions of a user with gaps under six hours."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return rows.select("user_id", F.col("w.start").alias("start"), "n", "total")
