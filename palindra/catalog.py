@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from palindra import chemistry
 from palindra.functions import peaks as P
 from palindra.functions import sequences as S
-from palindra.operators import mapping, merging, recall, statistics
+from palindra.operators import kernels, mapping, merging, recall, statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -513,3 +513,34 @@ def session_rt(spark, sf_dir):
     """Sessions of a user with gaps under six hours."""
     rows = table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return rows.select("user_id", F.col("w.start").alias("start"), "n", "total")
+
+
+# ---- kernels: no SQL form, tested on hand-made and synthetic spectra ------------------------------
+
+
+def _few(spark, sf_dir, n=60):
+    rows = spectra(spark, sf_dir)
+    return rows.withColumn("peaks", F.transform(P.top(F.col("peaks"), n), lambda p: F.struct(p.mz.alias("mz"), p.inten.alias("inten"))))
+
+
+@query()
+def isotope_cluster(spark, sf_dir):
+    return kernels.isotopes(_few(spark, sf_dir, 200))
+
+
+@query()
+def judge_type(spark, sf_dir):
+    """Scored pairs of neighbouring spectra, read as type A1 or A2."""
+    rows = _few(spark, sf_dir).select(F.col("spectrum").alias("id"), "mass", "peaks")
+    pairs = rows.where("id % 2 = 0").select(F.col("id").alias("a_id"), (F.col("id") + 1).alias("b_id"), F.lit(0).alias("type_code"))
+    return kernels.scored_pairs(pairs, rows, rows)
+
+
+@query()
+def k_longest_paths(spark, sf_dir):
+    return kernels.sequenced(_few(spark, sf_dir, 40), 5, "paths")
+
+
+@query()
+def beam_search(spark, sf_dir):
+    return kernels.sequenced(_few(spark, sf_dir, 40), 5, "beam")
