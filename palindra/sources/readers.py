@@ -59,7 +59,7 @@ def pairs(spark: SparkSession, paths: str | list[str], with_fdr: bool = True) ->
 def candidates(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(title, mirror_title, mirror_anno, rank, sequence, modifications, score) of two-level text: a line
     for each spectrum or pair, then its candidates on lines that begin with a tab."""
-    block = spark.read.option("wholetext", "true").text(paths)
+    block = spark.read.text(paths, wholetext=True)
     groups = block.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?m)(^[^\t\r\n][^\r\n]*(?:\r?\n\t[^\r\n]*)*)"), F.lit(1))).alias("g"))
     lines = F.split("g", r"\r?\n")
     head = F.split(F.element_at(lines, 1), "\t")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 
 def mgf(spectra: DataFrame, path: str, labels: str | None = None) -> None:
     """One text block a row: five decimals for peaks, six for the precursor, labels as a digit a peak."""
-    peaks = F.array_join(F.transform("peaks", lambda p: F.concat(F.format_number(p.mz, "0.00000"), F.lit(" "), F.format_number(p.inten, "0.00000"))), "\n")
+    peaks = F.array_join(F.transform("peaks", lambda p: F.format_string("%.5f %.5f", p.mz, p.inten)), "\n")
     label = F.concat(F.lit("NEUCODELABEL="), F.array_join(labels, ""), F.lit("\n")) if labels else F.lit("")
     head = F.format_string("BEGIN IONS\nTITLE=%s\nCHARGE=%d+\nRTINSECONDS=%s\nPEPMASS=%.6f\n", "title", "charge", F.col("rt").cast("string"), "prec_mz")
     spectra.select(F.concat(head, label, peaks, F.when(F.size("peaks") > 0, "\n").otherwise(""), F.lit("END IONS"))).write.text(path)

@@ -10,6 +10,7 @@ from palindra.operators import recall
 
 def tumbling(rows: DataFrame, time: str, width: str, late: str, *keys: str) -> DataFrame:
     """Counts by window and key; rows later than ``late`` are dropped by the watermark."""
+    rows = rows.withColumn(time, F.col(time).cast("timestamp"))
     return rows.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
 
 
