@@ -54,7 +54,7 @@ _LETTERS = _Letters()
 def fold(value: str) -> str:
     """Words of folded letters with one space before, between and after them.
 
-    A word whose characters are mostly substitutes is no disguised word and loses them.
+    A word of which at most a third are letters is no disguised word and loses the rest.
     """
     out = []
     for w in value.translate(_LETTERS).split():
@@ -63,7 +63,7 @@ def fold(value: str) -> str:
             continue
         core = w.strip("!|$@")
         letters = sum(c.isalpha() for c in core)
-        if letters * 2 > len(core):
+        if letters * 3 > len(core):
             out.append("".join(SUBSTITUTES.get(c, c if c.isalnum() else "") for c in core))
         elif letters:
             out.append("".join(c for c in core if c.isalpha()))
