@@ -116,15 +116,15 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, lower: bool) ->
     return found.join(wanted.select("digest"), "digest").groupBy("digest").agg(F.first("hashes").alias("hashes"))
 
 
-def _stars(hot: DataFrame) -> DataFrame:
-    """Pairs (a, b) that tie every row of a long list to a centre of that list.
-
-    The centre is the row that lies in most long lists: of a group of copies, one with few edits.
-    """
+def _centres(hot: DataFrame) -> DataFrame:
+    """(token, b): the row of a long list that lies in most long lists; of copies, one with few edits."""
     score = hot.groupBy("a").agg(F.count("*").alias("score"))
-    rows = hot.join(score, "a")
-    centre = rows.groupBy("token").agg(F.max(F.struct("score", "n", "a")).alias("x")).select("token", F.col("x.a").alias("b"))
-    return rows.join(centre, "token").where("a <> b").select("a", "b").distinct()
+    return hot.join(score, "a").groupBy("token").agg(F.max(F.struct("score", "n", "a")).alias("x")).select("token", F.col("x.a").alias("b"))
+
+
+def _stars(hot: DataFrame) -> DataFrame:
+    """Pairs (a, b) that tie every row of a long list to the list's centre."""
+    return hot.join(_centres(hot), "token").where("a <> b").select("a", "b").distinct()
 
 
 def _verified(pairs_: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -135,9 +135,11 @@ def _verified(pairs_: DataFrame, sets: DataFrame, least: tuple[int, int]) -> Dat
 def _block_links(hot: DataFrame, sets: DataFrame, known: DataFrame, least: tuple[int, int]) -> DataFrame:
     """Links (a, b) among the rows of long lists that ``known`` (node, root) does not connect yet.
 
-    Of a list only rows outside its commonest component are compared, with each other and with all.
+    Lists with the same centre hold mostly the same rows and are compared as one. Of a list only rows
+    outside its commonest component are compared, with each other and with all.
     """
-    rows = hot.select("token", F.col("a").alias("digest"), "n").join(known.select(F.col("node").alias("digest"), "root"), "digest", "left")
+    merged = hot.join(_centres(hot), "token").select(F.xxhash64("b").alias("token"), F.col("a").alias("digest"), "n").distinct()
+    rows = merged.join(known.select(F.col("node").alias("digest"), "root"), "digest", "left")
     rows = rows.withColumn("root", F.coalesce("root", "digest"))
     common = rows.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
     rows = rows.join(common.select("token", F.col("top.root").alias("top")), "token").withColumn("settled", F.col("root") == F.col("top")).drop("top")
