@@ -141,14 +141,14 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray], step: int = 2048) ->
     return out
 
 
-def block_jobs(rows: DataFrame, key: list[str], items: str) -> DataFrame:
+def block_jobs(rows: DataFrame, key: list[str], items: str, block: int = BLOCK) -> DataFrame:
     """Deal the rows of every long list (token) out to the jobs of its pairs of blocks.
 
-    A list has about one block per ``BLOCK`` rows or ``BLOCK_ITEMS`` set members; a row goes to the
+    A list has about one block per ``block`` rows or ``BLOCK_ITEMS`` set members; a row goes to the
     jobs of its block with every block. Adds (low, high, own): the job's blocks and the row's.
     """
     sizes = rows.groupBy("token").agg(F.count("*").alias("rows"), F.sum(items).alias("all_items"))
-    n = F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("all_items") / BLOCK_ITEMS), F.lit(1))
+    n = F.greatest(F.ceil(F.col("rows") / block), F.ceil(F.col("all_items") / BLOCK_ITEMS), F.lit(1))
     dealt = rows.join(sizes, "token").withColumn("blocks", n.cast("int")).withColumn("own", F.pmod(F.xxhash64(*key), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", *[c for c in rows.columns if c != "token"])
