@@ -187,6 +187,19 @@ def test_line_dedup(spark, monkeypatch, most):
     assert sum(r.n_removed for r in found) > 20
 
 
+@pytest.mark.parametrize("most", [128, 1])
+def test_lines_with_one_sketch_are_told_apart(spark, most):
+    by_bit, shared = defaultdict(list), [f"common{k}" for k in range(9)]
+    for w in (f"word{k}" for k in range(300)):
+        by_bit[int(text.mix(text.name64(pa.array([w])))[0] >> np.uint64(57))].append(w)
+    a, b = next(v for v in by_bit.values() if len(v) > 1)[:2]
+    lines = line_dedup.Lines(pa.array([" ".join([*shared, a]), " ".join([*shared, b])]))
+    assert (lines.sketches()[0] == lines.sketches()[1]).all() and (lines.sums()[0] != lines.sums()[1]).any()
+    rows = [(i, " ".join([*shared, w]), None, None, None, None, None) for i, w in enumerate([a, b])]
+    found = line_dedup.removals(fixture.frame(spark, rows, 2).selectExpr("doc_id AS doc", "text"), most=most).collect()
+    assert [tuple(r) for r in found] == [(1, 0, 0)]
+
+
 def test_line_dedup_of_an_empty_table(spark):
     assert line_dedup.dedup(fixture.frame(spark, [], 1)).count() == 0
 
