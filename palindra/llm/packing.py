@@ -22,7 +22,8 @@ from . import storage, text, tokens
 WINDOW = 2048
 END_ID = 1
 SHARD_TOKENS = 1 << 20
-MAX_DF = 0.1
+#: A term in more than this share of a shard's rows is kept as a dense row of weights instead of postings.
+DENSE = 0.1
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -79,19 +80,31 @@ def statistics(encoded: DataFrame) -> tuple[np.ndarray, float, int]:
     return df, total / max(rows, 1), rows
 
 
+def term_weights(df: np.ndarray, rows: int) -> np.ndarray:
+    """Positive weights of all ids that occur, the smaller the more rows hold them."""
+    return np.where(df > 0, np.log1p((rows - df + 0.5) / (df + 0.5)), 0.0).astype(np.float32)
+
+
 class Index:
-    """BM25 postings of a shard: by term, the rows that hold it and their weights."""
+    """BM25 weights of a shard by term: postings (rows and weights), or for frequent terms one weight a row."""
 
     def __init__(self, ids: np.ndarray, first: np.ndarray, idf: np.ndarray, mean: float):
         row, term, n = term_counts(ids, first)
         use = idf[term] > 0
         row, term, n = row[use], term[use], n[use]
         size = np.diff(first)
+        weights = idf[term] * n * (K1 + 1) / (n + K1 * (1 - B + B * size[row] / mean))
+        self.idf, self.n = idf, len(first) - 1
+        frequent = np.flatnonzero(np.bincount(term, minlength=len(idf)) > DENSE * self.n)
+        self.dense_row = np.full(len(idf), -1)
+        self.dense_row[frequent] = np.arange(len(frequent))
+        at = self.dense_row[term]
+        self.dense = np.zeros((len(frequent), self.n), np.float32)
+        self.dense[at[at >= 0], row[at >= 0]] = weights[at >= 0]
+        row, term, weights = row[at < 0], term[at < 0], weights[at < 0]
         order = np.argsort(term, kind="stable")
-        self.rows = row[order]
-        self.weights = (idf[term] * n * (K1 + 1) / (n + K1 * (1 - B + B * size[row] / mean)))[order]
+        self.rows, self.weights = row[order], weights[order]
         self.begin = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.idf, self.n = idf, len(first) - 1
 
     def scores(self, seed: np.ndarray) -> np.ndarray:
         """The score of every row for the distinct terms of the seed."""
@@ -99,7 +112,9 @@ class Index:
         terms = terms[self.idf[terms] > 0]
         begin, count = self.begin[terms], self.begin[terms + 1] - self.begin[terms]
         at = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
-        return np.bincount(self.rows[at], self.weights[at], self.n)
+        dense = self.dense_row[terms]
+        # row by row, so that equal documents get equal sums
+        return np.bincount(self.rows[at], self.weights[at], self.n) + self.dense[dense[dense >= 0]].sum(0)
 
 
 class Packer:
@@ -148,34 +163,33 @@ class Packer:
                 cut = -1
                 continue
             scores = index.scores(self.seed)
-            near = np.flatnonzero((scores > 0) & unused)
+            near = np.flatnonzero((scores > 0) & unused & (left <= self.room))
             near = near[np.argsort(-scores[near], kind="stable")]
-            for u in near:
-                if not self.room:
-                    break
-                if left[u] <= self.room:
-                    put(u, self.room)
+            at = 0
+            while self.room and len(fits := np.flatnonzero(left[near[at:]] <= self.room)):
+                at += int(fits[0]) + 1
+                put(near[at - 1], self.room)
             while self.room and unused.any():
-                open_ = near[unused[near]]
-                while not len(open_) and not unused[turn]:
+                open_ = np.where(unused, scores, 0)
+                u = int(open_.argmax())
+                while not open_[u] and not unused[turn]:
                     turn += 1
-                u = int(open_[0]) if len(open_) else turn
+                u = u if open_[u] else turn
                 put(u, self.room)
                 cut = u if unused[u] else -1
         done, self.out = self.out, []
         return done
 
 
-def pack(encoded: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, max_df: float = MAX_DF) -> DataFrame:
+def pack(encoded: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pieces of all rows (doc_id, ids) in sequences of at most ``window`` ids.
 
     A row is a document, equal ids or not. Rows longer than a window give full windows first; the
-    rest of every row is retrieved by BM25 over its token ids, of which those in more than ``max_df``
-    of all rows carry no weight. Ties go to the earlier row. An empty table gives no pieces. A task
+    rest of every row is retrieved by BM25 over all its token ids. Ties go to the earlier row. An empty table gives no pieces. A task
     packs its input partition, so no row is shuffled, and holds one shard at a time.
     """
     df, mean, rows = statistics(encoded)
-    idf = np.where((df > 0) & (df <= max_df * rows), np.log1p((rows - df + 0.5) / (df + 0.5)), 0.0).astype(np.float32)
+    idf = term_weights(df, rows)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         packer = Packer(idf, max(mean, 1.0), window, TaskContext.get().partitionId() << 32)

@@ -292,6 +292,22 @@ def test_packing_prefers_lexical_neighbours():
     assert all(len(c) == 1 for c in by_window.values())
 
 
+def packed(spark, docs, partitions, window, **settings):
+    """The documents of every window, for documents (lists of ids) dealt to the partitions in order."""
+    rows = [(k, np.array(d, "<u4").tobytes()) for k, d in enumerate(docs)]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, partitions), "doc_id long, ids binary")
+    windows = defaultdict(set)
+    for p in packing.pack(frame, window, **settings).collect():
+        windows[p.sequence_id].add(p.doc_id)
+    return list(windows.values())
+
+
+def test_packing_retrieves_by_frequent_terms(spark):
+    r = random.Random(7)
+    docs = [r.sample(range(1000 * (k % 3) + 2, 1000 * (k % 3) + 52), 50) for k in range(9)]
+    assert sorted(map(sorted, packed(spark, docs, 1, 150))) == [[0, 3, 6], [1, 4, 7], [2, 5, 8]]
+
+
 def test_token_store_round_trip(spark):
     rows = fixture.corpus(seed=6)
     path = storage.new_path(spark, "orc")
