@@ -2,9 +2,12 @@
 
 Documents are encoded once into a table of token ids. Term statistics cover the whole corpus: the
 document frequency of every token id is summed over all tasks and is as long as the vocabulary.
-Each task then indexes its documents shard by shard in a BM25 inverted index; the seed of a window
-retrieves the best unused neighbours, which fill the window greedily, and the one that no longer
-fits is cut and seeds the next window. So a window is padded only where a task's rows end.
+Documents are dealt to shards by content: one weighted MinHash order of the terms names each by its
+first three terms, and Spark sorts the documents by that name, so copies of a document lie side by
+side and other neighbours the likelier, the more of their terms' weight they share. Each task then
+indexes its documents shard by shard in a BM25 inverted index; the seed of a window retrieves the
+best unused neighbours, which fill the window greedily, and the one that no longer fits is cut and
+seeds the next window. So a window is padded only where a task's rows end.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +29,7 @@ SHARD_TOKENS = 1 << 20
 #: A term in more than this share of a shard's rows is kept as a dense row of weights instead of postings.
 DENSE = 0.1
 K1, B = 1.2, 0.75
+ALONE = 2**31 - 1
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -85,6 +90,64 @@ def term_weights(df: np.ndarray, rows: int) -> np.ndarray:
     return np.where(df > 0, np.log1p((rows - df + 0.5) / (df + 0.5)), 0.0).astype(np.float32)
 
 
+def term_order(df: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The place of every id in a fixed order in which heavier ids tend to come first; ids of a single row are ``ALONE``.
+
+    The first id of a row in this order is a MinHash of its ids: two rows agree on it with the
+    probability that their shared ids have among all their ids, by weight.
+    """
+    chance = (text.mix(np.arange(1, len(df) + 1, dtype=np.uint64)) >> np.uint64(11)).astype(float) + 0.5
+    drawn = -np.log(chance / 2.0**53) / np.where(df > 1, weights, 1.0)
+    place = np.full(len(df), ALONE)
+    shared = np.flatnonzero(df > 1)
+    place[shared[np.argsort(drawn[shared], kind="stable")]] = np.arange(len(shared))
+    return place
+
+
+def names(ids: np.ndarray, first: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The three least places of every row's distinct ids, ascending; ``ALONE`` where there are fewer."""
+    out = np.full((len(first) - 1, 3), ALONE)
+    full = np.flatnonzero(np.diff(first))
+    if len(full):
+        own, size = place[ids], np.diff(first)[full]
+        for k in range(3):
+            out[full, k] = np.minimum.reduceat(own, first[full])
+            own[own == np.repeat(out[full, k], size)] = ALONE
+    return out
+
+
+def routed(encoded: DataFrame, place: np.ndarray) -> DataFrame:
+    """(doc_id, ids) dealt and sorted by content; rows of one name are spread by id, so none is too large for a task."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for block in text.blocks(batches, "ids"):
+            data, offsets = text.flat(block.column("ids"))
+            key = names(data.view("<u4"), offsets // 4, place)
+            doc = pc.fill_null(block.column("doc_id"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            spread = (text.mix(doc.view(np.uint64)) >> np.uint64(33)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("ids"), pa.array(key[:, 0] << 32 | key[:, 1]), pa.array(key[:, 2] << 32 | spread)], names=["doc_id", "ids", "name", "rest"])
+
+    keyed = encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, ids binary, name long, rest long")
+    return keyed.repartitionByRange("name", "rest").sortWithinPartitions("name", "rest").select("doc_id", "ids")
+
+
+def shards(batches, limit: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of all batches together whose ids hold at most ``limit`` bytes; a larger row is alone."""
+    held, size = [], 0
+    for block in text.blocks(batches, "ids", limit):
+        more = pc.sum(pc.binary_length(block.column("ids"))).as_py() or 0
+        at = 0
+        if held and size + more > limit:
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(block.column("ids")), 0).to_numpy(zero_copy_only=False))
+            at = int(np.searchsorted(sizes, limit - size, "right"))
+            yield pa.concat_batches([*held, block.slice(0, at)])
+            held, size, more = [], 0, more - (int(sizes[at - 1]) if at else 0)
+        held.append(block.slice(at))
+        size += more
+    if held:
+        yield pa.concat_batches(held)
+
+
 class Index:
     """BM25 weights of a shard by term: postings (rows and weights), or for frequent terms one weight a row."""
 
@@ -185,22 +248,22 @@ def pack(encoded: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOK
     """Pieces of all rows (doc_id, ids) in sequences of at most ``window`` ids.
 
     A row is a document, equal ids or not. Rows longer than a window give full windows first; the
-    rest of every row is retrieved by BM25 over all its token ids. Ties go to the earlier row. An empty table gives no pieces. A task
-    packs its input partition, so no row is shuffled, and holds one shard at a time.
+    rest of every row is retrieved by BM25 over all its token ids. Ties go to the earlier row. An empty table gives no pieces. Rows are
+    shuffled once, by content; a task packs a range of that order and holds one shard at a time.
     """
     df, mean, rows = statistics(encoded)
     idf = term_weights(df, rows)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         packer = Packer(idf, max(mean, 1.0), window, TaskContext.get().partitionId() << 32)
-        for block in text.blocks(batches, "ids", 4 * shard_tokens):
+        for block in shards(batches, 4 * shard_tokens):
             data, offsets = text.flat(block.column("ids"))
             pieces = packer.shard(block.column("doc_id").to_pylist(), data.view("<u4"), offsets // 4)
             if pieces:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*pieces), kinds)], names=[c.split()[0] for c in PIECES.split(", ")])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, PIECES)
+    return routed(encoded, term_order(df, idf)).mapInArrow(run, PIECES)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

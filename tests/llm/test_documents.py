@@ -308,6 +308,29 @@ def test_packing_retrieves_by_frequent_terms(spark):
     assert sorted(map(sorted, packed(spark, docs, 1, 150))) == [[0, 3, 6], [1, 4, 7], [2, 5, 8]]
 
 
+def test_packing_brings_copies_of_all_partitions_together(spark):
+    r = random.Random(8)
+    docs = [r.sample(range(2, 400), 50) for _ in range(40)] * 4
+    windows = packed(spark, docs, 4, 200, shard_tokens=2000)
+    assert sum({k % 40 for k in w} == {min(w) % 40} and len(w) == 4 for w in windows) >= 30
+
+
+def test_packing_names_by_content():
+    rows = [[5, 7, 9], [9, 7, 5, 5], [], [3]]
+    first = np.cumsum([0, *map(len, rows)])
+    got = packing.names(np.array([x for d in rows for x in d], np.uint32), first, np.arange(10)[::-1].astype(np.int64))
+    assert got.tolist() == [[0, 2, 4], [0, 2, 4], [packing.ALONE] * 3, [6, packing.ALONE, packing.ALONE]]
+
+
+def test_shards_join_batches():
+    sizes = [3, 4, 1, 9, 2, 2, 2, 30, 1]
+    rows = pa.table({"ids": pa.array([b"x" * n for n in sizes], pa.binary())})
+    for n in (1, 2, 9):
+        found = [[len(x) for x in b.column("ids").to_pylist()] for b in packing.shards(rows.to_batches(n), 9)]
+        assert sum(found, []) == sizes and all(sum(s) <= 9 or len(s) == 1 for s in found)
+        assert all(sum(a) + b[0] > 9 for a, b in zip(found, found[1:]))
+
+
 def test_token_store_round_trip(spark):
     rows = fixture.corpus(seed=6)
     path = storage.new_path(spark, "orc")
