@@ -1,5 +1,6 @@
 """Kernels on hand-made and synthetic spectra."""
 
+import itertools
 import math
 
 import numpy as np
@@ -80,6 +81,25 @@ def test_noiseless_spectra_are_sequenced(sequence):
     assert sequence in found or flip in found
 
 
+@pytest.mark.parametrize("lost", [(3, 4), (2, 3, 4)])
+def test_gaps_of_several_residues_are_bridged(lost):
+    sequence = "GASPVTLDEK"
+    b, y = sequencing.ladder(sequence)
+    keep = [k for k in range(len(b)) if k + 1 not in lost]
+    mz = np.sort(np.concatenate([b[keep], y[::-1][keep]]))
+    found = [s for _, s in sequencing.sequences(mz, np.full(len(mz), 100.0), chemistry.peptide_mass(sequence), sequencing.combinations(), 100)]
+    assert sequence in found or sequence[::-1] in found
+
+
+def test_compositions_and_their_orders():
+    masses, names = sequencing.combinations(300.0)
+    want = {"".join(c) for n in range(1, 6) for c in itertools.combinations_with_replacement(sorted(chemistry.RESIDUES), n) if sum(chemistry.RESIDUES[a] for a in c) <= 300}
+    assert len(names) == len(want) and set(names) == want and (np.diff(masses) >= 0).all()
+    for text in ("A", "GGA", "PEPT"):
+        every = sorted({"".join(p) for p in itertools.permutations(text)})
+        assert [list(sequencing.orders(text, k)) for k in (1, 5, 99)] == [every[:1], every[:5], every]
+
+
 def test_longest_paths_by_enumeration():
     edges = [[(1, "A", 1.0), (2, "C", 3.0)], [(2, "D", 1.5), (3, "E", 0.5)], [(3, "F", 1.0)], []]
     assert sequencing.longest_paths(edges, 0, 3, 3) == [(4.0, "CF"), (3.5, "ADF"), (1.5, "AE")]
