@@ -88,24 +88,23 @@ def passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def split(rows: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows whose integer ``column`` may be in ``keys``, rows that are surely not), behind a Bloom filter.
+def split(rows: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, Callable[[Callable, object], DataFrame]]:
+    """(rows whose integer ``column`` may be in ``keys``, a function that maps the rows that are surely not).
 
-    What is surely absent needs no join, so its other columns are not shuffled. Nulls are absent.
+    What is surely absent needs no join, so its other columns are not shuffled: the function takes
+    what mapInArrow takes and applies it in the same pass that leaves the others out. Nulls are absent.
     """
     name = keys.columns[0]
     value = lambda c: c.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     table = rows.sparkSession.sparkContext.broadcast(bloom(keys.select(name), lambda b: value(b.column(name))))
 
-    def part(wanted: bool) -> DataFrame:
-        def run(batches) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                c = b.column(column)
-                some = c.is_valid().to_numpy(zero_copy_only=False)
-                hit = np.zeros(len(some), bool)
-                hit[some] = passes(table.value, value(c.drop_null()))
-                yield b.filter(pa.array(hit == wanted))
+    def part(wanted: bool, batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = b.column(column)
+            some = c.is_valid().to_numpy(zero_copy_only=False)
+            hit = np.zeros(len(some), bool)
+            hit[some] = passes(table.value, value(c.drop_null()))
+            yield b.filter(pa.array(hit == wanted))
 
-        return rows.mapInArrow(run, rows.schema)
-
-    return part(True), part(False)
+    touched = rows.mapInArrow(lambda batches: part(True, batches), rows.schema)
+    return touched, lambda f, schema: rows.mapInArrow(lambda batches: f(part(False, batches)), schema)

@@ -116,6 +116,28 @@ def verified(pairs_: DataFrame, sets: DataFrame, key: list[str], least: tuple[in
     return both.select(*names, "a_hashes", "b_hashes").mapInArrow(check, pairs_.schema)
 
 
+#: A key with more than this share of the rows is heavy; there are fewer such keys than its inverse.
+HEAVY, SALTS = 1 / 1024, 64
+
+
+def heavy_keys(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The keys of ``rows`` that hold more than a 1024th of them each: fewer than 1024, so they can be broadcast."""
+    most = rows.count() * HEAVY
+    return F.broadcast(rows.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*key, F.lit(SALTS).alias("_salts")))
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: list[str]) -> DataFrame:
+    """``many`` joined with ``one``, which has one row a key; heavy keys of ``many`` are dealt to ``SALTS`` tasks each.
+
+    ``many`` is scanned twice, so it should be a written table.
+    """
+    heavy = heavy_keys(many, key)
+    salt = F.pmod(F.xxhash64(*many.columns), F.coalesce("_salts", F.lit(1)))
+    left = many.join(heavy, key, "left").withColumn("_salt", salt).drop("_salts")
+    right = one.join(heavy, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - F.lit(1).cast("long")))).drop("_salts")
+    return left.join(right, [*key, "_salt"]).drop("_salt")
+
+
 def common_counts(a: list[np.ndarray], b: list[np.ndarray], step: int = 2048) -> np.ndarray:
     """Sizes of all intersections of two lists of sets, by products of their incidence matrices."""
     out = np.zeros((len(a), len(b)), np.float32)

@@ -171,12 +171,11 @@ def brute_lines(rows):
     return out
 
 
-@pytest.mark.parametrize("most", [128, 2])
-def test_line_dedup(spark, monkeypatch, most):
-    monkeypatch.setattr(joins, "BLOCK", 8)
+@pytest.mark.parametrize(("longest", "most"), [(8192, 4), (8192, 1), (6, 2)])
+def test_line_dedup(spark, longest, most):
     rows = fixture.corpus(seed=5)
     docs = fixture.frame(spark, rows)
-    got = line_dedup.dedup(docs, most=most)
+    got = line_dedup.dedup(docs, longest=longest, most=most)
     assert got.columns[: len(docs.columns)] == docs.columns
     want = brute_lines(rows)
     found = got.collect()
@@ -187,19 +186,79 @@ def test_line_dedup(spark, monkeypatch, most):
     assert sum(r.n_removed for r in found) > 20
 
 
-@pytest.mark.parametrize("most", [128, 1])
-def test_lines_with_one_sketch_are_told_apart(spark, most):
+def crowded_lines():
+    """Documents of lines that share their rarest words: long lists, with similar, nearly similar and equal lines."""
+    rng, rows = random.Random(9), []
+    for i in range(40):
+        lines = []
+        for _ in range(4):
+            words = [f"rare{k}" for k in range(3)] + [f"some{rng.randrange(9)}" for _ in range(rng.randrange(4, 12))]
+            rng.shuffle(words)
+            lines.append(" ".join(words))
+        rows.append((i, "\n".join(lines), None, None, None, None, None))
+    return rows
+
+
+@pytest.mark.parametrize(("longest", "most"), [(8192, 1), (16, 1), (16, 3)])
+def test_crowded_lists_of_lines(spark, longest, most):
+    rows = crowded_lines()
+    want = brute_lines(rows)
+    found = line_dedup.dedup(fixture.frame(spark, rows), longest=longest, most=most).collect()
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.n_links, r.class_id, r.text) for r in found} == want
+    assert 20 < sum(r.n_removed for r in found) < 150
+
+
+def test_long_lists_need_pairs_of_blocks(spark, monkeypatch):
+    """Without the jobs of two blocks, pairs are lost."""
+    whole = joins.block_jobs
+    monkeypatch.setattr(joins, "block_jobs", lambda *a, **b: whole(*a, **b).where("low = high"))
+    rows = crowded_lines()
+    found = line_dedup.dedup(fixture.frame(spark, rows), longest=16).collect()
+    assert {r.doc_id: r.text for r in found} != {i: w[-1] for i, w in brute_lines(rows).items()}
+
+
+@pytest.mark.parametrize("longest", [8192, 1])
+def test_lines_with_one_sketch_are_told_apart(spark, longest):
     by_bit, shared = defaultdict(list), [f"common{k}" for k in range(9)]
     for w in (f"word{k}" for k in range(300)):
-        by_bit[int(text.mix(text.name64(pa.array([w])))[0] >> np.uint64(57))].append(w)
+        data = np.frombuffer(w.encode(), np.uint8)
+        by_bit[int(text.hash_runs(data, np.array([0]), np.array([len(data)]))[0] & np.uint64(127))].append(w)
     a, b = next(v for v in by_bit.values() if len(v) > 1)[:2]
     lines = line_dedup.Lines(pa.array([" ".join([*shared, a]), " ".join([*shared, b])]))
     assert (lines.sketches()[0] == lines.sketches()[1]).all() and (lines.sums()[0] != lines.sums()[1]).any()
     rows = [(i, " ".join([*shared, w]), None, None, None, None, None) for i, w in enumerate([a, b])]
-    found = line_dedup.removals(fixture.frame(spark, rows, 2).selectExpr("doc_id AS doc", "text"), most=most).collect()
+    found = line_dedup.removals(fixture.frame(spark, rows, 2).selectExpr("doc_id AS doc", "text"), longest=longest).collect()
     assert [tuple(r) for r in found] == [(1, 0, 0)]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab \né", max_size=30), max_size=6), st.integers(1, 9))
+def test_hashes_of_words(texts, piece):
+    held, text._PIECE = text._PIECE, piece
+    try:
+        data, offsets = text.flat(pa.array(texts, pa.string()))
+        starts, ends = text.runs(data, offsets, ~text.SPACE[data])
+        got = text.hash_runs(data, starts, ends)
+    finally:
+        text._PIECE = held
+        text._powers.cache_clear()
+    words = [w for t in texts for w in fixture.WORDS.findall(t)]
+    assert [words.index(w) for w in words] == [list(got).index(h) for h in got]
+    assert len(set(got.tolist())) == len(set(words))
+
+
+def test_lines_in_global_order():
+    classes = np.random.default_rng(1).integers(0, 3, 1 << bounded.COUNT_BITS).astype(np.uint16)
+    x = line_dedup.Lines(pa.array(["a b c a\n\n d e", None, "b a"]), classes)
+    assert list(x.owner) == [0, 0, 2] and list(x.number) == [0, 2, 0] and list(x.size) == [3, 2, 2]
+    for s, e in zip(x.first[:-1], x.first[1:]):
+        keys = list(zip(classes[bounded.count_slots(x.hashes[s:e])], x.hashes[s:e]))
+        assert keys == sorted(set(keys))
+    # hashes that differ only below the key's bits
+    h = np.array([5, 4, 5, 1 << 63], np.uint64)
+    assert list(h[line_dedup._sorted(np.array([0, 0, 0, 1]), None, h)]) == [4, 5, 5, 1 << 63]
+
+
 def test_line_dedup_of_an_empty_table(spark):
     assert line_dedup.dedup(fixture.frame(spark, [], 1)).count() == 0
 
