@@ -120,21 +120,16 @@ def verified(pairs_: DataFrame, sets: DataFrame, key: list[str], least: tuple[in
 HEAVY, SALTS = 1 / 1024, 64
 
 
-def heavy_keys(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The keys of ``rows`` that hold more than a 1024th of them each: fewer than 1024, so they can be broadcast."""
-    most = rows.count() * HEAVY
-    return F.broadcast(rows.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*key, F.lit(SALTS).alias("_salts")))
+def heavy_keys(sizes: DataFrame, key: list[str], total: int) -> DataFrame:
+    """The keys of ``sizes`` (key, n) with more than a 1024th of ``total`` rows: fewer than 1024, so they can be broadcast."""
+    return F.broadcast(sizes.where(F.col("n") > total * HEAVY).select(*key, F.lit(SALTS).alias("_salts")))
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: list[str]) -> DataFrame:
-    """``many`` joined with ``one``, which has one row a key; heavy keys of ``many`` are dealt to ``SALTS`` tasks each.
-
-    ``many`` is scanned twice, so it should be a written table.
-    """
-    heavy = heavy_keys(many, key)
-    salt = F.pmod(F.xxhash64(*many.columns), F.coalesce("_salts", F.lit(1)))
-    left = many.join(heavy, key, "left").withColumn("_salt", salt).drop("_salts")
-    right = one.join(heavy, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - F.lit(1).cast("long")))).drop("_salts")
+def spread_join(many: DataFrame, one: DataFrame, key: list[str], heavy: DataFrame) -> DataFrame:
+    """``many`` joined with ``one``, which has one row a key; the rows of ``heavy`` keys are dealt to ``SALTS`` tasks each."""
+    salts = F.coalesce("_salts", F.lit(1))
+    left = many.join(heavy, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*many.columns), salts).cast("int")).drop("_salts")
+    right = one.join(heavy, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return left.join(right, [*key, "_salt"]).drop("_salt")
 
 

@@ -78,7 +78,7 @@ class Encoder:
             return ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         data = text._LOWER[data]
         letter, sign = _LETTER[data], _SIGN[data]
-        starts, ends = text.runs(data, offsets, ~text._SPACE[data], letter[:-1] & sign[1:] | sign[:-1] & letter[1:])
+        starts, ends = text.runs(data, offsets, ~text.space(data), letter[:-1] & sign[1:] | sign[:-1] & letter[1:])
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         coded = text.strings(data, starts, ends).dictionary_encode()
