@@ -1,14 +1,15 @@
 """Document fingerprints: sketches that keep every shingle hash below a fixed fraction.
 
 A sketch of a document's five-word shingles holds all hashes in the lowest ``1/SCALE`` of the hash
-range, and at least the ``LEAST`` smallest, so short documents keep all theirs. It is written as
-"n:hashes" with the number of distinct shingles. Two sketches are compared below the smaller of
-their limits, which gives the likeness and the containment of very unequal documents too, and the
-union of two sketches is the sketch of the union.
+range, whatever the document's size. It is written as "n:digest:limit:hashes": the number of distinct
+shingles, a sum that names the whole set, the limit below which all hashes are held, and the hashes
+in base 64. Two sketches are compared below the smaller of their limits, which gives the likeness and
+the containment of very unequal documents too, and the union of two sketches is the sketch of the union.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,59 +21,70 @@ from pyspark.sql import DataFrame, SparkSession
 from . import ordering, text
 
 SIZE = 5
-SCALE = 8
-LEAST = 128
-_TOP = 2**64 - 1
+SCALE = 2
+#: Hashes are of six bytes: among 10**8 shingles a foreign one is found with a probability below 10**-6.
+_BITS = 48
 COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, held_in_edited double, held_in_next double"
 
 
 @dataclass
 class Sketch:
-    """``hashes`` ascending; all shingle hashes up to ``limit`` are among them."""
+    """``hashes`` ascending: all shingle hashes below ``limit``.
+
+    ``n`` counts the distinct shingles and ``digest`` names their set; of a union n is a lower bound
+    and the digest is 0, unknown.
+    """
 
     n: int
-    hashes: np.ndarray
+    digest: int
     limit: int
+    hashes: np.ndarray
 
     @staticmethod
-    def of(hashes: np.ndarray, scale: int = SCALE, least: int = LEAST) -> Sketch:
-        """The sketch of ascending distinct shingle hashes."""
-        fraction = _TOP // scale
-        keep = max(int(np.searchsorted(hashes, np.uint64(fraction), "right")), min(least, len(hashes)))
-        return Sketch(len(hashes), hashes[:keep], _TOP if keep == len(hashes) else max(fraction, int(hashes[keep - 1])))
+    def of(hashes: np.ndarray, scale: int = SCALE) -> Sketch:
+        """The sketch of ascending distinct 64-bit shingle hashes."""
+        short, limit = hashes >> np.uint64(64 - _BITS), (1 << _BITS) // scale
+        return Sketch(len(hashes), int(hashes.sum(dtype=np.uint64)), limit, np.unique(short[: np.searchsorted(short, np.uint64(limit))]))
 
     def text(self) -> str:
-        return f"{self.n}:{self.hashes.astype('>u8').tobytes().hex()}"
+        """The written form; :meth:`parse` gives the same sketch, of unions too."""
+        six = self.hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+        return f"{self.n}:{self.digest:x}:{self.limit:x}:{base64.b64encode(six.tobytes()).decode()}"
 
     @staticmethod
-    def parse(value: str, scale: int = SCALE) -> Sketch:
-        n, _, digits = value.partition(":")
-        hashes = np.frombuffer(bytes.fromhex(digits), ">u8").astype(np.uint64)
-        return Sketch(int(n), hashes, _TOP if len(hashes) == int(n) else max(_TOP // scale, int(hashes[-1])))
+    def parse(value: str) -> Sketch:
+        n, digest, limit, digits = value.split(":")
+        six = np.frombuffer(base64.b64decode(digits), np.uint8).reshape(-1, 6)
+        eight = np.zeros((len(six), 8), np.uint8)
+        eight[:, 2:] = six
+        return Sketch(int(n), int(digest, 16), int(limit, 16), eight.view(">u8").ravel().astype(np.uint64))
 
     def merge(self, other: Sketch) -> Sketch:
-        """The sketch of both documents' shingles together; n is the larger of both, a lower bound."""
+        """The sketch of both documents' shingles together."""
         limit = min(self.limit, other.limit)
         both = np.union1d(self.hashes, other.hashes)
-        return Sketch(max(self.n, other.n), both[both <= np.uint64(limit)], limit)
+        return Sketch(max(self.n, other.n), 0, limit, both[both < np.uint64(limit)])
 
     def compare(self, other: Sketch) -> tuple[float, float]:
-        """(likeness, containment of this one in the other); two empty documents are alike."""
-        if self.n == other.n == 0:
+        """(likeness, containment of this one in the other).
+
+        Sets of one digest are equal, empty ones too; of others that have no hash below the limit nothing is known, which counts as 0.
+        """
+        if self.n == other.n and self.digest == other.digest and (self.digest or not self.n):
             return 1.0, 1.0
         limit = np.uint64(min(self.limit, other.limit))
-        a, b = (s.hashes[: np.searchsorted(s.hashes, limit, "right")] for s in (self, other))
+        a, b = (s.hashes[: np.searchsorted(s.hashes, limit)] for s in (self, other))
         common = len(np.intersect1d(a, b, assume_unique=True))
         return common / max(1, len(a) + len(b) - common), common / max(1, len(a))
 
 
-def sketches(texts: pa.Array, size: int = SIZE, scale: int = SCALE, least: int = LEAST) -> list[Sketch]:
+def sketches(texts: pa.Array, size: int = SIZE, scale: int = SCALE) -> list[Sketch]:
     """A sketch of every text; null and wordless texts have an empty one."""
     hashes, first = text.shingles(text.words(texts), size)
     out = []
     for d in range(len(first) - 1):
         own = np.sort(hashes[first[d] : first[d + 1]])
-        out.append(Sketch.of(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own, scale, least))
+        out.append(Sketch.of(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own, scale))
     return out
 
 
@@ -82,7 +94,7 @@ def edited(value: str, following: str) -> str:
     return value[: len(value) - half] + following[:half]
 
 
-def compare_with_next(docs: DataFrame, size: int = SIZE, scale: int = SCALE, least: int = LEAST, partitions: int | None = None) -> DataFrame:
+def compare_with_next(docs: DataFrame, size: int = SIZE, scale: int = SCALE, partitions: int | None = None) -> DataFrame:
     """Per row of ``docs``: fingerprints of its text and of its edited text, and their likeness.
 
     The next document is the next row by ascending doc_id (a null first, equal ids by text), after
@@ -95,7 +107,7 @@ def compare_with_next(docs: DataFrame, size: int = SIZE, scale: int = SCALE, lea
     def walk(batches) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the row whose follower is still to come, with its sketch
         for block in text.blocks(batches, "text"):
-            made = sketches(block.column("text"), size, scale, least)
+            made = sketches(block.column("text"), size, scale)
             rows_ = list(zip(block.column("doc_id").to_pylist(), (t or "" for t in block.column("text").to_pylist()), made, block.column("range").to_pylist(), block.column("tail").to_pylist()))
             pairs = []
             for row in rows_:
@@ -104,7 +116,7 @@ def compare_with_next(docs: DataFrame, size: int = SIZE, scale: int = SCALE, lea
                 held = None if row[4] else row
             changed = [edited(a[1], b[1]) for a, b in pairs]
             out = []
-            for (a, b), e, s in zip(pairs, changed, sketches(pa.array(changed, pa.string()), size, scale, least)):
+            for (a, b), e, s in zip(pairs, changed, sketches(pa.array(changed, pa.string()), size, scale)):
                 near, held_in = a[2].compare(s)
                 near_next, held_in_next = a[2].compare(b[2])
                 out.append((a[0], len(a[1]), hashlib.sha256(e.encode()).hexdigest(), a[2].text(), s.text(), near, near_next, held_in, held_in_next))

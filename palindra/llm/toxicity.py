@@ -9,6 +9,7 @@ the weights per word gives the score.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -22,16 +23,16 @@ from . import sampling, storage, text
 
 THRESHOLD = 0.7
 LEAST_ODDS = 1.5
-#: nats by which a term must separate the labels, above what the best of a few hundred thousand terms does by chance
-LEAST_GAIN = 15.0
-MOST_TERMS = 3000
-MOST_WEIGHT = 8.0
+#: nats by which a term must separate the labels beyond what the best of all terms tested does by chance
+MARGIN = 4.0
+#: Common insults that are taken for terms until the labels say otherwise, as if seen in so many toxic documents more.
+SEEDS = ("asshole", "bastard", "clown", "coward", "cretin", "disgusting", "dumbass", "filth", "fool", "idiot", "imbecile", "jerk", "liar", "loser", "moron", "pathetic", "pig", "retard", "scum", "shit", "stupid", "trash", "vermin", "worthless")
+SEED_WEIGHT = 2
 BEGINNINGS = (4, 5, 6, 7)
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ɡ": "g", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ℓ": "l", "ß": "ss", "ø": "o", "ł": "l", "đ": "d"}
 #: Digits and signs written for letters.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l"}
-EXCEPTIONS = ("idiot proof", "trash can", "trash bin", "clown fish")
 
 
 class _Letters(dict):
@@ -71,29 +72,27 @@ def fold(value: str) -> str:
 
 
 def training_row(doc_id: Column) -> Column:
-    """True where a document may be learnt from: crc32 of its id's text leaves a remainder other than 1."""
-    return F.crc32(doc_id.cast("string")) % 3 != 1
+    """True where a document may be learnt from: crc32 of its id's text leaves a remainder other than 1.
+
+    A null id counts as one, though no label can name it.
+    """
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 != 1, F.lit(True))
 
 
-def learn_terms(sample: DataFrame, most: int = MOST_TERMS) -> dict[str, float]:
-    """Terms with weights from rows (text, label): ' word ' or ' beginning'.
+def _counted(rows: DataFrame, terms_of) -> DataFrame:
+    """(term, clean, toxic, clean_hits, toxic_hits) of rows (text, label): documents and occurrences by label.
 
-    A weight is the log ratio of a term's occurrences per word in toxic and in other documents; a
-    term must also separate the documents by ``LEAST_GAIN``. Tasks count, Spark sums, and at most
-    ``most`` terms reach the driver.
+    ``terms_of()`` gives a function from folded words to a Counter; tasks count, Spark sums.
     """
     sums = ("clean", "toxic", "clean_hits", "toxic_hits")
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
+        of = terms_of()
         for batch in batches:
             for t, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                words, y = fold(t or "").split(), int(y > 0)
-                terms = Counter(f" {w} " for w in words if len(w) > 2)
-                for w in words:
-                    terms.update(f" {w[:k]}" for k in BEGINNINGS if len(w) > k)
-                terms[""] = len(words)
-                for term, n in terms.items():
+                y = int(y > 0)
+                for term, n in of(fold(t or "").split()).items():
                     own = seen.setdefault(term, [0, 0, 0, 0])
                     own[y] += 1
                     own[2 + y] += n
@@ -101,32 +100,95 @@ def learn_terms(sample: DataFrame, most: int = MOST_TERMS) -> dict[str, float]:
             columns = zip(*seen.values())
             yield pa.RecordBatch.from_pydict({"term": list(seen), **{c: pa.array(v, pa.int64()) for c, v in zip(sums, columns)}})
 
+    return rows.mapInArrow(count, f"term string, {', '.join(f'{c} long' for c in sums)}").groupBy("term").agg(*(F.sum(c).alias(c) for c in sums))
+
+
+def _gain(base: Column | float) -> Column:
+    """Nats by which splitting the documents on a term explains their labels better than the share ``base`` does."""
+    rate = F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    return F.when(F.col("toxic") > 0, F.col("toxic") * F.log(rate / base)).otherwise(0) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - rate) / (1 - base))).otherwise(0)
+
+
+def learn_terms(sample: DataFrame, seeds: tuple[str, ...] = SEEDS) -> dict[str, float | None]:
+    """Terms with weights from a bounded sample (text, label): ' word ' or ' beginning'; exception phrases have None.
+
+    A weight is the log ratio of a term's occurrences per word in toxic and in other documents. A term
+    must separate the documents by more than the logarithm of the number of terms tested, which the
+    best of as many useless ones would do by chance, and ``MARGIN`` nats, at any size of the sample. ``seeds``
+    are words that need no such evidence: they stay while their log ratio is high. A
+    phrase of a term and a neighbouring word is an exception if it lies in clean documents by as much
+    more than the term alone.
+    """
+
+    def every():
+        def of(words: list[str]) -> Counter:
+            terms = Counter(f" {w} " for w in words if len(w) > 2)
+            for w in words:
+                terms.update(f" {w[:k]}" for k in BEGINNINGS if len(w) > k)
+            terms[""] = len(words)
+            return terms
+
+        return of
+
     rows = sample.dropDuplicates(["text", "label"]).select("text", "label")
-    counts = rows.mapInArrow(count, f"term string, {', '.join(f'{c} long' for c in sums)}").groupBy("term").agg(*(F.sum(c).alias(c) for c in sums))
+    counts = _counted(rows, every)
     n = counts.where("term = ''").first()
     if n is None or not n.toxic or not n.clean:
         return {}
     base = n.toxic / (n.clean + n.toxic)
-    rate = F.col("toxic") / (F.col("toxic") + F.col("clean"))
-    gain = F.col("toxic") * F.log(rate / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - rate) / (1 - base))).otherwise(0)
     odds = F.log((F.col("toxic_hits") + 0.5) / (n.toxic_hits + 1)) - F.log((F.col("clean_hits") + 0.5) / (n.clean_hits + 1))
-    found = counts.where(f"term <> '' AND toxic >= 3 AND toxic > {base} * (clean + toxic)").select("term", "toxic", gain.alias("gain"), odds.alias("odds"))
-    found = found.where(f"gain >= {LEAST_GAIN} AND odds >= {LEAST_ODDS}").orderBy(F.desc("gain"), "term").limit(most).collect()
-    seen = {r.term: (r.toxic, min(r.odds, MOST_WEIGHT)) for r in found}
+    tested = storage.materialize(counts.where(f"term <> '' AND toxic >= 2 AND toxic > {base} * (clean + toxic)").select("term", "toxic", "clean", _gain(base).alias("gain"), odds.alias("odds")), "toxicity-terms")
+    least = math.log(max(1, tested.count())) + MARGIN
+    found = tested.where(f"gain >= {least} AND odds >= {LEAST_ODDS}").collect()  # of a bounded sample
+    seen = {r.term: (r.toxic, r.odds) for r in found}
+    known = {r.term: r for r in counts.where(F.col("term").isin([f" {w} " for w in seeds])).collect()}
+    for term in (f" {w} " for w in seeds if f" {w} " not in seen):
+        r = known.get(term)
+        weight = math.log(((r.toxic_hits if r else 0) + SEED_WEIGHT + 0.5) / (n.toxic_hits + 1)) - math.log(((r.clean_hits if r else 0) + 0.5) / (n.clean_hits + 1))
+        if weight >= LEAST_ODDS:
+            seen[term] = (r.toxic if r else 0, weight)
     longest: dict[str, int] = {}
-    for t, (n, _) in seen.items():
-        for k in BEGINNINGS:
-            if k + 1 < len(t):
-                longest[t[: k + 1]] = max(n, longest.get(t[: k + 1], 0))
+    for t, (k, _) in seen.items():
+        for size in BEGINNINGS:
+            if size + 1 < len(t):
+                longest[t[: size + 1]] = max(k, longest.get(t[: size + 1], 0))
     # a beginning stays if it stands for more than its commonest continuation; a term that adds nothing to its beginning goes
-    kept = {t: w for t, (n, w) in seen.items() if t.endswith(" ") or n > 1.1 * longest.get(t, 0)}
-    return {t: w for t, w in kept.items() if not any(kept.get(t[: k + 1], -1) >= w - 1 for k in BEGINNINGS if k + 1 < len(t))}
+    kept = {t: w for t, (k, w) in seen.items() if t.endswith(" ") or k > 1.1 * longest.get(t, 0)}
+    kept = {t: w for t, w in kept.items() if not any(kept.get(t[: k + 1], -1) >= w - 1 for k in BEGINNINGS if k + 1 < len(t))}
+    return kept | dict.fromkeys(_learn_exceptions(rows, kept))
+
+
+def _learn_exceptions(rows: DataFrame, terms: dict[str, float]) -> list[str]:
+    """Phrases of a term and the word before or after it that make it harmless."""
+
+    def phrases():
+        lexicon = Lexicon(terms)
+
+        def of(words: list[str]) -> Counter:
+            hit = [bool(lexicon.matches(f" {w} ")) for w in words]
+            near = Counter(f" {a} {b} " for a, b, x, y in zip(words, words[1:], hit, hit[1:]) if x != y)
+            near[""] = any(hit)
+            return near
+
+        return of
+
+    if not terms:
+        return []
+    counts = _counted(rows, phrases).where("clean + toxic >= 2")
+    counts = storage.materialize(counts, "toxicity-phrases")
+    whole = counts.where("term = ''").first()  # its hits are the documents with a term
+    if whole is None or not whole.toxic_hits or not whole.clean_hits:
+        return []
+    rate = whole.toxic_hits / (whole.toxic_hits + whole.clean_hits)
+    tested = counts.where(f"term <> '' AND toxic < {rate} * (clean + toxic)")
+    least = math.log(max(1, tested.count())) + MARGIN
+    return [r.term for r in tested.where(_gain(rate) >= least).select("term").collect()]  # of a bounded sample
 
 
 class Lexicon:
     """The automaton over terms and exception phrases; built once a task."""
 
-    def __init__(self, terms: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS):
+    def __init__(self, terms: dict[str, float | None], exceptions: tuple[str, ...] = ()):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
@@ -139,11 +201,10 @@ class Lexicon:
         if not self.empty:
             self.automaton.make_automaton()
 
-    def features(self, value: str) -> tuple[float, float]:
-        """(summed weights, weights per hundred words and 50 more), without what lies in an exception phrase."""
-        folded = fold(value)
+    def matches(self, folded: str) -> list[float]:
+        """The weight of the strongest term at each place of a folded text, without what lies in an exception phrase."""
         if self.empty:
-            return 0.0, 0.0
+            return []
         best: dict[int, float] = {}
         free: list[tuple[int, int]] = []
         for end, (size, weight) in self.automaton.iter(folded):
@@ -152,7 +213,21 @@ class Lexicon:
                 free.append((start, end))
             else:
                 best[start] = max(weight, best.get(start, 0.0))
-        total = sum(w for s, w in best.items() if not any(a <= s < b for a, b in free))
+        if not free:
+            return list(best.values())
+        # phrases may overlap: their union, in order
+        begins, ends = (np.array(x) for x in zip(*sorted(free)))
+        ends = np.maximum.accumulate(ends)
+        places = np.array(list(best))
+        at = np.searchsorted(begins, places, "right") - 1
+        return [w for w, p, k in zip(best.values(), places, at) if k < 0 or p >= ends[k]]
+
+    def features(self, value: str) -> tuple[float, float]:
+        """(summed weights, weights per hundred words and 50 more)."""
+        if self.empty:
+            return 0.0, 0.0
+        folded = fold(value)
+        total = float(sum(self.matches(folded)))
         return total, 100 * total / (49 + folded.count(" "))
 
 
@@ -173,7 +248,7 @@ def squash(features: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(features)), 1 - np.exp(-total / 4), np.log1p(total), 1 - np.exp(-share), np.log1p(share)])
 
 
-def model(docs: DataFrame, labels: DataFrame, most: int = sampling.SAMPLE) -> tuple[dict[str, float], list[float]]:
+def model(docs: DataFrame, labels: DataFrame, most: int = sampling.SAMPLE) -> tuple[dict[str, float | None], list[float]]:
     """(terms, weights) learnt from about ``most`` labelled training rows at most (see ``training_row``)."""
     sample = sampling.labelled(docs, labels, "toxic", most, training_row(F.col("doc_id")))
     sample = storage.materialize(sample, "toxicity-sample")
@@ -191,7 +266,7 @@ def model(docs: DataFrame, labels: DataFrame, most: int = sampling.SAMPLE) -> tu
     return terms, fit(rows[["total", "share"]].to_numpy(), rows["label"].gt(0).to_numpy())
 
 
-def scored(docs: DataFrame, terms: dict[str, float], weights: list[float], exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
+def scored(docs: DataFrame, terms: dict[str, float | None], weights: list[float], exceptions: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with a column score (0 to 1) of every whole text; null is empty and scores the base rate."""
     columns = [c for c in docs.columns if c != "score"]
 

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from palindra.llm import mixing, quality, storage, toxicity, warc
@@ -115,6 +116,44 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+@pytest.mark.parametrize(("sf", "found"), [("sf0.001", 3), ("sf0.01", 14)])
+def test_toxicity_follows_the_size_of_the_sample(spark, sf, found):
+    """Of the held-out toxic documents 3 and 14 hold an insult at all, disguised or not; the other labels are noise."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    terms, weights = toxicity.model(docs, labels)
+    rows = toxicity.scored(docs.join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 3 = 1").select("doc_id", "text", "toxic"), terms, weights).collect()
+    assert sum(r.toxic and r.score >= toxicity.THRESHOLD for r in rows) == found
+    assert not any(r.score >= toxicity.THRESHOLD for r in rows if not r.toxic)
+    assert len({r.score for r in rows}) > 1
+
+
+def test_terms_and_exceptions_are_learnt(spark):
+    r, words = random.Random(6), ["grass", "river", "stone", "cloud", "table", "green", "seven", "light"]
+    rows = []
+    for k in range(240):
+        toxic = k % 4 == 0
+        said = "blorg" if toxic else "blorg cheese" if k % 12 == 1 else "moron" if k % 4 == 2 else ""
+        body = [r.choice(words) + str(r.randrange(40)) for _ in range(30)]
+        rows.append((" ".join([*body[:9], said, *body[9:]]), int(toxic)))
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "text string, label int"))
+    assert terms[" blorg "] > 0 and [t for t, w in terms.items() if w is None] == [" blorg cheese "]
+    assert " moron " not in terms and " idiot " in terms  # a seed stays until the labels speak against it
+    lexicon = toxicity.Lexicon(terms)
+    assert lexicon.features("a blorg cheese")[0] == 0 < lexicon.features("cheese blorg")[0]
+    assert toxicity.learn_terms(spark.createDataFrame([], "text string, label int")) == {}
+
+
+def test_exception_phrases_may_overlap():
+    lexicon = toxicity.Lexicon({" a ": 1.0, " b ": 1.0, " c ": 1.0}, ("x a b", "b y", "c"))
+    assert lexicon.features("x a b y a")[0] == 1 and lexicon.features("a b c")[0] == 2 and lexicon.features("c b y b")[0] == 1
+
+
+def test_a_null_id_is_not_held_out(spark):
+    got = spark.createDataFrame([(None,), (1,)], "doc_id long").select(toxicity.training_row(F.col("doc_id")).alias("x")).collect()
+    assert got[0].x is True and got[1].x is not None
+
+
 def test_toxicity_without_labels(spark):
     docs = fixture.frame(spark, fixture.corpus())
     labels = spark.createDataFrame([(0, None), (None, 1), (3, 0)], "doc_id long, toxic int")
