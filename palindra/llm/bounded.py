@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import text
+from .memory import lean
 
 COUNT_BITS = 20
 BLOOM_BITS = 26
@@ -47,7 +48,7 @@ def gather(rows: DataFrame, fill: Callable[[np.ndarray, pa.RecordBatch], None],
         if chunk is not None:
             yield _chunks([(chunk, total.tobytes())])
 
-    parts = rows.mapInArrow(local, "chunk long, part binary").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(merge, "chunk long, part binary")
+    parts = rows.mapInArrow(lean(local), "chunk long, part binary").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(lean(merge), "chunk long, part binary")
     out = np.zeros(size, dtype).reshape(-1, min(_CHUNK, size))
     for row in parts.toLocalIterator():
         out[row.chunk] = np.frombuffer(row.part, dtype)
@@ -106,5 +107,5 @@ def split(rows: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, Cal
             hit[some] = passes(table.value, value(c.drop_null()))
             yield b.filter(pa.array(hit == wanted))
 
-    touched = rows.mapInArrow(lambda batches: part(True, batches), rows.schema)
-    return touched, lambda f, schema: rows.mapInArrow(lambda batches: f(part(False, batches)), schema)
+    touched = rows.mapInArrow(lean(lambda batches: part(True, batches)), rows.schema)
+    return touched, lambda f, schema: rows.mapInArrow(lean(lambda batches: f(part(False, batches))), schema)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import lean
+
 LIST = 128
 BLOCK = 256
 BLOCK_ITEMS = 1 << 19
@@ -113,7 +115,7 @@ def verified(pairs_: DataFrame, sets: DataFrame, key: list[str], least: tuple[in
             good = alike(common, np.array([len(p) for p in x], np.int64), np.array([len(q) for q in y], np.int64), least)
             yield b.select(names).filter(pa.array(good, pa.bool_()))
 
-    return both.select(*names, "a_hashes", "b_hashes").mapInArrow(check, pairs_.schema)
+    return both.select(*names, "a_hashes", "b_hashes").mapInArrow(lean(check), pairs_.schema)
 
 
 #: A key with more than this share of the rows is heavy; there are fewer such keys than its inverse.
@@ -192,7 +194,7 @@ def run_jobs(jobs: DataFrame, task: Callable[[pa.Table, np.ndarray], pa.RecordBa
                     yield out
             held = table.slice(int(begins[-1])) if keep else None
 
-    return jobs.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(run, schema)
+    return jobs.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(lean(run), schema)
 
 
 def _with_end(batches) -> Iterator[pa.RecordBatch | None]:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bounded, joins, storage, text
+from .memory import lean
 from .components import components
 
 INDEXED = 24
@@ -54,7 +55,7 @@ def signatures(docs: DataFrame, size: int, lower: bool) -> DataFrame:
             marks = np.ascontiguousarray(text.mix(low).astype(np.uint16))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n), pa.array([_digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * INDEXED), pa.array(tokens.ravel())), pa.array([m.tobytes() for m in marks], pa.binary())], names=["doc_id", "n", "digest", "tokens", "marks"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, tokens array<long>, marks binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, digest binary, tokens array<long>, marks binary")
 
 
 def postings(classes: DataFrame, needed: int) -> DataFrame:
@@ -93,7 +94,7 @@ def _candidates(postings_: DataFrame, enough: int, least: tuple[int, int], most:
                     yield pa.RecordBatch.from_arrays([digest.take(pa.array(i)), digest.take(pa.array(j)), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int64())], names=["a", "b", "token", "n"])
 
     ordered = postings_.repartition("token").sortWithinPartitions("token", "digest")
-    return ordered.mapInArrow(run, "a binary, b binary, token long, n long")
+    return ordered.mapInArrow(lean(run), "a binary, b binary, token long, n long")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, lower: bool) -> DataFrame:
@@ -112,7 +113,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, lower: bool) ->
             if sets:
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "hashes"])
 
-    found = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "digest binary, hashes binary")
+    found = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "digest binary, hashes binary")
     return found.join(wanted.select("digest"), "digest").groupBy("digest").agg(F.first("hashes").alias("hashes"))
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import storage, text, tokens
+from .memory import lean
 
 WINDOW = 2048
 END_ID = 1
@@ -47,7 +48,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID)
             ids = np.insert(ids.astype("<u4"), first[1:], end_id)
             yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), binary(ids, first + np.arange(len(first)))], names=["doc_id", "ids"])
 
-    return storage.materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary"), "token-ids")
+    return storage.materialize(docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, ids binary"), "token-ids")
 
 
 def binary(ids: np.ndarray, first: np.ndarray) -> pa.Array:
@@ -77,7 +78,7 @@ def statistics(encoded: DataFrame) -> tuple[np.ndarray, float, int]:
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], used])), pa.array(np.concatenate([[rows, total], df[used]]))], names=["term", "n"])
 
-    found = encoded.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    found = encoded.select("ids").mapInArrow(lean(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     by = dict(zip(found["term"], found["n"]))
     rows, total = int(by.pop(-2, 0)), int(by.pop(-1, 0))
     df = np.zeros(max(by, default=0) + 1, np.int64)
@@ -127,7 +128,7 @@ def routed(encoded: DataFrame, place: np.ndarray) -> DataFrame:
             spread = (text.mix(doc.view(np.uint64)) >> np.uint64(33)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("ids"), pa.array(key[:, 0] << 32 | key[:, 1]), pa.array(key[:, 2] << 32 | spread)], names=["doc_id", "ids", "name", "rest"])
 
-    keyed = encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, ids binary, name long, rest long")
+    keyed = encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(lean(run), "doc_id long, ids binary, name long, rest long")
     return keyed.repartitionByRange("name", "rest").sortWithinPartitions("name", "rest").select("doc_id", "ids")
 
 
@@ -263,7 +264,7 @@ def pack(encoded: DataFrame, window: int = WINDOW, shard_tokens: int = SHARD_TOK
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*pieces), kinds)], names=[c.split()[0] for c in PIECES.split(", ")])
 
-    return routed(encoded, term_order(df, idf)).mapInArrow(run, PIECES)
+    return routed(encoded, term_order(df, idf)).mapInArrow(lean(run), PIECES)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
