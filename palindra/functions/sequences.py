@@ -43,6 +43,48 @@ def second_form(seq: Column, type_code: Column) -> Column:
     return F.when(type_code.isin(8, 9), seq).otherwise(F.substr(seq, F.lit(1), F.length(seq) - 1))
 
 
+def restored(a_form: Column, type_code: Column) -> Column:
+    """The sequence with its flanking cut residues of the first digest's peptide: the inverse of :func:`first_form`."""
+    cut = F.when(type_code.isin(1, 4, 8), "K").when(type_code.isin(2, 5, 9), "R").otherwise("")
+    return F.concat(cut, a_form)
+
+
+def joined(a_form: Column, b_form: Column) -> Column:
+    """The restored sequence of both digests' peptides; null if they do not overlap as mirrors do, one alone stands for both."""
+    head = F.substr(a_form, F.lit(1), F.length(a_form) - 1)
+    tail = F.substr(b_form, F.lit(2))
+    both = F.when(a_form == b_form, a_form).when((F.length(a_form) == F.length(b_form)) & (head == tail), F.concat(b_form, F.right(a_form, F.lit(1))))
+    both = both.when(head == b_form, a_form).when(a_form == tail, b_form)
+    return F.when(a_form.isNull(), b_form).when(b_form.isNull(), a_form).otherwise(both)
+
+
+def tool_letters(seq: Column, tool: str) -> Column:
+    """Other tools' letters for modified residues in the bracket form: 'pnovo' writes a, 'pnovom' J for oxidised methionine."""
+    oxidised = {"pnovo": "a", "pnovom": "J"}[tool]
+    out = F.regexp_replace(F.regexp_replace(seq, oxidised, "M(+15.99)"), "C", "C(+57.02)")
+    return leucine(out) if tool == "pnovom" else F.regexp_replace(out, "^0(.)", "B(+42.01)$1")
+
+
+def place_text(protein: Column, start: Column, end: Column) -> Column:
+    """A place as 'protein$start$end'; several are joined by '&'."""
+    return F.concat_ws("$", protein, start.cast("string"), end.cast("string"))
+
+
+def word(value: Column, separator: str, nth: int) -> Column:
+    """The nth piece, from 0, negative ones from the end; null if there is none."""
+    parts = F.split(value, f"\\Q{separator}\\E")
+    return F.get(parts, F.lit(nth) if nth >= 0 else F.size(parts) + nth)
+
+
+def between(value: Column, left: str, right: str) -> Column:
+    """What lies between the first ``left`` and the next ``right``; null if either is missing."""
+    return F.nullif(F.regexp_extract(value, f"(?s)\\Q{left}\\E(.*?)\\Q{right}\\E", 0), F.lit("")).substr(F.lit(len(left) + 1), F.length(F.regexp_extract(value, f"(?s)\\Q{left}\\E(.*?)\\Q{right}\\E", 1)))
+
+
+def count_of(value: Column, letter: str) -> Column:
+    return F.length(value) - F.length(F.replace(value, F.lit(letter)))
+
+
 def mass(seq: Column) -> Column:
     """MH+ of unmodified residues; null where a letter is no residue."""
     table = F.create_map(*(x for a, m in chemistry.RESIDUES.items() for x in (F.lit(a), F.lit(m))))

@@ -7,40 +7,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 SEED = 4
-
-
 STRETCH = 64
+#: Letters that a place carries along; longer peptides are verified on their proteins.
+AHEAD = 32
 
 
-def places(proteins: DataFrame, k: int, ahead: int) -> DataFrame:
-    """(protein_id, pos, kmer, ahead) of every place, from 0: the next ``k`` and the next ``ahead`` letters.
+def places(proteins: DataFrame, ahead: int = AHEAD) -> DataFrame:
+    """(protein_id, pos, ahead) of every place, from 0, with the next ``ahead`` letters.
 
     Sequences are cut into overlapping stretches first, so no place walks through its whole protein.
     """
     size = F.length("seq")
     parts = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / STRETCH).cast("int")), lambda c: F.struct((c * STRETCH).alias("at"), F.substr("seq", c * STRETCH + 1, F.lit(STRETCH + ahead - 1)).alias("part")))
-    stretches = proteins.where(size >= k).select("protein_id", size.alias("size"), F.explode(parts).alias("s"))
-    last = F.least(F.lit(STRETCH - 1), F.col("size") - k - F.col("s.at"))
+    stretches = proteins.where(size > 0).select("protein_id", size.alias("size"), F.explode(parts).alias("s"))
+    last = F.least(F.lit(STRETCH - 1), F.col("size") - 1 - F.col("s.at"))
     here = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((F.col("s.at") + i).alias("pos"), F.substr(F.col("s.part"), i + 1, F.lit(ahead)).alias("ahead")))
-    rows = stretches.where(last >= 0).select("protein_id", F.explode(here).alias("p")).select("protein_id", "p.*")
-    return rows.select("protein_id", "pos", F.substring("ahead", 1, k).alias("kmer"), "ahead")
+    return stretches.select("protein_id", F.explode(here).alias("p")).select("protein_id", "p.*")
 
 
 def locate(peptides: DataFrame, proteins: DataFrame, k: int = SEED) -> DataFrame:
     """(sequence, protein_id, start, end) of every occurrence of distinct peptides, end exclusive.
 
-    Peptides of at least the seed's length meet the places of their first k letters and are verified
-    on the letters ahead; shorter ones meet the places of their own length. Equal peptides are
-    searched once; empty ones have no place.
+    A peptide's seed is its first ``k`` letters, or all if it is shorter. Places are first held against the wanted seeds,
+    of which there are at most 26 ** k and a few, so they are broadcast; what is left meets the peptides of its seed, dealt
+    by seed and place so that a common seed is no single task's, and is verified on the letters ahead or, beyond
+    ``AHEAD``, on the protein. Equal peptides are searched once; empty ones have no place.
     """
-    wanted = peptides.select("sequence").where("sequence <> ''").distinct()
-    lengths = wanted.agg(F.max(F.length("sequence")).alias("most"), F.collect_set(F.when(F.length("sequence") < k, F.length("sequence"))).alias("short")).first()
-    most = max(lengths.most or 0, k)
-    long = wanted.where(F.length("sequence") >= k).withColumn("kmer", F.substring("sequence", 1, k))
-    found = places(proteins, k, most).join(long, "kmer").where(F.col("ahead").startswith(F.col("sequence"))).select("sequence", "protein_id", "pos")
-    for n in sorted(lengths.short):  # fewer than k lengths
-        short = wanted.where(F.length("sequence") == n).withColumn("kmer", F.col("sequence"))
-        found = found.union(places(proteins, n, n).join(short, "kmer").select("sequence", "protein_id", "pos"))
+    wanted = peptides.select("sequence").where("sequence <> ''").distinct().withColumn("seed", F.substring("sequence", 1, k))
+    seeds = wanted.select("seed").distinct()
+    lengths = seeds.agg(F.collect_set(F.length("seed")).alias("lengths"))  # one row of at most k numbers
+    heads = F.explode(F.array_distinct(F.transform("lengths", lambda n: F.substr("ahead", F.lit(1), n))))
+    hits = places(proteins).crossJoin(F.broadcast(lengths)).select("protein_id", "pos", "ahead", heads.alias("seed")).join(F.broadcast(seeds), "seed")
+    salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    found = hits.withColumn("salt", F.pmod("pos", F.lit(8)).cast("int")).join(salted, ["seed", "salt"])
+    found = found.where(F.col("ahead").startswith(F.substring("sequence", 1, AHEAD))).select("sequence", "protein_id", "pos")
+    long = F.length("sequence") > AHEAD
+    checked = found.where(long).join(proteins.select("protein_id", "seq"), "protein_id")
+    checked = checked.where(F.substr("seq", F.col("pos") + 1, F.length("sequence")) == F.col("sequence")).select("sequence", "protein_id", "pos")
+    found = found.where(~long).union(checked)
     return found.select("sequence", "protein_id", F.col("pos").alias("start"), (F.col("pos") + F.length("sequence")).alias("end"))
 
 

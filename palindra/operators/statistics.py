@@ -100,9 +100,9 @@ def confusion(rows: DataFrame, truth: Column, said: Column) -> DataFrame:
 def topk_recall(rows: DataFrame, title: str, rank: str, hit: Column, most: int = 10) -> DataFrame:
     """(k, n_hit, n_title, recall): titles whose first correct candidate has a rank of at most k."""
     best = rows.groupBy(title).agg(F.min(F.when(hit, F.col(rank))).alias("best"))
-    totals = best.groupBy("best").agg(F.count("*").alias("n"))
-    all_ = F.sum("n").over(W.partitionBy())
+    totals = best.groupBy(F.when(F.col("best") <= most, F.col("best")).alias("best")).agg(F.count("*").alias("n"))
+    hits = totals.where("best IS NOT NULL").select(F.explode(F.sequence(F.greatest(F.ceil("best"), F.lit(1)).cast("long"), F.lit(most).cast("long"))).alias("k"), "n").groupBy("k").agg(F.sum("n").alias("n_hit"))
+    n_title = totals.agg(F.sum("n").alias("n_title"))  # one row
     ks = rows.sparkSession.range(1, most + 1).select(F.col("id").alias("k"))
-    counts = totals.withColumn("n_title", all_)
-    out = ks.join(counts, F.lit(True))  # ranks times ranks
-    return out.groupBy("k").agg(F.sum(F.when(F.col("best") <= F.col("k"), F.col("n")).otherwise(0)).alias("n_hit"), F.max("n_title").alias("n_title")).withColumn("recall", F.round(F.col("n_hit") / F.col("n_title"), 6))
+    out = ks.join(hits, "k", "left").crossJoin(F.broadcast(n_title)).select("k", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), "n_title")
+    return out.withColumn("recall", F.round(F.col("n_hit") / F.col("n_title"), 6))

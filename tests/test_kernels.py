@@ -5,10 +5,13 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from palindra import chemistry
 from palindra.config import Config
+from palindra.functions import ions, sequences
 from palindra.kernels import pairscore, peaklists, sequencing
+from palindra.operators import mapping
 
 
 def test_isotope_cluster_of_charge_two():
@@ -122,3 +125,43 @@ def test_config_round_trip():
     for bad in ("DECOY_MODE=7", "NOPE=1", "MASS_LOW=9000"):
         with pytest.raises(ValueError):
             Config.parse(bad)
+
+
+def test_long_peptides_are_verified_on_their_proteins(spark):
+    body = "ACDEFGHKLM" * 12
+    proteins = spark.createDataFrame([(1, "WW" + body + "YY"), (2, body[:60] + "P" + body[:20]), (3, ""), (4, None)], "protein_id int, seq string")
+    asked = [body[:32], body[:33], body[:100], body[3:63], "WW", "W", "Y", "", "ACDEFGHKLMW"]
+    got = {tuple(r) for r in mapping.locate(spark.createDataFrame([(x,) for x in asked] + [(asked[0],)], "sequence string"), proteins).collect()}
+    want = set()
+    for x in filter(None, asked):
+        for i, seq in ((1, "WW" + body + "YY"), (2, body[:60] + "P" + body[:20])):
+            want |= {(x, i, at, at + len(x)) for at in range(len(seq)) if seq.startswith(x, at)}
+    assert got == want
+
+
+def test_mirror_evidence_is_moved_onto_the_first_digest(spark):
+    rows = spark.createDataFrame([("GASPVTCLNDQK",)], "seq string")
+    site = F.array(*(F.struct(F.lit(t).alias("tag"), F.lit(float(v)).alias("inten")) for t, v in ((0, 0), (1, 5), (0, 0))))
+    mirror = F.array(*(F.struct(F.lit(t).alias("tag"), F.lit(float(v)).alias("inten")) for t, v in ((1, 1), (0, 2), (1, 3))))
+    got = rows.select(ions.merged_evidence(site, mirror, F.lit(1)).alias("x"), ions.merged_evidence(site, mirror, F.lit(6)).alias("y")).first()
+    assert [tuple(p) for p in got.x] == [(0, 2.0), (1, 8.0), (1, 0.0)]
+    assert [tuple(p) for p in got.y] == [(1, 1.0), (1, 7.0), (1, 3.0)]
+    peaks = F.array(*(F.struct(F.lit(100.0 + k).alias("mz"), F.lit(float(k)).alias("inten")) for k in range(6)))
+    tags = rows.select(ions.strong_sites(ions.merged_evidence(site, mirror, F.lit(1)), peaks, F.lit(1), 3).alias("t")).first().t
+    assert tags == [0, 1, 1]
+    assert rows.select(ions.site_coverage(F.array(F.lit(1), F.lit(1))).alias("c")).first().c == 1.0
+
+
+def test_ladder_and_evidence_of_a_known_peptide(spark):
+    peptide = "PEPTLDEK"
+    b, y = sequencing.ladder(peptide)
+    peaks = sorted([(float(m), 10.0) for m in b[:3]] + [(float(m), 7.0) for m in y[::-1][3:]])
+    rows = spark.createDataFrame([(peptide, peaks, 2)], "seq string, peaks array<struct<mz:double,inten:double>>, charge int")
+    got = rows.select(ions.ladder(F.col("seq")).alias("l"), ions.evidence(F.col("seq"), F.col("peaks"), F.col("charge")).alias("e")).first()
+    assert [round(x.b, 5) for x in got.l] == [round(float(m), 5) for m in b] and [round(x.y, 5) for x in got.l] == [round(float(m), 5) for m in y[::-1]]
+    assert [x.tag for x in got.e] == [1] * 7 and [x.inten for x in got.e] == [10.0] * 3 + [7.0] * 4
+
+
+def test_bracketed_strings(spark):
+    row = spark.createDataFrame([("a[bc]d[e]",), ("none",)], "s string").select(sequences.between(F.col("s"), "[", "]").alias("x"), sequences.word(F.col("s"), "]", -1).alias("y")).collect()
+    assert (row[0].x, row[1].x, row[0].y) == ("bc", None, "")

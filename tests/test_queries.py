@@ -35,7 +35,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_kernel_queries_run(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() >= 0
+    assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
