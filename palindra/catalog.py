@@ -17,6 +17,7 @@ from palindra.functions import ions
 from palindra.functions import peaks as P
 from palindra.functions import sequences as S
 from palindra.operators import kernels, mapping, merging, recall, statistics
+from palindra.plans import workflow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -519,21 +520,18 @@ def session_rt(spark, sf_dir):
 # ---- kernels: no SQL form, tested on hand-made and synthetic spectra ------------------------------
 
 
-def _few(spark, sf_dir, n=60):
-    rows = spectra(spark, sf_dir)
-    return rows.withColumn("peaks", F.transform(P.top(F.col("peaks"), n), lambda p: F.struct(p.mz.alias("mz"), p.inten.alias("inten"))))
-
-
 @query()
 def isotope_cluster(spark, sf_dir):
-    return kernels.isotopes(_few(spark, sf_dir, 200))
+    """Peaks of charge one, from all peaks of every spectrum."""
+    return kernels.isotopes(spectra(spark, sf_dir))
 
 
 @query()
 def judge_type(spark, sf_dir):
-    """Scored pairs of neighbouring spectra, read as type A1 or A2."""
-    rows = _few(spark, sf_dir).select(F.col("spectrum").alias("id"), "mass", "peaks")
-    pairs = rows.where("id % 2 = 0").select(F.col("id").alias("a_id"), (F.col("id") + 1).alias("b_id"), F.lit(0).alias("type_code"))
+    """Scored pairs of every cleaned spectrum with the next one, read as each of the types A to G."""
+    rows = workflow.clean(spectra(spark, sf_dir).select(F.col("spectrum").alias("id"), F.col("mass").alias("mh"), "peaks")).withColumnRenamed("mh", "mass")
+    codes = F.array(*(F.lit(c) for c in sorted({code for code, _ in chemistry.recall_types()})))
+    pairs = rows.select(F.col("id").alias("a_id"), (F.col("id") + 1).alias("b_id"), F.explode(codes).alias("type_code"))
     return kernels.scored_pairs(pairs, rows, rows)
 
 
@@ -541,14 +539,14 @@ def ladders(spark, sf_dir):
     """(spectrum, mass, peaks, sequence): the b and y ions of part names' first letters read as residues; W, which weighs about as much as two
     pairs of residues, is left out."""
     seq = F.translate(F.regexp_replace(F.upper("p_name"), "[^A-Z]", ""), "IBJOUXZW", "LAAAAAAV")
-    rows = table(spark, sf_dir, "part").where("p_partkey % 4 > 0").select(F.col("p_partkey").cast("long").alias("spectrum"), F.substring(seq, 1, 9).alias("sequence"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("spectrum"), F.substring(seq, 1, 9).alias("sequence"))
     sites = ions.ladder(F.col("sequence"))
     peak = lambda m: F.struct(m.alias("mz"), F.lit(1.0).alias("inten"))
     peaks = F.array_sort(F.concat(F.transform(sites, lambda x: peak(x["b"])), F.transform(sites, lambda x: peak(x["y"]))))
     return rows.select("spectrum", S.mass(F.col("sequence")).alias("mass"), peaks.alias("peaks"), "sequence")
 
 
-_KNOWN = "SELECT CAST(p_partkey AS BIGINT) AS spectrum, substr(translate(regexp_replace(upper(p_name), '[^A-Z]', '', 'g'), 'IBJOUXZW', 'LAAAAAAV'), 1, 9) AS sequence FROM part WHERE p_partkey % 4 > 0"
+_KNOWN = "SELECT CAST(p_partkey AS BIGINT) AS spectrum, substr(translate(regexp_replace(upper(p_name), '[^A-Z]', '', 'g'), 'IBJOUXZW', 'LAAAAAAV'), 1, 9) AS sequence FROM part"
 
 
 def _recovered(spark, sf_dir, search):

@@ -20,6 +20,7 @@ class Config:
     final_peaks: int = 200
     peaks_per_bin: int = 7
     bin_width: float = 100.0
+    deisotope: bool = True
     decoy_mode: int = 2
     p_threshold: float = 0.05
     fdr_threshold: float = 0.02
@@ -31,6 +32,8 @@ class Config:
             raise ValueError("mass_low must be positive and below mass_high")
         if self.decoy_mode not in (0, 1, 2, 3):
             raise ValueError("decoy_mode is 0, 1, 2 or 3")
+        if not self.fragment_ppm:
+            raise ValueError("fragment tolerances are in ppm")
         for name in ("precursor_tolerance", "fragment_tolerance", "keep_peaks", "final_peaks", "peaks_per_bin", "bin_width", "report_limit"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive")

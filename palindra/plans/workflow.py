@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palindra.config import Config
 from palindra.functions import peaks as P
+from palindra.kernels import pairscore
 from palindra.operators import kernels, mapping, merging, recall, statistics
 
 
@@ -15,6 +16,8 @@ def clean(spectra: DataFrame, cfg: Config | None = None) -> DataFrame:
     cfg = cfg or Config()
     rows = spectra.withColumn("peaks", P.top(F.col("peaks"), max(cfg.keep_peaks, 350)))
     rows = rows.withColumn("peaks", P.without_immonium(P.trimmed(F.col("peaks"), F.col("mh"), cfg.proton)))
+    if cfg.deisotope:
+        rows = kernels.deisotoped(rows, tolerance=cfg.fragment_tolerance)
     rows = rows.withColumn("_bins", P.by_bin(F.col("peaks"), cfg.bin_width)).withColumn("peaks", P.top_by_bin(F.col("_bins"), cfg.peaks_per_bin)).drop("_bins")
     rows = rows.withColumn("peaks", P.top(F.col("peaks"), cfg.final_peaks))
     rows = rows.withColumns({"_lo": F.array_min(F.transform("peaks", lambda p: p.inten)), "_hi": F.array_max(F.transform("peaks", lambda p: p.inten))})
@@ -23,12 +26,16 @@ def clean(spectra: DataFrame, cfg: Config | None = None) -> DataFrame:
 
 
 def pair(a: DataFrame, b: DataFrame, cfg: Config | None = None) -> DataFrame:
-    """Scored mirror pairs with q-values, for spectra (id, mh, rt, peaks)."""
+    """Scored mirror pairs for spectra (id, mh, rt, peaks), with q-values in the decoy mode that has both sides (2).
+
+    In mode 1 the precursors of a are shifted for the recall and the mass range, not for the scores.
+    """
     cfg = cfg or Config()
-    found = recall.mirror_candidates(a, b, cfg.precursor_tolerance, cfg.precursor_ppm, cfg.rt_window)
+    shifted = a.withColumn("mh", F.col("mh") + pairscore.SHIFT) if cfg.decoy_mode == 1 else a
+    found = recall.mirror_candidates(shifted, b, cfg.precursor_tolerance, cfg.precursor_ppm, cfg.rt_window, masses=(cfg.mass_low, cfg.mass_high))
     named = lambda t: t.select("id", F.col("mh").alias("mass"), "peaks")
-    scored = kernels.scored_pairs(found, named(a), named(b))
-    return statistics.q_values(scored, "target_p", "decoy_p", ["a_id", "b_id", "mirror_type"])
+    scored = kernels.scored_pairs(found, named(a), named(b), cfg.decoy_mode)
+    return statistics.q_values(scored, "target_p", "decoy_p", ["a_id", "b_id", "mirror_type"]) if cfg.decoy_mode == 2 else scored
 
 
 def accepted(pairs: DataFrame, cfg: Config | None = None, by_p: bool = False) -> DataFrame:

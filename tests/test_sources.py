@@ -4,11 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from palindra import chemistry
+from palindra.config import Config
 from palindra.functions import peaks as P
 from palindra.functions import registry
 from palindra.functions import sequences as S
 from palindra.kernels import sequencing
-from palindra.operators import mapping, recall
+from palindra.operators import kernels, mapping, recall
 from palindra.plans import workflow
 from palindra.sources import readers, writers
 from palindra.streaming import events
@@ -101,10 +102,29 @@ def test_pairing_finds_the_mirror(spark):
     b = _spectra(spark, ["KPEPTLDEGASKAAGL", "WWPHDCDGVVNMDDA"])
     pairs = workflow.pair(workflow.clean(a), workflow.clean(b)).collect()
     assert {(p.a_id, p.b_id) for p in pairs if p.a_id == 0} == {(0, 0)}
+    decoys = workflow.pair(workflow.clean(a), workflow.clean(b), Config(decoy_mode=3)).collect()
+    assert {p.a_id for p in decoys} == {p.a_id for p in pairs} and all(p.target_p == float("inf") and p.target_score == 0 for p in decoys)
+    plain = workflow.pair(workflow.clean(a), workflow.clean(b), Config(decoy_mode=0)).collect()
+    assert {(p.a_id, p.target_p, p.decoy_p) for p in plain} == {(p.a_id, p.target_p, float("inf")) for p in pairs}
+    shifted = a.withColumn("mh", F.col("mh") - 15.0)
+    assert workflow.pair(workflow.clean(shifted), workflow.clean(b), Config(decoy_mode=1)).count() == len(pairs)
+    assert workflow.pair(workflow.clean(a), workflow.clean(b), Config(mass_low=3000.0)).count() == 0
     found = workflow.sequence(_spectra(spark, ["PEPTLDEK"]).select(F.col("id").alias("spectrum"), F.col("mh").alias("mass"), "peaks"), spark.createDataFrame([("p", "AAPEPTLDEKAA")], "protein_id string, seq string"))
     assert "T" in {r.tag for r in found.collect()}
 
 
+def test_clusters_become_single_peaks(spark):
+    """A doubly charged cluster is one peak of charge one; null and empty lists, other columns and order of rows stay."""
+    cluster = [(500.0 + k * chemistry.NEUTRON / 2, 100.0 - 30 * k) for k in range(3)]
+    rows = spark.createDataFrame([(1, cluster[::-1], "x"), (2, None, None), (3, [], "z")], "id long, peaks array<struct<mz double, inten double>>, extra string").coalesce(1)
+    out = {r.id: r for r in kernels.deisotoped(rows).collect()}
+    assert {k: r.extra for k, r in out.items()} == {1: "x", 2: None, 3: "z"}
+    assert out[2].peaks == out[3].peaks == []
+    assert len(out[1].peaks) == 1 and abs(out[1].peaks[0].mz - (2 * 500.0 - chemistry.PROTON)) < 1e-6
+    with pytest.raises(ValueError):
+        Config(fragment_ppm=False)
+
+
 def test_streams_equal_batches(spark, tmp_path):
     rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", "event_type")
     rows.write.parquet(str(tmp_path / "in"))
