@@ -520,19 +520,24 @@ def session_rt(spark, sf_dir):
 # ---- kernels: no SQL form, tested on hand-made and synthetic spectra ------------------------------
 
 
+def _spread(rows):
+    """Rows dealt to all cores: a kernel takes far longer a byte than the scans that partitions are sized for."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 @query()
 def isotope_cluster(spark, sf_dir):
     """Peaks of charge one, from all peaks of every spectrum."""
-    return kernels.isotopes(spectra(spark, sf_dir))
+    return kernels.isotopes(_spread(spectra(spark, sf_dir)))
 
 
 @query()
 def judge_type(spark, sf_dir):
     """Scored pairs of every cleaned spectrum with the next one, read as each of the types A to G."""
-    rows = workflow.clean(spectra(spark, sf_dir).select(F.col("spectrum").alias("id"), F.col("mass").alias("mh"), "peaks")).withColumnRenamed("mh", "mass")
+    rows = workflow.clean(_spread(spectra(spark, sf_dir)).select(F.col("spectrum").alias("id"), F.col("mass").alias("mh"), "peaks")).withColumnRenamed("mh", "mass")
     codes = F.array(*(F.lit(c) for c in sorted({code for code, _ in chemistry.recall_types()})))
     pairs = rows.select(F.col("id").alias("a_id"), (F.col("id") + 1).alias("b_id"), F.explode(codes).alias("type_code"))
-    return kernels.scored_pairs(pairs, rows, rows)
+    return kernels.scored_pairs(_spread(pairs), rows, rows)
 
 
 def ladders(spark, sf_dir):
@@ -551,7 +556,7 @@ _KNOWN = "SELECT CAST(p_partkey AS BIGINT) AS spectrum, substr(translate(regexp_
 
 def _recovered(spark, sf_dir, search):
     rows = ladders(spark, sf_dir)
-    return rows.select("spectrum", "sequence").join(kernels.sequenced(rows, 10, search), ["spectrum", "sequence"], "left_semi").select("spectrum", "sequence")
+    return rows.select("spectrum", "sequence").join(kernels.sequenced(_spread(rows), 10, search), ["spectrum", "sequence"], "left_semi").select("spectrum", "sequence")
 
 
 @query(_KNOWN)
