@@ -159,13 +159,14 @@ def peak_local_rank(spark, sf_dir):
     return spectra(spark, sf_dir).select("spectrum", F.explode(F.transform("peaks", rank)).alias("p")).select("spectrum", "p.*")
 
 
-@query(f"WITH {_PEAKS} SELECT spectrum, k, j, round(inten / max(inten) OVER (PARTITION BY spectrum ORDER BY mz RANGE BETWEEN 50 PRECEDING AND 50 FOLLOWING), 6) AS local_share FROM p")
+@query(
+    f"WITH {_PEAKS} SELECT a.spectrum, a.k, a.j, round(a.inten / max(b.inten), 6) AS local_share FROM p a JOIN p b "
+    "ON b.spectrum = a.spectrum AND abs(b.mz - a.mz) < 50 - 1e-9 GROUP BY a.spectrum, a.k, a.j, a.mz, a.inten"
+)
 def peak_local_relative(spark, sf_dir):
-    """Intensity relative to the strongest peak within 50 of m/z."""
-    from pyspark.sql import Window as W
-
-    near = W.partitionBy("spectrum").orderBy("mz").rangeBetween(-50, 50)
-    return _long_peaks(spark, sf_dir).select("spectrum", "k", "j", F.round(F.col("inten") / F.max("inten").over(near), 6).alias("local_share"))
+    """Intensity relative to the strongest peak less than 50 of m/z away (to a billionth, as m/z is rounded)."""
+    strongest = F.expr("max(inten) OVER (PARTITION BY spectrum ORDER BY mz RANGE BETWEEN 49.999999999D PRECEDING AND 49.999999999D FOLLOWING)")
+    return _long_peaks(spark, sf_dir).select("spectrum", "k", "j", F.round(F.col("inten") / strongest, 6).alias("local_share"))
 
 
 @query(
