@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, line_dedup, mixing, near_dups, packing, quality, suffix_dedup, token_store, toxicity, warc
+from . import bpe, fingerprints, importance, line_dedup, mixing, near_dups, packing, quality, suffix_dedup, token_store, toxicity, warc, whitening
 
 QUERIES = {
     "op1_fingerprint": fingerprints.op1_fingerprint,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_warc": warc.op9_warc,
     "op10_mix": mixing.op10_mix,
+    "op11_importance": importance.op11_importance,
+    "op12_bpe": bpe.op12_bpe,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 SQL = {
     "op2_near_dups": near_dups.OP2_SQL,
     "op9_warc": warc.OP9_SQL,
     "op10_mix": mixing.OP10_SQL,
+    "op11_importance": importance.OP11_SQL,
 }
