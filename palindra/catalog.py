@@ -542,17 +542,16 @@ def judge_type(spark, sf_dir):
 
 
 def ladders(spark, sf_dir):
-    """(spectrum, mass, peaks, sequence): the b and y ions of part names' first letters read as residues; W, which weighs about as much as two
-    pairs of residues, is left out."""
-    seq = F.translate(F.regexp_replace(F.upper("p_name"), "[^A-Z]", ""), "IBJOUXZW", "LAAAAAAV")
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("spectrum"), F.substring(seq, 1, 9).alias("sequence"))
+    """(spectrum, mass, peaks, sequence): the b and y ions of all letters of part names and kinds, read as residues."""
+    seq = F.translate(F.regexp_replace(F.upper(F.concat("p_name", "p_type")), "[^A-Z]", ""), "IBJOUXZ", "LAAAAAA")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("spectrum"), seq.alias("sequence"))
     sites = ions.ladder(F.col("sequence"))
     peak = lambda m: F.struct(m.alias("mz"), F.lit(1.0).alias("inten"))
     peaks = F.array_sort(F.concat(F.transform(sites, lambda x: peak(x["b"])), F.transform(sites, lambda x: peak(x["y"]))))
     return rows.select("spectrum", S.mass(F.col("sequence")).alias("mass"), peaks.alias("peaks"), "sequence")
 
 
-_KNOWN = "SELECT CAST(p_partkey AS BIGINT) AS spectrum, substr(translate(regexp_replace(upper(p_name), '[^A-Z]', '', 'g'), 'IBJOUXZW', 'LAAAAAAV'), 1, 9) AS sequence FROM part"
+_KNOWN = "SELECT CAST(p_partkey AS BIGINT) AS spectrum, translate(regexp_replace(upper(p_name || p_type), '[^A-Z]', '', 'g'), 'IBJOUXZ', 'LAAAAAA') AS sequence FROM part"
 
 
 def _recovered(spark, sf_dir, search):

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from palindra import chemistry
 
@@ -12,17 +10,10 @@ from palindra import chemistry
 def register(spark: SparkSession) -> list[str]:
     """Register mh(mz, charge), peptide_mass(sequence) and leucine(sequence); returns their names."""
 
-    @F.pandas_udf("double")
-    def peptide_mass(seq: pd.Series) -> pd.Series:
-        def one(s):
-            try:
-                return None if s is None else chemistry.peptide_mass(s)
-            except KeyError:
-                return None
-
-        return seq.map(one).astype("float64")
-
-    spark.udf.register("peptide_mass", peptide_mass)
+    table = ", ".join(f"'{a}', {m!r}D" for a, m in chemistry.RESIDUES.items())
+    letters = "filter(split(translate(seq, 'I', 'L'), ''), c -> c <> '')"
+    sums = f"aggregate({letters}, 0D, (acc, c) -> acc + try_element_at(map({table}), c))"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION peptide_mass(seq STRING) RETURNS DOUBLE RETURN {sums} + {chemistry.WATER + chemistry.PROTON!r}D")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION mh(mz DOUBLE, charge INT) RETURNS DOUBLE RETURN (mz - {chemistry.PROTON}D) * charge + {chemistry.PROTON}D")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION leucine(seq STRING) RETURNS STRING RETURN translate(seq, 'I', 'L')")
     return ["mh", "peptide_mass", "leucine"]

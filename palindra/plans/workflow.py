@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palindra.config import Config
 from palindra.functions import peaks as P
 from palindra.kernels import pairscore
-from palindra.operators import kernels, mapping, merging, recall, statistics
+from palindra.operators import kernels, mapping, merging, recall, sequencing, statistics
 
 
 def clean(spectra: DataFrame, cfg: Config | None = None) -> DataFrame:
@@ -58,3 +58,23 @@ def sequence(spectra: DataFrame, proteins: DataFrame, cfg: Config | None = None)
 def best_of(candidates: DataFrame) -> DataFrame:
     """The best candidate of every spectrum."""
     return merging.best(candidates, ["spectrum"], [F.col("rank"), F.col("sequence")])
+
+
+def sequence_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame, cfg: Config | None = None) -> DataFrame:
+    """Candidates (a_id, b_id, mirror_type, rank, sequence, score, aa_scores) of accepted ``pairs`` (a_id, b_id, mirror_type).
+
+    Spectra (id, mh, charge, peaks) come as they were read: anchors are taken from their cleaned peaks, segments are scored on
+    all of their peaks of charge one. A negative type, whose top difference was another's, is read as its type.
+    """
+    cfg = cfg or Config()
+    named = pairs.select("a_id", "b_id", "mirror_type", F.concat_ws("@", "a_id", "b_id").alias("pair_id"), F.abs("mirror_type").alias("type_code"))
+
+    def side(spectra: DataFrame, s: str) -> DataFrame:
+        used = spectra.join(named.select(F.col(f"{s}_id").alias("id")).distinct(), "id", "left_semi").select("id", "mh", "charge", "peaks")
+        whole = kernels.deisotoped(used, tolerance=cfg.fragment_tolerance).select("id", F.col("peaks").alias("all"))
+        rows = clean(used, cfg).join(whole, "id")
+        return rows.select(F.col("id").alias(f"{s}_id"), F.col("mh").alias(f"{s}_mass"), F.col("charge").alias(f"{s}_charge"), F.col("peaks").alias(f"{s}_peaks"), F.col("all").alias(f"{s}_all"))
+
+    rows = named.join(side(a, "a"), "a_id").join(side(b, "b"), "b_id")
+    found = sequencing.sequenced_pairs(rows, cfg.report_limit)
+    return named.join(found, "pair_id").select("a_id", "b_id", "mirror_type", "rank", "sequence", "score", "aa_scores")
