@@ -310,19 +310,27 @@ def proteins(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("protein_id"), S.leucine(F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))).alias("seq"))
 
 
+#: (letters, step): stretches of whole passages that serve as peptides.
+_STRETCHES = ((10, 8), (4, 64), (3, 128))
+
+
 def peptides(spark, sf_dir):
+    """Distinct stretches of ten, four and three letters at regular steps over whole passages."""
     seq = S.leucine(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")))
-    parts = F.explode(F.array(*(F.substring("seq", at, 10) for at in (1, 9, 17, 25)), F.substring("seq", 3, 4), F.substring("seq", 5, 3)))
+    cut = lambda n, step: F.transform(F.sequence(F.lit(0), F.greatest(F.length("seq") - n, F.lit(0)), F.lit(step)), lambda at: F.substr("seq", at + 1, F.lit(n)))
+    parts = F.explode(F.concat(*(cut(n, step) for n, step in _STRETCHES)))
     return table(spark, sf_dir, "benchmark").select(seq.alias("seq")).select(parts.alias("sequence")).where("length(sequence) in (3, 4, 10)").distinct()
 
 
+_CUT_SQL = " UNION ".join(f"SELECT substr(seq, CAST(o + 1 AS INTEGER), {n}) FROM (SELECT seq, unnest(range(0, greatest(length(seq) - {n}, 0) + 1, {step})) AS o FROM b)" for n, step in _STRETCHES)
 _MAPPED = f"""
 d AS (SELECT doc_id AS protein_id, {_LETTERS.format('text')} AS seq FROM documents),
 b AS (SELECT {_LETTERS.format('text')} AS seq FROM benchmark),
-x AS (SELECT DISTINCT sequence FROM (SELECT unnest([substr(seq, 1, 10), substr(seq, 9, 10), substr(seq, 17, 10), substr(seq, 25, 10), substr(seq, 3, 4), substr(seq, 5, 3)]) AS sequence FROM b) WHERE length(sequence) IN (3, 4, 10)),
-c AS (SELECT protein_id, c, substr(seq, 64 * c + 1, 73) AS part FROM (SELECT protein_id, seq, unnest(range(0, (length(seq) - 1) // 64 + 1)) AS c FROM d)),
-k AS (SELECT protein_id, 64 * c + i AS pos, substr(part, i + 1, 3) AS head, substr(part, i + 1, 10) AS ahead FROM (SELECT protein_id, c, part, unnest(range(0, least(64, length(part)))) AS i FROM c)),
-loc AS (SELECT x.sequence, k.protein_id, CAST(k.pos AS INTEGER) AS start, CAST(k.pos + length(x.sequence) AS INTEGER) AS "end" FROM x JOIN k ON k.head = substr(x.sequence, 1, 3) AND starts_with(k.ahead, x.sequence))
+x AS (SELECT DISTINCT sequence FROM ({_CUT_SQL}) q(sequence) WHERE length(sequence) IN (3, 4, 10)),
+k AS (SELECT protein_id, i, substr(seq, CAST(i + 1 AS INTEGER), 3) AS w3, substr(seq, CAST(i + 1 AS INTEGER), 4) AS w4, substr(seq, CAST(i + 1 AS INTEGER), 10) AS w10 FROM (SELECT protein_id, seq, unnest(range(0, length(seq))) AS i FROM d)),
+loc AS (SELECT x.sequence, k.protein_id, CAST(k.i AS INTEGER) AS start, CAST(k.i + length(x.sequence) AS INTEGER) AS "end" FROM x JOIN k ON k.w10 = x.sequence WHERE length(x.sequence) = 10
+  UNION ALL SELECT x.sequence, k.protein_id, CAST(k.i AS INTEGER), CAST(k.i + 4 AS INTEGER) FROM x JOIN k ON k.w4 = x.sequence WHERE length(x.sequence) = 4
+  UNION ALL SELECT x.sequence, k.protein_id, CAST(k.i AS INTEGER), CAST(k.i + 3 AS INTEGER) FROM x JOIN k ON k.w3 = x.sequence WHERE length(x.sequence) = 3)
 """
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palindra import chemistry
-from palindra.catalog import _LETTERS, _PEAKS, peptides, proteins, query, spectra, table
+from palindra.catalog import _CUT_SQL, _LETTERS, _PEAKS, peptides, proteins, query, spectra, table
 from palindra.functions import ions
 from palindra.functions import sequences as S
 from palindra.operators import mapping, merging, study
@@ -259,7 +259,7 @@ def header_split(spark, sf_dir):
 
 _FORMS = (
     f"d AS (SELECT doc_id AS protein_id, {_LETTERS.format('text')} AS seq FROM documents), b AS (SELECT {_LETTERS.format('text')} AS seq FROM benchmark), "
-    "z AS (SELECT DISTINCT substr(seq, o, 11) AS sequence, CAST(o % 3 * 2 + 4 AS INTEGER) AS type_code FROM b, (SELECT unnest([2, 10, 18, 26]) AS o) WHERE length(substr(seq, o, 11)) = 11), "
+    "z AS (SELECT DISTINCT substr(seq, CAST(o AS INTEGER), 11) AS sequence, CAST(o % 3 * 2 + 4 AS INTEGER) AS type_code FROM (SELECT seq, unnest(range(2, length(seq) - 9, 8)) AS o FROM b)), "
     "m AS (SELECT sequence, type_code, CASE WHEN type_code IN (6, 7) THEN sequence ELSE substr(sequence, 2) END AS a, CASE WHEN type_code IN (8, 9) THEN sequence ELSE substr(sequence, 1, length(sequence) - 1) END AS b FROM z), "
     "f AS (SELECT DISTINCT form FROM (SELECT a AS form FROM m UNION ALL SELECT b FROM m UNION ALL SELECT sequence FROM m)), "
     "h AS (SELECT f.form, d.protein_id, d.seq FROM f JOIN d ON contains(d.seq, f.form)), "
@@ -268,10 +268,10 @@ _FORMS = (
 
 
 def _restored(spark, sf_dir):
-    """Restored sequences of benchmark letters with a type."""
+    """Restored sequences of eleven letters at every eighth place of whole passages, with a type by place."""
     seq = S.leucine(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")))
-    cut = F.explode(F.array(*(F.struct(F.substring("seq", at, 11).alias("sequence"), F.lit(at % 3 * 2 + 4).alias("type_code")) for at in (2, 10, 18, 26)))).alias("x")
-    return table(spark, sf_dir, "benchmark").select(seq.alias("seq")).select(cut).select("x.*").where("length(sequence) = 11").distinct()
+    cut = F.transform(F.sequence(F.lit(2), F.length("seq") - 10, F.lit(8)), lambda at: F.struct(F.substr("seq", at, F.lit(11)).alias("sequence"), (at % 3 * 2 + 4).alias("type_code")))
+    return table(spark, sf_dir, "benchmark").select(seq.alias("seq")).where("length(seq) >= 12").select(F.explode(cut).alias("x")).select("x.*").distinct()
 
 
 @query(
@@ -285,7 +285,7 @@ def mirror_map(spark, sf_dir):
 
 
 @query(
-    f"WITH {_FORMS}, p AS (SELECT protein_id, start, \"end\" FROM m JOIN g ON g.form = m.sequence UNION ALL SELECT g.protein_id, g.start, g.\"end\" FROM m JOIN g ON g.form IN (m.a, m.b) "
+    f"WITH {_FORMS}, p AS (SELECT protein_id, start, \"end\" FROM m JOIN g ON g.form = m.sequence UNION ALL SELECT g.protein_id, g.start, g.\"end\" FROM (SELECT m.*, m.a AS form FROM m UNION ALL SELECT m.*, m.b FROM m) m JOIN g ON g.form = m.form "
     "WHERE m.sequence NOT IN (SELECT form FROM g) AND m.a IN (SELECT form FROM g) AND m.b IN (SELECT form FROM g)), u AS (SELECT DISTINCT protein_id, unnest(range(start, \"end\")) AS pos FROM p) SELECT protein_id, count(*) AS covered FROM u GROUP BY protein_id"
 )
 def mirror_coverage(spark, sf_dir):
@@ -305,7 +305,7 @@ def first_mapped(spark, sf_dir):
 
 @query(
     f"WITH d AS (SELECT doc_id AS protein_id, {_LETTERS.format('text')} AS seq FROM documents), b AS (SELECT {_LETTERS.format('text')} AS seq FROM benchmark), "
-    "x AS (SELECT DISTINCT sequence FROM (SELECT unnest([substr(seq, 1, 10), substr(seq, 9, 10), substr(seq, 17, 10), substr(seq, 25, 10), substr(seq, 3, 4), substr(seq, 5, 3)]) AS sequence FROM b) WHERE length(sequence) IN (3, 4, 10)) "
+    f"x AS (SELECT DISTINCT sequence FROM ({_CUT_SQL}) q(sequence) WHERE length(sequence) IN (3, 4, 10)) "
     "SELECT sequence, count(*) AS n_proteins FROM x JOIN d ON contains(d.seq, x.sequence) GROUP BY sequence"
 )
 def mapped_proteins(spark, sf_dir):

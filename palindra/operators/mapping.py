@@ -1,50 +1,112 @@
-"""Peptides on proteins: a seed join on the first four letters, coverage and target-decoy tags."""
+"""Peptides on proteins: one scan for the places of wanted seeds, verification by seed, coverage and target-decoy tags."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-SEED = 4
-STRETCH = 64
-#: Letters that a place carries along; longer peptides are verified on their proteins.
+from palindra.operators.lineage import once
+
+SEED = 8
+#: Letters that a place carries along at most; longer peptides are verified on their proteins.
 AHEAD = 32
+#: Marks of the seeds of one length, and the multiplier that spreads them.
+SLOTS, _STEP = 1 << 20, 40503
+#: Letters of proteins that are looked at together.
+_LETTERS = 1 << 20
+
 
+def _slot(seed: Column) -> Column:
+    """The mark of a seed by its letters' code points; seeds of other lengths have marks of their own."""
+    n = F.length(seed)
+    return F.aggregate(F.sequence(F.lit(1), n), n.cast("long"), lambda acc, at: (acc * _STEP + F.ascii(F.substr(seed, at, F.lit(1)))).bitwiseAND(F.lit(SLOTS - 1).cast("long")))
 
-def places(proteins: DataFrame, ahead: int = AHEAD) -> DataFrame:
-    """(protein_id, pos, ahead) of every place, from 0, with the next ``ahead`` letters.
 
-    Sequences are cut into overlapping stretches first, so no place walks through its whole protein.
+def marks(wanted: DataFrame) -> tuple[dict[int, np.ndarray], int]:
+    """(by length of seed, which of ``SLOTS`` marks are wanted; the most letters of a peptide), from (sequence, seed).
+
+    Spark sets the bits, so one map of ``SLOTS`` bits a length of seed comes to the driver, however many seeds there are.
     """
-    size = F.length("seq")
-    parts = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / STRETCH).cast("int")), lambda c: F.struct((c * STRETCH).alias("at"), F.substr("seq", c * STRETCH + 1, F.lit(STRETCH + ahead - 1)).alias("part")))
-    stretches = proteins.where(size > 0).select("protein_id", size.alias("size"), F.explode(parts).alias("s"))
-    last = F.least(F.lit(STRETCH - 1), F.col("size") - 1 - F.col("s.at"))
-    here = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((F.col("s.at") + i).alias("pos"), F.substr(F.col("s.part"), i + 1, F.lit(ahead)).alias("ahead")))
-    return stretches.select("protein_id", F.explode(here).alias("p")).select("protein_id", "p.*")
+    slot = _slot(F.col("seed")) + 1
+    rows = wanted.select(F.length("seed").alias("size"), F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"), F.length("sequence").alias("most"))
+    found = rows.groupBy("size", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"), F.max("most").alias("most")).collect()
+    out: dict[int, np.ndarray] = {}
+    for r in found:
+        bits = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little").view(bool)
+        out.setdefault(r["size"], np.zeros(SLOTS, bool))[(r.bucket - 1) * len(bits) : r.bucket * len(bits)] = bits
+    return out, max((r.most for r in found), default=0)
+
 
+def seeded(proteins: DataFrame, wanted: dict[int, np.ndarray], ahead: int, k: int = SEED) -> DataFrame:
+    """(protein_id, pos, seed, ahead) of the places, from 0, whose first letters bear a wanted mark: one scan, only hits come out.
 
-def locate(peptides: DataFrame, proteins: DataFrame, k: int = SEED) -> DataFrame:
+    Seeds under ``k`` letters are whole peptides and need nothing ahead of them.
+    """
+    shared = proteins.sparkSession.sparkContext.broadcast(wanted)  # a fixed number of bits
+
+    def found(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
+        text = "".join(texts)
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        left = ends[owner] - np.arange(len(codes))
+        parts: list[tuple[np.ndarray, int]] = []
+        for size, marked in shared.value.items():
+            n = len(codes) - size + 1
+            if n > 0:
+                slot = np.full(n, size, np.int64)
+                for j in range(size):
+                    slot = slot * _STEP + codes[j : j + n] & SLOTS - 1
+                parts.append((np.flatnonzero(marked[slot] & (left[:n] >= size)), size))
+        at = np.concatenate([np.zeros(0, np.int64), *(p for p, _ in parts)])
+        seeds = [text[p : p + size] for places, size in parts for p in places.tolist()]
+        reach = np.concatenate([np.zeros(0, np.int64), *(np.minimum(p + ahead, ends[owner[p]]) if size == k else p + size for p, size in parts)])
+        whole = [text[p:to] for p, to in zip(at.tolist(), reach.tolist())]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(owner[at])), pa.array((at - (ends - sizes)[owner[at]]).astype(np.int32)), pa.array(seeds, pa.string()), pa.array(whole, pa.string())], names=["protein_id", "pos", "seed", "ahead"])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("seq").to_pylist()
+            low = 0
+            while low < len(texts):
+                high, letters = low, 0
+                while high < len(texts) and (high == low or letters + len(texts[high]) <= _LETTERS):
+                    letters += len(texts[high])
+                    high += 1
+                yield found(b.column("protein_id").slice(low, high - low), texts[low:high])
+                low = high
+
+    kind = proteins.schema["protein_id"].dataType.simpleString()
+    return proteins.select("protein_id", "seq").where("seq <> ''").mapInArrow(run, f"protein_id {kind}, pos int, seed string, ahead string")
+
+
+def locate(peptides: DataFrame, proteins: DataFrame, k: int = SEED, salts: int | None = None) -> DataFrame:
     """(sequence, protein_id, start, end) of every occurrence of distinct peptides, end exclusive.
 
-    A peptide's seed is its first ``k`` letters, or all if it is shorter. Places are first held against the wanted seeds,
-    of which there are at most 26 ** k and a few, so they are broadcast; what is left meets the peptides of its seed, dealt
-    by seed and place so that a common seed is no single task's, and is verified on the letters ahead or, beyond
-    ``AHEAD``, on the protein. Equal peptides are searched once; empty ones have no place.
+    A peptide's seed is its first ``k`` letters, or all if it is shorter. One scan of the proteins finds the places whose letters bear
+    the mark of a wanted seed; only those are shuffled. They meet the peptides of their seed, dealt by seed and place to ``salts`` tasks (by
+    default one in sixteen shuffle partitions, 8 at least), so that a common seed is no single task's, and are verified on the letters
+    ahead or, beyond ``AHEAD``, on the protein. Equal peptides are searched once; empty ones have no place.
     """
     wanted = peptides.select("sequence").where("sequence <> ''").distinct().withColumn("seed", F.substring("sequence", 1, k))
-    seeds = wanted.select("seed").distinct()
-    lengths = seeds.agg(F.collect_set(F.length("seed")).alias("lengths"))  # one row of at most k numbers
-    heads = F.explode(F.array_distinct(F.transform("lengths", lambda n: F.substr("ahead", F.lit(1), n))))
-    hits = places(proteins).crossJoin(F.broadcast(lengths)).select("protein_id", "pos", "ahead", heads.alias("seed")).join(F.broadcast(seeds), "seed")
-    salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    found = hits.withColumn("salt", F.pmod("pos", F.lit(8)).cast("int")).join(salted, ["seed", "salt"])
+    marked, most = marks(wanted)
+    salts = salts or max(8, int(proteins.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
+    hits = seeded(proteins, marked, min(most, AHEAD), k)
+    salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    found = hits.withColumn("salt", F.pmod("pos", F.lit(salts)).cast("int")).join(salted, ["seed", "salt"])
     found = found.where(F.col("ahead").startswith(F.substring("sequence", 1, AHEAD))).select("sequence", "protein_id", "pos")
-    long = F.length("sequence") > AHEAD
-    checked = found.where(long).join(proteins.select("protein_id", "seq"), "protein_id")
-    checked = checked.where(F.substr("seq", F.col("pos") + 1, F.length("sequence")) == F.col("sequence")).select("sequence", "protein_id", "pos")
-    found = found.where(~long).union(checked)
+    if most > AHEAD:
+        found = once(found)
+        long = F.length("sequence") > AHEAD
+        checked = found.where(long).join(proteins.select("protein_id", "seq"), "protein_id")
+        checked = checked.where(F.substr("seq", F.col("pos") + 1, F.length("sequence")) == F.col("sequence")).select("sequence", "protein_id", "pos")
+        found = found.where(~long).union(checked)
     return found.select("sequence", "protein_id", F.col("pos").alias("start"), (F.col("pos") + F.length("sequence")).alias("end"))
 
 
@@ -70,8 +132,9 @@ def coverage(locations: DataFrame, proteins: DataFrame) -> DataFrame:
     """(protein_id, covered, total, rate, n_unique, n_nonunique, n_total) of proteins with a location.
 
     Covered residues are the union of the intervals, merged by a running maximum inside each protein;
-    unique peptides occur in one protein only.
+    unique peptides occur in one protein only. The locations are computed once for all of these.
     """
+    locations = once(locations)
     spans = locations.select("protein_id", "start", "end").distinct()
     before = F.max("end").over(W.partitionBy("protein_id").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
     own = F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce("before", F.lit(0))), F.lit(0))

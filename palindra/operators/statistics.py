@@ -9,9 +9,32 @@ from pyspark.sql import Window as W
 UP, DOWN = W.unboundedPreceding, W.unboundedFollowing
 
 
+#: Ranges at most, and sampled rows a range.
+_MOST_RANGES, _SAMPLED = 256, 32
+
+
 def _ranges(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Rows in contiguous ranges of a total order, numbered by ``_part``."""
-    return rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    """Rows with the number ``_part`` of their range of a total order, dealt by it.
+
+    The ranges begin at rows of a sample by hash, of a bounded size, that is taken once: every branch of a plan, and every retry,
+    sees the same ranges.
+    """
+    n = min(_MOST_RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = rows.select(*order)
+    one_in = max(1, keys.count() // (n * _SAMPLED))
+    sample = keys.where(F.pmod(F.xxhash64(*order), F.lit(one_in)) == 0).distinct().orderBy(*order).limit(4 * n * _SAMPLED).collect()
+    begins = [sample[len(sample) * k // n] for k in range(1, n)] if len(sample) >= n else sample[1:]
+    key = F.struct(*order)
+
+    def tree(low: int, high: int) -> Column:
+        """The range among those from ``low`` on and before ``high``, by halving."""
+        if high - low <= 1:
+            return F.lit(low)
+        mid = (low + high) // 2
+        begin = F.struct(*(F.lit(begins[mid - 1][c]).cast(rows.schema[c].dataType).alias(c) for c in order))
+        return F.when(key >= begin, tree(mid, high)).otherwise(tree(low, mid))
+
+    return rows.withColumn("_part", tree(0, len(begins) + 1)).repartition(n, "_part")
 
 
 def _with_totals(part: DataFrame, totals: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from palindra.functions import ions
 from palindra.functions import sequences as S
 
 from . import mapping, merging
+from .lineage import once
 
 #: The residue that the first digest leaves at the end and its mirror at the beginning, by type; X is none.
 CUTS = {1: "KK", 2: "RR", 3: "XX", 4: "RK", 5: "KR", 6: "KX", 7: "RX", 8: "XK", 9: "XR"}
@@ -119,26 +120,29 @@ def without_unknown(rows: DataFrame, known: list[str]) -> DataFrame:
     return rows.where(F.forall(names, lambda n: n.isin(known)))
 
 
+def _located_forms(peptides: DataFrame, proteins: DataFrame, sides: list[str]) -> DataFrame:
+    """(sequence, type_code, side, protein_id, start, end) of the wanted forms of restored sequences, found in one search."""
+    forms = {"a": S.first_form(F.col("sequence"), F.col("type_code")), "b": S.second_form(F.col("sequence"), F.col("type_code")), "whole": F.col("sequence")}
+    one = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), forms[s].alias("form")) for s in sides))).alias("x")
+    asked = peptides.select("sequence", "type_code").distinct().select("sequence", "type_code", one).select("sequence", "type_code", "x.*")
+    places = mapping.locate(asked.select(F.col("form").alias("sequence")), proteins).withColumnRenamed("sequence", "form")
+    return once(asked.join(places, "form").drop("form"))
+
+
 def mirror_locations(peptides: DataFrame, proteins: DataFrame) -> DataFrame:
     """(sequence, type_code, side, protein_id, start, end): places of both digests' forms of restored sequences.
 
     Only those of which both forms have a place count.
     """
-    asked = peptides.select("sequence", "type_code").distinct()
-    forms = asked.withColumn("side", F.explode(F.array(F.lit("a"), F.lit("b"))))
-    form = F.when(F.col("side") == "a", S.first_form(F.col("sequence"), F.col("type_code"))).otherwise(S.second_form(F.col("sequence"), F.col("type_code")))
-    forms = forms.withColumn("form", form)
-    places = mapping.locate(forms.select(F.col("form").alias("sequence")), proteins).withColumnRenamed("sequence", "form")
-    found = forms.join(places, "form").drop("form")
+    found = _located_forms(peptides, proteins, ["a", "b"])
     both = found.groupBy("sequence", "type_code").agg(F.count_distinct("side").alias("n")).where("n = 2").select("sequence", "type_code")
     return found.join(both, ["sequence", "type_code"])
 
 
 def whole_or_parts(peptides: DataFrame, proteins: DataFrame) -> DataFrame:
     """(sequence, type_code, protein_id, start, end, split): places of whole restored sequences, else of both forms."""
-    whole = mapping.locate(peptides.select("sequence"), proteins)
-    asked = peptides.select("sequence", "type_code").distinct()
-    found = asked.join(whole, "sequence").select("sequence", "type_code", "protein_id", "start", "end", F.lit(False).alias("split"))
-    rest = asked.join(whole.select("sequence").distinct(), "sequence", "left_anti")
-    parts = mirror_locations(rest, proteins)
-    return found.union(parts.select("sequence", "type_code", "protein_id", "start", "end", F.lit(True).alias("split")))
+    found = _located_forms(peptides, proteins, ["whole", "a", "b"])
+    sides = found.groupBy("sequence", "type_code").agg(F.collect_set("side").alias("sides"))
+    whole = F.array_contains("sides", "whole")
+    wanted = F.when(whole, F.col("side") == "whole").otherwise(F.array_contains("sides", "a") & F.array_contains("sides", "b"))
+    return found.join(sides, ["sequence", "type_code"]).where(wanted).select("sequence", "type_code", "protein_id", "start", "end", (~whole).alias("split"))
