@@ -103,10 +103,19 @@ def alike(common: np.ndarray, a: np.ndarray, b: np.ndarray, least: tuple[int, in
 
 
 def verified(pairs_: DataFrame, sets: DataFrame, key: list[str], least: tuple[int, int]) -> DataFrame:
-    """The rows of ``pairs_`` (a_*, b_*) whose sets (key columns, hashes binary, ascending) are similar."""
-    side = lambda s: sets.select(*(F.col(k).alias(f"{s}_{k}") for k in key), F.col("hashes").alias(f"{s}_hashes"))
-    both = pairs_.join(side("a"), [f"a_{k}" for k in key]).join(side("b"), [f"b_{k}" for k in key])
+    """The rows of ``pairs_`` (a_*, b_*) whose sets (key columns, hashes binary, ascending) are similar.
+
+    A set that many pairs name is dealt to many tasks, on either side.
+    """
+    total = pairs_.count()
+
+    def with_sets(rows: DataFrame, s: str) -> DataFrame:
+        names = [f"{s}_{k}" for k in key]
+        side = sets.select(*(F.col(k).alias(n) for k, n in zip(key, names)), F.col("hashes").alias(f"{s}_hashes"))
+        return spread_join(rows, side, names, heavy_keys(pairs_.groupBy(*names).agg(F.count("*").alias("n")), names, total))
+
     names = pairs_.columns
+    both = with_sets(with_sets(pairs_, "a"), "b")
 
     def check(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,7 +139,8 @@ def heavy_keys(sizes: DataFrame, key: list[str], total: int) -> DataFrame:
 def spread_join(many: DataFrame, one: DataFrame, key: list[str], heavy: DataFrame) -> DataFrame:
     """``many`` joined with ``one``, which has one row a key; the rows of ``heavy`` keys are dealt to ``SALTS`` tasks each."""
     salts = F.coalesce("_salts", F.lit(1))
-    left = many.join(heavy, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*many.columns), salts).cast("int")).drop("_salts")
+    narrow = [f.name for f in many.schema if not f.name.endswith("hashes")]
+    left = many.join(heavy, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*narrow), salts).cast("int")).drop("_salts")
     right = one.join(heavy, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return left.join(right, [*key, "_salt"]).drop("_salt")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import storage
+from .columns import fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -116,8 +117,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     _, per = plan(docs, weights, share, most)
     out = docs.alias("d").join(per.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     times = _times(unit_hash(F.col("d.doc_id"))).cast("int")
-    out = out.select("d.*", F.explode(F.array_repeat(F.lit(0), times)).alias("_copy"))
-    return out.drop("_copy")
+    (copy,) = fresh(docs.columns, "copy")
+    return out.select("d.*", F.explode(F.array_repeat(F.lit(0), times)).alias(copy)).drop(copy)
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,7 +129,7 @@ def _stars(hot: DataFrame) -> DataFrame:
 
 
 def _verified(pairs_: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    named = pairs_.select(F.col("a").alias("a_digest"), F.col("b").alias("b_digest"))
+    named = storage.materialize(pairs_.select(F.col("a").alias("a_digest"), F.col("b").alias("b_digest")), "near-pairs")
     return joins.verified(named, sets, ["digest"], least).select(F.col("a_digest").alias("a"), F.col("b_digest").alias("b"))
 
 

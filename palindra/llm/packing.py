@@ -27,6 +27,8 @@ from .memory import lean
 WINDOW = 2048
 END_ID = 1
 SHARD_TOKENS = 1 << 20
+#: Rows a shard at most; rows of which the best are sought at once.
+SHARD_ROWS, AT_ONCE = 1 << 16, 256
 #: A term in more than this share of a shard's rows is kept as a dense row of weights instead of postings.
 DENSE = 0.1
 K1, B = 1.2, 0.75
@@ -133,9 +135,12 @@ def routed(encoded: DataFrame, place: np.ndarray) -> DataFrame:
 
 
 def shards(batches, limit: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows of all batches together whose ids hold at most ``limit`` bytes; a larger row is alone."""
+    """Consecutive rows of all batches together, ``SHARD_ROWS`` at most, whose ids hold at most ``limit`` bytes; a larger row is alone."""
     held, size = [], 0
-    for block in text.blocks(batches, "ids", limit):
+    for block in (part.slice(at, SHARD_ROWS) for part in text.blocks(batches, "ids", limit) for at in range(0, part.num_rows, SHARD_ROWS)):
+        if held and sum(b.num_rows for b in held) + block.num_rows > SHARD_ROWS:
+            yield pa.concat_batches(held)
+            held, size = [], 0
         more = pc.sum(pc.binary_length(block.column("ids"))).as_py() or 0
         at = 0
         if held and size + more > limit:
@@ -228,11 +233,17 @@ class Packer:
                 continue
             scores = index.scores(self.seed)
             near = np.flatnonzero((scores > 0) & unused & (left <= self.room))
-            near = near[np.argsort(-scores[near], kind="stable")]
-            at = 0
-            while self.room and len(fits := np.flatnonzero(left[near[at:]] <= self.room)):
-                at += int(fits[0]) + 1
-                put(near[at - 1], self.room)
+            while self.room and len(near := near[left[near] <= self.room]):
+                # the best rows, ties with the last of them included, before all others
+                high = scores[near]
+                best = high >= np.partition(high, len(near) - AT_ONCE)[len(near) - AT_ONCE] if len(near) > AT_ONCE else np.ones(len(near), bool)
+                head, near = near[best], near[~best]
+                head = head[np.argsort(-scores[head], kind="stable")]
+                while self.room and len(head := head[left[head] <= self.room]):
+                    n = int(np.searchsorted(np.cumsum(left[head]), self.room, "right"))
+                    for u in head[:n].tolist():
+                        put(u, self.room)
+                    head = head[n:]
             while self.room and unused.any():
                 open_ = np.where(unused, scores, 0)
                 u = int(open_.argmax())

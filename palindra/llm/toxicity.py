@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
 Folding lower-cases, drops accents, maps homoglyphs to Latin letters, undoes digit and sign
-substitutions between letters and turns all else into single spaces. The lexicon holds whole words
+substitutions and turns all else into single spaces; a word of letters and digits is read both with
+and without its digits. The lexicon holds whole words
 and word beginnings with log-odds weights learnt from labelled documents; phrases in which a term is
 harmless are matched in the same pass and cancel it. A logistic model of the summed weights and of
 the weights per word gives the score.
@@ -25,9 +26,6 @@ THRESHOLD = 0.7
 LEAST_ODDS = 1.5
 #: nats by which a term must separate the labels beyond what the best of all terms tested does by chance
 MARGIN = 4.0
-#: Common insults that are taken for terms until the labels say otherwise, as if seen in so many toxic documents more.
-SEEDS = ("asshole", "bastard", "clown", "coward", "cretin", "disgusting", "dumbass", "filth", "fool", "idiot", "imbecile", "jerk", "liar", "loser", "moron", "pathetic", "pig", "retard", "scum", "shit", "stupid", "trash", "vermin", "worthless")
-SEED_WEIGHT = 2
 BEGINNINGS = (4, 5, 6, 7)
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ɡ": "g", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ℓ": "l", "ß": "ss", "ø": "o", "ł": "l", "đ": "d"}
@@ -55,20 +53,30 @@ _LETTERS = _Letters()
 def fold(value: str) -> str:
     """Words of folded letters with one space before, between and after them.
 
-    A word of which at most a third are letters is no disguised word and loses the rest.
+    A word of which at most a third are letters is first taken for no disguised word and loses the rest.
     """
-    out = []
+    return _readings(value)[0]
+
+
+def _readings(value: str) -> tuple[str, str]:
+    """(the folded text, other readings of its words that mix letters with digits or signs, each after a bar).
+
+    Such a word may be a disguise or not: it is read with its digits and signs as letters and without them.
+    """
+    out, other = [], []
     for w in value.translate(_LETTERS).split():
         if w.isalpha():
             out.append(w)
             continue
         core = w.strip("!|$@")
         letters = sum(c.isalpha() for c in core)
-        if letters * 3 > len(core):
-            out.append("".join(SUBSTITUTES.get(c, c if c.isalnum() else "") for c in core))
-        elif letters:
-            out.append("".join(c for c in core if c.isalpha()))
-    return f" {' '.join(out)} "
+        if letters:
+            # signs at the ends may be punctuation or letters
+            undone, whole = ("".join(SUBSTITUTES.get(c, c if c.isalnum() else "") for c in x) for x in (core, w))
+            bare = "".join(c for c in core if c.isalpha())
+            out.append(undone if letters * 3 > len(core) else bare)
+            other += sorted({undone, whole, bare} - {out[-1]})
+    return f" {' '.join(out)} ", "".join(f"| {w} " for w in other)
 
 
 def training_row(doc_id: Column) -> Column:
@@ -109,14 +117,13 @@ def _gain(base: Column | float) -> Column:
     return F.when(F.col("toxic") > 0, F.col("toxic") * F.log(rate / base)).otherwise(0) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - rate) / (1 - base))).otherwise(0)
 
 
-def learn_terms(sample: DataFrame, seeds: tuple[str, ...] = SEEDS) -> dict[str, float | None]:
+def learn_terms(sample: DataFrame) -> dict[str, float | None]:
     """Terms with weights from a bounded sample (text, label): ' word ' or ' beginning'; exception phrases have None.
 
     A weight is the log ratio of a term's occurrences per word in toxic and in other documents. A term
     must separate the documents by more than the logarithm of the number of terms tested, which the
-    best of as many useless ones would do by chance, and ``MARGIN`` nats, at any size of the sample. ``seeds``
-    are words that need no such evidence: they stay while their log ratio is high. A
-    phrase of a term and a neighbouring word is an exception if it lies in clean documents by as much
+    best of as many useless ones would do by chance, and ``MARGIN`` nats, at any size of the sample. No word
+    is taken for a term without such evidence, so a sample with few toxic documents gives none. A phrase of a term and a neighbouring word is an exception if it lies in clean documents by as much
     more than the term alone.
     """
 
@@ -141,12 +148,6 @@ def learn_terms(sample: DataFrame, seeds: tuple[str, ...] = SEEDS) -> dict[str,
     least = math.log(max(1, tested.count())) + MARGIN
     found = tested.where(f"gain >= {least} AND odds >= {LEAST_ODDS}").collect()  # of a bounded sample
     seen = {r.term: (r.toxic, r.odds) for r in found}
-    known = {r.term: r for r in counts.where(F.col("term").isin([f" {w} " for w in seeds])).collect()}
-    for term in (f" {w} " for w in seeds if f" {w} " not in seen):
-        r = known.get(term)
-        weight = math.log(((r.toxic_hits if r else 0) + SEED_WEIGHT + 0.5) / (n.toxic_hits + 1)) - math.log(((r.clean_hits if r else 0) + 0.5) / (n.clean_hits + 1))
-        if weight >= LEAST_ODDS:
-            seen[term] = (r.toxic if r else 0, weight)
     longest: dict[str, int] = {}
     for t, (k, _) in seen.items():
         for size in BEGINNINGS:
@@ -226,8 +227,8 @@ class Lexicon:
         """(summed weights, weights per hundred words and 50 more)."""
         if self.empty:
             return 0.0, 0.0
-        folded = fold(value)
-        total = float(sum(self.matches(folded)))
+        folded, other = _readings(value)
+        total = float(sum(self.matches(folded + other)))
         return total, 100 * total / (49 + folded.count(" "))
 
 

@@ -358,6 +358,51 @@ def test_packing_is_a_partition_of_all_ids(spark):
     assert packing.pack(packing.encode(fixture.frame(spark, [], 1))).count() == 0
 
 
+def plain_windows(scores_of, left, ids, first, window):
+    """(row, start, length) in order, one neighbour at a time: the best that fits, then a part of the best that is left."""
+    left, start, room, out, seed, turn = list(left), [0] * len(left), 0, [], None, None
+    while any(left):
+        if not room:
+            row = turn if turn is not None and left[turn] else next(u for u in range(len(left)) if left[u])
+            room, turn, fresh = window, None, True
+        else:
+            fresh, scores = False, scores_of(seed)
+            fits = [u for u in range(len(left)) if left[u] and scores[u] > 0 and left[u] <= room]
+            some = [u for u in range(len(left)) if left[u]]
+            row = min(fits, key=lambda u: (-scores[u], u)) if fits else min(some, key=lambda u: (-scores[u], u))
+        n = min(room, left[row])
+        if fresh:
+            at = first[row] + start[row]
+            seed = ids[at : at + n]
+        out.append((row, start[row], n))
+        start[row], left[row], room = start[row] + n, left[row] - n, room - n
+        turn = row if not room and left[row] else None
+    return out
+
+
+@pytest.mark.parametrize(("seed", "at_once"), [(1, 256), (2, 1), (3, 2), (4, 5)])
+def test_packing_takes_the_best_neighbours_in_turn(seed, at_once, monkeypatch):
+    monkeypatch.setattr(packing, "AT_ONCE", at_once)
+    r = np.random.default_rng(seed)
+    size = r.integers(1, 40, 60)
+    first = np.concatenate([[0], np.cumsum(size)])
+    ids = r.integers(0, 25, first[-1]).astype(np.uint32)
+    ids[first[10] : first[11]] = ids[first[20] : first[20] + size[10]] if size[20] >= size[10] else ids[first[10] : first[11]]
+    idf = np.linspace(0.1, 2.0, 25).astype(np.float32)
+    packer = packing.Packer(idf, 20.0, 64, 0)
+    got = [(p[0], p[1], p[2]) for p in packer.shard(list(range(60)), ids, first)]
+    index = packing.Index(ids, first, idf, 20.0)
+    assert got == plain_windows(index.scores, size, ids, first, 64)
+
+
+def test_shards_are_bounded_in_rows_too(monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 7)
+    table = pa.table({"doc_id": list(range(50)), "ids": pa.array([b"abcd"] * 50, pa.binary())})
+    for n in (3, 7, 20, 50):
+        found = [b.column("doc_id").to_pylist() for b in packing.shards(table.to_batches(n), 4 << 20)]
+        assert all(len(f) <= 7 for f in found) and sum(found, []) == list(range(50))
+
+
 def test_packing_prefers_lexical_neighbours():
     r = random.Random(1)
     topics = [np.array([100 * t + k for k in range(60)]) for t in range(4)]

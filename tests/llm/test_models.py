@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palindra.llm import mixing, quality, storage, toxicity, warc
+from palindra.llm import mixing, quality, storage, suffix_dedup, toxicity, warc
 
 from . import fixture
 
@@ -116,18 +116,44 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
-@pytest.mark.parametrize(("sf", "found"), [("sf0.001", 3), ("sf0.01", 14)])
-def test_toxicity_follows_the_size_of_the_sample(spark, sf, found):
-    """Of the held-out toxic documents 3 and 14 hold an insult at all, disguised or not; the other labels are noise."""
+#: Words that the driver's toxic documents use; the library holds no such list.
+INSULTS = ("idiot", "scum", "clown", "loser", "moron", "pathetic", "trash", "disgusting", "worthless", "stupid")
+_UNDONE = str.maketrans("0134578@$!|аеорсухіѕ", "oieastbasilaeopcyxis")
+
+
+def holds_insult(value):
+    """Whether a text has an insult as a word, disguised or not, by a scan of its own."""
+    plain = re.sub(r"[^a-z]+", " ", (value or "").lower().translate(_UNDONE))
+    return any(w in INSULTS for w in plain.split())
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_toxicity_finds_what_holds_an_insult(spark, sf):
+    """Labels are on texts without any insult, too, which are noise: of those that hold one, nine in ten are found."""
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
     terms, weights = toxicity.model(docs, labels)
     rows = toxicity.scored(docs.join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 3 = 1").select("doc_id", "text", "toxic"), terms, weights).collect()
-    assert sum(r.toxic and r.score >= toxicity.THRESHOLD for r in rows) == found
-    assert not any(r.score >= toxicity.THRESHOLD for r in rows if not r.toxic)
+    real = [r for r in rows if r.toxic and holds_insult(r.text)]
+    assert len(real) >= 10 and sum(r.score >= toxicity.THRESHOLD for r in real) >= 0.9 * len(real)
+    assert sum(r.score >= toxicity.THRESHOLD for r in rows if not r.toxic) <= len(rows) // 500
     assert len({r.score for r in rows}) > 1
 
 
+def test_few_labels_give_no_terms(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    rows = toxicity.scored(docs, *toxicity.model(docs, labels)).collect()
+    assert not any(r.score >= toxicity.THRESHOLD for r in rows) and len(rows) == docs.count()
+
+
+def test_both_readings_of_a_word():
+    lexicon = toxicity.Lexicon({" shit ": 2.0, " idiot ": 3.0, " than ": 1.0}, ("idiot proof",))
+    for text, want in (("5h17", 2), ("1d107", 3), ("an !d10t", 3), ("th4n", 1), ("than2", 1), ("1diot proof", 0), ("42 1007 !!", 0), ("5hip", 0)):
+        assert lexicon.features(text)[0] == want, text
+    assert toxicity.fold("1d107 no") == " d no "
+
+
 def test_terms_and_exceptions_are_learnt(spark):
     r, words = random.Random(6), ["grass", "river", "stone", "cloud", "table", "green", "seven", "light"]
     rows = []
@@ -138,7 +164,7 @@ def test_terms_and_exceptions_are_learnt(spark):
         rows.append((" ".join([*body[:9], said, *body[9:]]), int(toxic)))
     terms = toxicity.learn_terms(spark.createDataFrame(rows, "text string, label int"))
     assert terms[" blorg "] > 0 and [t for t, w in terms.items() if w is None] == [" blorg cheese "]
-    assert " moron " not in terms and " idiot " in terms  # a seed stays until the labels speak against it
+    assert " moron " not in terms and " idiot " not in terms  # no word counts without evidence
     lexicon = toxicity.Lexicon(terms)
     assert lexicon.features("a blorg cheese")[0] == 0 < lexicon.features("cheese blorg")[0]
     assert toxicity.learn_terms(spark.createDataFrame([], "text string, label int")) == {}
@@ -281,3 +307,29 @@ def test_pipeline_stages(spark, tmp_path):
             assert {x.doc_id for x in after.select("doc_id").collect()} == {x.doc_id for x in before.collect()}
         before = after
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == before.count()
+
+
+def test_pipeline_keeps_columns_of_any_name_and_takes_empty_tables(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    names = ["_gone", "_links", "_first", "_doc", "_runs", "_copy", "copy", "doc", "found", "key", "runs", "score", "Score_", "n_lines", "N_REMOVED", "n_links", "class_id", "label", "hashes", "_salt", "name", "range"]
+    labels = spark.createDataFrame([(3, 1, 0), (6, 0, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    base = spark.createDataFrame([(r[0], r[1], r[3], r[4]) for r in fixture.corpus(seed=6, n=20)], "doc_id long, text string, source string, n_chars long")
+    docs = base.select("*", *(F.concat(F.lit(f"{n} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in names))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        after = storage.materialize(stage(spark, before, str(tmp_path)), "stage")
+        if name == "packing":
+            break
+        assert after.columns == docs.columns and after.count() > 0
+        for r in after.collect():
+            assert all(r[n] == f"{n} {'none' if r.doc_id is None else r.doc_id}" for n in names), name
+        before = after
+    cut = suffix_dedup.dedup(docs)
+    assert all(r[n] == f"{n} {'none' if r.doc_id is None else r.doc_id}" for r in cut.collect() for n in names if n != "N_REMOVED")  # that one is replaced
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = storage.materialize(stage(spark, empty, str(tmp_path)), "stage")
+        assert empty.count() == 0
