@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palindra import chemistry
-from palindra.catalog import _CUT_SQL, _LETTERS, _PEAKS, peptides, proteins, query, spectra, table
+from palindra.catalog import _CUT_SQL, _LETTERS, _MAPPED, _PEAKS, peptides, proteins, query, spectra, table
 from palindra.functions import ions
 from palindra.functions import sequences as S
 from palindra.operators import mapping, merging, study
@@ -311,3 +311,25 @@ def first_mapped(spark, sf_dir):
 def mapped_proteins(spark, sf_dir):
     """Proteins that contain each peptide: the mapping held against a plain substring search."""
     return mapping.locate(peptides(spark, sf_dir), proteins(spark, sf_dir)).groupBy("sequence").agg(F.countDistinct("protein_id").alias("n_proteins"))
+
+
+@query(
+    f"WITH {_MAPPED}, n AS (SELECT protein_id, unnest(range(start, \"end\")) AS pos FROM loc), c AS (SELECT protein_id, pos, count(*) AS depth FROM n GROUP BY protein_id, pos), "
+    "g AS (SELECT *, pos - row_number() OVER (PARTITION BY protein_id, depth ORDER BY pos) AS run FROM c) "
+    "SELECT protein_id, CAST(min(pos) AS INTEGER) AS start, CAST(max(pos) + 1 AS INTEGER) AS \"end\", depth FROM g GROUP BY protein_id, depth, run"
+)
+def residue_depth(spark, sf_dir):
+    """Runs of residues with equally many peptides over them; SQL counts every residue."""
+    return mapping.depth(mapping.locate(peptides(spark, sf_dir), proteins(spark, sf_dir)))
+
+
+@query(
+    f"WITH {_FORMS}, has AS (SELECT DISTINCT form FROM g), "
+    "p AS (SELECT m.sequence, g.protein_id, g.start, false AS split FROM m JOIN g ON g.form = m.sequence UNION SELECT m.sequence, g.protein_id, g.start, true FROM (SELECT m.*, m.a AS form FROM m UNION ALL SELECT m.*, m.b FROM m) m JOIN g ON g.form = m.form "
+    "WHERE m.sequence NOT IN (SELECT form FROM has) AND m.a IN (SELECT form FROM has) AND m.b IN (SELECT form FROM has)), "
+    "q AS (SELECT DISTINCT p.sequence, p.protein_id, p.start, p.split FROM p), e AS (SELECT sequence, protein_id, bool_or(split) AS split FROM q GROUP BY ALL), t AS (SELECT sequence, count(*) AS n FROM e GROUP BY sequence) "
+    "SELECT protein_id, count(CASE WHEN n = 1 THEN 1 END) AS n_unique, count(CASE WHEN n > 1 THEN 1 END) AS n_nonunique, count(*) AS n_total, count(CASE WHEN split THEN 1 END) AS n_split FROM e JOIN t USING (sequence) GROUP BY protein_id"
+)
+def mirror_counts(spark, sf_dir):
+    """Restored sequences of every protein, of it alone and of several, and those mapped by their two forms."""
+    return study.mirror_counts(study.whole_or_parts(_restored(spark, sf_dir), proteins(spark, sf_dir))).drop("n_places")

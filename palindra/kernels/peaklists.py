@@ -94,3 +94,48 @@ def collapse_losses(mz: np.ndarray, inten: np.ndarray, tolerance: float = 20.0,
                     height[i] += inten[j]
                     kept[j] = False
     return mz[kept], height[kept]
+
+
+def cluster_labels(mz: np.ndarray, inten: np.ndarray, most_charge: int, tolerance: float = 20.0, ppm: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(cluster from 1, charge) of peaks in any order, in that order; 0 for single peaks and those below the proton's mass."""
+    number, charge = np.zeros(len(mz), int), np.zeros(len(mz), int)
+    order = np.lexsort((inten, mz))
+    order = order[mz[order] >= PROTON]
+    cluster, z = isotope_clusters(mz[order], inten[order], most_charge, tolerance, ppm)
+    real = np.unique(cluster[z > 0])
+    number[order] = np.where(z > 0, np.searchsorted(real, cluster) + 1, 0)
+    charge[order] = z
+    return number, charge
+
+
+def labelled_singles(mz: np.ndarray, inten: np.ndarray, label: np.ndarray, most_charge: int, tolerance: float = 20.0, ppm: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(m/z, intensity, label) of charge one of doublets' light peaks: see ``operators.doublets.deisotoped``."""
+    order = np.lexsort((inten, mz))
+    mz, inten, label = mz[order], inten[order], label[order]
+    cluster, charge = isotope_clusters(mz, inten, most_charge, tolerance, ppm)
+    rows: list[tuple[float, float, int]] = []
+    for k in range(cluster.max() + 1 if len(cluster) else 0):
+        own = np.flatnonzero(cluster == k)
+        first, seen = own[0], int(label[own].max() > 0)
+        charges = range(1, int(label[first]) + 1) if seen and not charge[first] else [max(int(charge[first]), 1)]
+        rows += [(mz[first] * z - (z - 1) * PROTON, inten[first] * (1 + seen), seen) for z in charges]
+    rows.sort()
+    groups: list[list[float]] = []
+    for m, h, lab in rows:
+        # closeness is chained to the last peak of the group
+        if groups and m - groups[-1][3] < width(m, tolerance, ppm):
+            g = groups[-1]
+            total = g[1] + h
+            g[0] = (g[0] * g[1] + m * h) / total if total > 0 else g[0]
+            g[1], g[2], g[3] = total, max(g[2], lab), m
+        else:
+            groups.append([m, h, lab, m])
+    mz, inten, label = (np.array([g[k] for g in groups], float) for k in range(3))
+    kept = np.zeros(len(mz), bool)
+    for lab in (0, 1):
+        # a loss joins a parent of the same label
+        own = np.flatnonzero(label == lab)
+        left, high = collapse_losses(mz[own], inten[own], tolerance, ppm)
+        at = own[np.isin(mz[own], left)] if len(left) < len(own) else own
+        kept[at], inten[at] = True, high
+    return mz[kept], inten[kept], label[kept].astype(int)

@@ -149,3 +149,27 @@ def coverage(locations: DataFrame, proteins: DataFrame) -> DataFrame:
 def coverage_summary(cover: DataFrame) -> DataFrame:
     """One row: proteins hit, fully covered, residues, and mean, least and greatest rate."""
     return cover.agg(F.count("*").alias("n_proteins"), F.sum((F.col("covered") == F.col("total")).cast("long")).alias("n_full"), F.sum("covered").alias("covered"), F.sum("total").alias("total"), F.round(F.avg("rate"), 6).alias("mean_rate"), F.min("rate").alias("min_rate"), F.max("rate").alias("max_rate"))
+
+
+def depth(locations: DataFrame) -> DataFrame:
+    """(protein_id, start, end, depth): runs of residues that equally many places cover, end exclusive, without uncovered ones.
+
+    A sweep over where places begin and end: no residue has a row of its own. Repeated rows count each.
+    """
+    ends = F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("step"))))
+    events = locations.select("protein_id", ends.alias("x")).groupBy("protein_id", F.col("x.at").alias("start")).agg(F.sum("x.step").alias("step")).where("step <> 0")
+    over = W.partitionBy("protein_id").orderBy("start")
+    runs = events.withColumns({"end": F.lead("start").over(over), "depth": F.sum("step").over(over.rowsBetween(W.unboundedPreceding, 0))})
+    return runs.where("depth > 0").select("protein_id", "start", "end", "depth")
+
+
+def counts(locations: DataFrame) -> DataFrame:
+    """(protein_id, n_unique, n_nonunique, n_total, n_places): peptides of one protein and of several, all, and their places.
+
+    A peptide with several places in a protein counts once; repeated rows count as one place.
+    """
+    each = once(locations.select("sequence", "protein_id", "start", "end").distinct().groupBy("sequence", "protein_id").agg(F.count("*").alias("places")))
+    shared = each.groupBy("sequence").agg(F.count("*").alias("n"))
+    alone = F.col("n") == 1
+    sums = {"n_unique": F.sum(alone.cast("long")), "n_nonunique": F.sum((~alone).cast("long")), "n_total": F.count("*"), "n_places": F.sum("places")}
+    return each.join(shared, "sequence").groupBy("protein_id").agg(*(v.alias(k) for k, v in sums.items()))

@@ -146,3 +146,12 @@ def whole_or_parts(peptides: DataFrame, proteins: DataFrame) -> DataFrame:
     whole = F.array_contains("sides", "whole")
     wanted = F.when(whole, F.col("side") == "whole").otherwise(F.array_contains("sides", "a") & F.array_contains("sides", "b"))
     return found.join(sides, ["sequence", "type_code"]).where(wanted).select("sequence", "type_code", "protein_id", "start", "end", (~whole).alias("split"))
+
+
+def mirror_counts(found: DataFrame) -> DataFrame:
+    """(protein_id, n_unique, n_nonunique, n_total, n_places, n_split) of restored sequences located by :func:`whole_or_parts`.
+
+    A sequence mapped by its two forms counts once a protein, as one mapped whole does; ``n_split`` counts the former.
+    """
+    split = found.where("split").select("sequence", "protein_id").distinct().groupBy("protein_id").agg(F.count("*").alias("n_split"))
+    return mapping.counts(found).join(split, "protein_id", "left").withColumn("n_split", F.coalesce("n_split", F.lit(0)))

@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from palindra.operators import doublets
+
+
+def _blocks(spectra: DataFrame, more: Column) -> DataFrame:
+    peaks = F.array_join(F.transform("peaks", lambda p: F.format_string("%.5f %.5f", p.mz, p.inten)), "\n")
+    head = F.format_string("BEGIN IONS\nTITLE=%s\nCHARGE=%d+\nRTINSECONDS=%s\nPEPMASS=%.6f\n", "title", "charge", F.col("rt").cast("string"), "prec_mz")
+    return spectra.select(F.concat(head, more, peaks, F.when(F.size("peaks") > 0, "\n").otherwise(""), F.lit("END IONS")))
+
 
 def mgf(spectra: DataFrame, path: str, labels: str | None = None) -> None:
     """One text block a row: five decimals for peaks, six for the precursor, labels as a digit a peak."""
-    peaks = F.array_join(F.transform("peaks", lambda p: F.format_string("%.5f %.5f", p.mz, p.inten)), "\n")
     label = F.concat(F.lit("NEUCODELABEL="), F.array_join(labels, ""), F.lit("\n")) if labels else F.lit("")
-    head = F.format_string("BEGIN IONS\nTITLE=%s\nCHARGE=%d+\nRTINSECONDS=%s\nPEPMASS=%.6f\n", "title", "charge", F.col("rt").cast("string"), "prec_mz")
-    spectra.select(F.concat(head, label, peaks, F.when(F.size("peaks") > 0, "\n").otherwise(""), F.lit("END IONS"))).write.text(path)
+    _blocks(spectra, label).write.text(path)
+
+
+def mgf_with_doublets(spectra: DataFrame, path: str) -> None:
+    """Text blocks of spectra with peaks (mz, inten, label), the heavy partners of peaks of label 1 written back, and a digit a peak."""
+    full = spectra.withColumn("peaks", doublets.with_generated(F.col("peaks")))
+    _blocks(full, F.concat(F.lit("NEUCODELABEL="), F.array_join(F.transform("peaks", lambda p: p.label.cast("string")), ""), F.lit("\n"))).write.text(path)
+
+
+def annotated_mgf(spectra: DataFrame, path: str) -> None:
+    """Text blocks of spectra with ``labels`` (kept, cluster, charge) of their peaks, a line for each of the three."""
+    line = lambda name, field: F.concat(F.lit(f"{name}="), F.array_join(F.transform("labels", lambda x: x[field].cast("string")), ","), F.lit("\n"))
+    _blocks(spectra, F.concat(line("UNFILTERED", "kept"), line("ISOTOPE_CLUSTER", "cluster"), line("ISOTOPE_CHARGE", "charge"))).write.text(path)
 
 
 def pairs(rows: DataFrame, accepted: str, path: str) -> None:
