@@ -11,12 +11,13 @@ from palindra import chemistry
 PAIR_SCHEMA = "a_data_idx int, b_data_idx int, a_title string, b_title string, a_charge int, b_charge int, a_pm double, b_pm double, delta_pm double, target_p double, decoy_p double, mirror_anno string, target_score double, decoy_score double, fdr double"
 
 
-def mgf(spark: SparkSession, paths: str | list[str], side: str = "A", proton: float = chemistry.PROTON) -> DataFrame:
+def mgf(spark: SparkSession, paths: str | list[str], side: str = "A", proton: float = chemistry.PROTON, labels: bool = False) -> DataFrame:
     """(side, file, scan, title, charge, prec_mz, mh, rt, peaks) of text spectra, one row a precursor.
 
     Blocks end with END IONS. The scan is the fourth dotted field of the title from the end. Further
     blocks of a scan in the same file add precursors and share the first block's peaks. Peak lines begin with a
-    digit 1-9; the charge's last character and what follows the first precursor value are dropped.
+    digit 1-9; the charge's last character and what follows the first precursor value are dropped. With ``labels`` the lines of
+    labels a spectrum may have are read, too: doublets (digits), and kept, clusters and charges (each null where a block has no such line).
     """
     blocks = spark.read.option("lineSep", "END IONS").text(paths).where(F.col("value").contains("BEGIN IONS"))
     field = lambda name: F.regexp_extract("value", rf"(?m)^{name}=(.*?)\s*$", 1)
@@ -24,6 +25,9 @@ def mgf(spark: SparkSession, paths: str | list[str], side: str = "A", proton: fl
     parts = F.split(title, r"\.")
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: x.rlike("^[1-9]"))
     peak = lambda x: F.struct(F.split_part(x, F.lit(" "), F.lit(1)).cast("double").alias("mz"), F.split_part(x, F.lit(" "), F.lit(2)).cast("double").alias("inten"))
+    numbers = lambda line, cut: F.when(line != "", F.transform(F.filter(F.split(line, cut), lambda x: x != ""), lambda x: x.cast("int")))
+    named = {"doublets": ("NEUCODELABEL", ""), "kept": ("UNFILTERED", ","), "clusters": ("ISOTOPE_CLUSTER", ","), "charges": ("ISOTOPE_CHARGE", ",")} if labels else {}
+    extra = [numbers(field(line), cut).alias(name) for name, (line, cut) in named.items()]
     rows = blocks.select(
         F.lit(side).alias("side"),
         F.col("_metadata.file_path").alias("file"),
@@ -35,10 +39,11 @@ def mgf(spark: SparkSession, paths: str | list[str], side: str = "A", proton: fl
         F.regexp_extract("value", r"(?m)^PEPMASS=(\S+)", 1).cast("double").alias("prec_mz"),
         F.regexp_extract("value", r"(?m)^RTINSECONDS=(\S+)", 1).cast("double").alias("rt"),
         F.transform(lines, peak).alias("peaks"),
+        *extra,
     )
     first = W.partitionBy("file", "scan").orderBy("_n")
     rows = rows.withColumn("peaks", F.first("peaks").over(first))
-    return rows.withColumn("mh", (F.col("prec_mz") - proton) * F.col("charge") + proton).select("side", "file", "scan", "title", "charge", "prec_mz", "mh", "rt", "peaks")
+    return rows.withColumn("mh", (F.col("prec_mz") - proton) * F.col("charge") + proton).select("side", "file", "scan", "title", "charge", "prec_mz", "mh", "rt", "peaks", *named)
 
 
 def fasta(spark: SparkSession, paths: str | list[str], whole_header: bool = True) -> DataFrame:
@@ -56,26 +61,6 @@ def pairs(spark: SparkSession, paths: str | list[str], with_fdr: bool = True) ->
     return spark.read.csv(paths, schema=schema, sep="\t", header=True, positiveInf="inf")
 
 
-def candidates(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(title, mirror_title, mirror_anno, rank, sequence, modifications, score) of two-level text: a line
-    for each spectrum or pair, then its candidates on lines that begin with a tab."""
-    block = spark.read.text(paths, wholetext=True)
-    groups = block.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?m)(^[^\t\r\n][^\r\n]*(?:\r?\n\t[^\r\n]*)*)"), F.lit(1))).alias("g"))
-    lines = F.split("g", r"\r?\n")
-    head = F.split(F.element_at(lines, 1), "\t")
-    rows = groups.select(head.alias("h"), F.explode(F.slice(lines, F.lit(2), F.size(lines))).alias("line"))
-    cell = F.split(F.expr("substr(line, 2)"), "\t")
-    return rows.select(
-        F.get("h", F.lit(0)).alias("title"),
-        F.get("h", F.lit(1)).alias("mirror_title"),
-        F.get("h", F.lit(2)).alias("mirror_anno"),
-        F.get(cell, F.lit(0)).cast("int").alias("rank"),
-        F.get(cell, F.lit(1)).alias("sequence"),
-        F.get(cell, F.lit(2)).alias("modifications"),
-        F.get(cell, F.lit(3)).cast("double").alias("score"),
-    ).where("rank IS NOT NULL")
-
-
 def elements(text: str) -> dict[str, tuple[list[float], list[float]]]:
     """Isotope masses and abundances by element, from lines name|m1,m2,|a1,a2,|."""
     out = {}

@@ -43,3 +43,47 @@ def report(candidates: DataFrame, limit: int = 10) -> DataFrame:
     one = candidates.groupBy("title", "sequence").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("title").orderBy(F.desc("score"), "sequence"))
     return one.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
+_CANDIDATE_LINE = ("rank", "calc_mh", "sequence", "modifications", "score", "aa_scores")
+
+
+def _two_level(heads: DataFrame, key: list[str], rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``heads`` (key, line, ...) with ``text``: the line and below it the rows of the same key by rank, a tab before each."""
+    cell = {"calc_mh": F.format_string("%.5f", "calc_mh"), "aa_scores": F.array_join(F.transform("aa_scores", lambda x: F.format_string("%.2f", x)), ",")}
+    line = F.concat_ws("\t", F.lit(""), *(F.coalesce(cell.get(n, F.col(n).cast("string")), F.lit("")) for n in names))
+    below = rows.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("below"))
+    joined = heads.join(below, key, "left")
+    return joined.withColumn("text", F.concat("line", F.coalesce(F.concat(F.lit("\n"), "below"), F.lit("")))).drop("line", "below")
+
+
+def pair_candidates(pairs: DataFrame, candidates: DataFrame, path: str) -> None:
+    """Two-level text of pairs and their candidates, a folder for each pair of files, every file beginning with two lines of column names.
+
+    ``pairs`` is (a_data_idx, b_data_idx, a_title, b_title, a_mass, b_mass, a_charge, b_charge, mirror_anno), ``candidates`` (a_title,
+    b_title, rank, calc_mh, sequence, modifications, score, aa_scores). A pair without candidates has its line alone. Spark commits
+    a task's files when it ends and shows none of a failed one.
+    """
+    mass = lambda c: F.format_string("%.5f", c)
+    line = F.concat_ws("\t", "a_title", "b_title", mass("a_mass"), mass("b_mass"), F.col("a_charge").cast("string"), F.col("b_charge").cast("string"), "mirror_anno")
+    heads = pairs.select("a_data_idx", "b_data_idx", "a_title", "b_title", line.alias("line"))
+    rows = _two_level(heads, ["a_title", "b_title"], candidates, _CANDIDATE_LINE)
+    names = "a_title\tb_title\ta_mass\tb_mass\ta_charge\tb_charge\tmirror_anno\n\t" + "\t".join(_CANDIDATE_LINE)
+    by_files(rows.select("a_data_idx", "b_data_idx", "text"), names, path)
+
+
+def single_candidates(spectra: DataFrame, candidates: DataFrame, path: str) -> None:
+    """Two-level text of spectra (title) and their candidates (title, rank, sequence, modifications, score, aa_scores)."""
+    names = ("rank", "sequence", "modifications", "score", "aa_scores")
+    rows = _two_level(spectra.select("title", F.col("title").alias("line")), ["title"], candidates, names)
+    rows.select("text").write.option("lineSep", "\n").text(path)
+
+
+def by_files(rows: DataFrame, header: str, path: str, keys: tuple[str, ...] = ("a_data_idx", "b_data_idx"), parts: int = 8) -> None:
+    """``rows`` (keys, text) as text, a folder for each pair of files and in it one for each part, with a file that begins with ``header``.
+
+    The rows of a pair of files are dealt to ``parts`` tasks by their text, so large files are no single task's.
+    """
+    dealt = rows.select(*keys, F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int").alias("part"), "text", F.lit(1).alias("place"))
+    heads = dealt.select(*keys, "part", F.lit(header).alias("text"), F.lit(0).alias("place")).distinct()
+    dealt.unionByName(heads).repartition(*keys, "part").sortWithinPartitions(*keys, "part", "place", "text").drop("place").write.partitionBy(*keys, "part").text(path)

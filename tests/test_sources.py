@@ -1,5 +1,7 @@
 """Text sources and sinks, plans and streaming on small files."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from palindra.functions import sequences as S
 from palindra.kernels import sequencing
 from palindra.operators import kernels, mapping, recall
 from palindra.plans import workflow
-from palindra.sources import readers, writers
+from palindra.sources import readers, results, stores, writers
 from palindra.streaming import events
 
 MGF = """BEGIN IONS
@@ -64,7 +66,7 @@ def test_fasta_and_mapping(spark, tmp_path):
 
 def test_candidates_and_report(spark, tmp_path):
     (tmp_path / "c.txt").write_text("s1\tm1\tA1:K-K\n\t1\tPEP\t\t0.9\n\t2\tPEP\t1,Ox;\t0.95\ns2\tm2\tD: K-X\n\t1\tTLDE\t\t0.5\ns3\tm3\tA1:K-K\n")
-    got = readers.candidates(spark, str(tmp_path / "c.txt"))
+    got = results.candidates(spark, str(tmp_path / "c.txt"))
     assert {(r.title, r.mirror_anno, r.rank, r.sequence, r.score) for r in got.collect()} == {("s1", "A1:K-K", 1, "PEP", 0.9), ("s1", "A1:K-K", 2, "PEP", 0.95), ("s2", "D: K-X", 1, "TLDE", 0.5)}
     assert {(r.title, r.sequence, r.score, r["rank"]) for r in writers.report(got).collect()} == {("s1", "PEP", 0.95, 1), ("s2", "TLDE", 0.5, 1)}
 
@@ -139,3 +141,103 @@ def test_streams_equal_batches(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("pairs").count() == recall.mirror_candidates(a, b).count() == 1
+
+
+def test_headers_are_carried_over_ranges_of_a_file(spark, tmp_path):
+    r = random.Random(3)
+    want = []
+    for name in ("a.txt", "b.txt"):
+        lines = ["\t9\tORPHAN\t\t0.1"] if name == "b.txt" else []
+        if lines:
+            want.append((None, 9, "ORPHAN"))
+        for k in range(120):
+            title = f"{name}.{k}"
+            lines.append(f"{title}\tm{k}\tD: K-X")
+            for n in range(1, r.choice([1, 2, 30])):
+                lines.append(f"\t{n}\tPEP{'A' * n}\t1,Ox;\t{n / 8}\t0.5,0.25")
+                want.append((title, n, f"PEP{'A' * n}"))
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    few = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows = results.candidates(spark, [str(tmp_path / n) for n in ("a.txt", "b.txt")])
+        assert spark.read.text(str(tmp_path / "a.txt")).rdd.getNumPartitions() > 5
+        got = rows.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", few)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(((x.title, x["rank"], x.sequence) for x in got), key=str) == sorted(want, key=str)
+    assert {(x.modifications, tuple(x.aa_scores)) for x in got if x.title} == {("1,Ox;", (0.5, 0.25))}
+
+
+def test_other_tools_results(spark, tmp_path):
+    (tmp_path / "c.mztab").write_text("MTD\tx\nPSH\tsequence\tPSM_ID\tsearch_engine_score[1]\tspectra_ref\nPSM\tPEC+57.021IM+15.995K\t1\t0.5\tms_run[1]:index=7\nPSM\tAAK\t2\t0.75\tms_run[1]:index=7\nPSM\t+42.011AK\t3\tnull\tms_run[1]:index=8\n")
+    got = {(x.title, x["rank"]): (x.sequence, x.score) for x in results.mztab(spark, str(tmp_path / "c.mztab")).collect()}
+    assert got == {("ms_run[1]:index=7", 1): ("AAK", 0.75), ("ms_run[1]:index=7", 2): ("PEC(+57.02)LM(+15.99)K", 0.5), ("ms_run[1]:index=8", 1): (None, None)}
+    (tmp_path / "p.csv").write_text("scan,score,sequence,title\n1,0.5,AIC(+57.02)K,t1\n2,0.5,AM(+3.1)K,t2\n")
+    assert {tuple(x) for x in results.tool_table(spark, str(tmp_path / "p.csv"), "peaks").collect()} == {("t1", "ALC(+57.02)K"), ("t2", None)}
+    (tmp_path / "q.tsv").write_text("title\tprediction\nt1\tIC[+57.021]M[+15.995]\nt2\tA[+1]K\n")
+    assert {tuple(x) for x in results.tool_table(spark, str(tmp_path / "q.tsv"), "primenovo").collect()} == {("t1", "LC(+57.02)M(+15.99)"), ("t2", None)}
+    (tmp_path / "r.tsv").write_text("feature\tx\toutput_seq\nt1\t0\tA,I,M(Oxidation)\nt2\t0\tN(Deamidation),K\n")
+    assert {tuple(x) for x in results.tool_table(spark, str(tmp_path / "r.tsv"), "pointnovo").collect()} == {("t1", "ALM(+15.99)"), ("t2", None)}
+    (tmp_path / "s.txt").write_text("S1\tt1\nP1\tAaCK\t0.9\nP2\tAAK\t0.1\n\nS2\tt2\n\n")
+    assert {(x.title, x["rank"], x.sequence, x.score) for x in results.blocks(spark, str(tmp_path / "s.txt")).collect()} == {("t1", 1, "AM(+15.99)C(+57.02)K", 0.9), ("t1", 2, "AAK", 0.1)}
+    (tmp_path / "v.tsv").write_text("Protein\tCoverage_AA_num\tTotal_AA_num\tCoverage_rate\np1\t5\t10\t0.5\nmean\t-\t-\t0.5\n")
+    assert [tuple(x) for x in results.coverage_table(spark, str(tmp_path / "v.tsv")).collect()] == [("p1", 5, 10, 0.5)]
+
+
+def block(title, peaks="100.5 7\n", more=""):
+    return f"BEGIN IONS\nTITLE={title}\nCHARGE=2+\nRTINSECONDS=1.5\nPEPMASS=400.5\n{more}{peaks}END IONS\n"
+
+
+def test_label_lines_are_read(spark, tmp_path):
+    more = "NEUCODELABEL=01\nUNFILTERED=1,0\nISOTOPE_CLUSTER=1,0\nISOTOPE_CHARGE=2,0\n"
+    (tmp_path / "a.mgf").write_text(block("f.1.1.2.0.dta", "100.5 7\n101.5 3\n", more) + block("f.2.2.2.0.dta"))
+    got = {x.scan: x for x in readers.mgf(spark, str(tmp_path / "a.mgf"), labels=True).collect()}
+    assert (got[1].doublets, got[1].kept, got[1].clusters, got[1].charges) == ([0, 1], [1, 0], [1, 0], [2, 0]) and got[2].kept is None
+
+
+def test_only_changed_files_are_parsed(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    one, two = tmp_path / "in" / "one.mgf", tmp_path / "in" / "deep" / "two.MGF"
+    one.write_text(block("f.1.1.2.0.dta"))
+    two.write_text(block("f.2.2.2.0.dta"))
+    (tmp_path / "in" / "note.txt").write_text("no spectra")
+    listed, cache = f"{tmp_path / 'in'}|{one}", str(tmp_path / "cache")
+    assert stores.files(spark, listed).count() == 2
+    scans = lambda: sorted(x.scan for x in stores.cached_spectra(spark, listed, cache).collect())
+    manifest = lambda: [x.batch for x in spark.read.parquet(f"{cache}/manifest").collect()]
+    assert scans() == [1, 2] and len(set(manifest())) == 1
+    assert scans() == [1, 2] and len(manifest()) == 2
+    two.write_text(block("f.2.2.2.0.dta") + block("f.3.3.2.0.dta"))
+    assert scans() == [1, 2, 3] and len(manifest()) == 3 and len(set(manifest())) == 2
+    one.unlink()
+    assert sorted(x.scan for x in stores.cached_spectra(spark, str(tmp_path / "in"), cache).collect()) == [2, 3] and len(manifest()) == 3
+    with pytest.raises(ValueError):
+        stores.files(spark, " | ")
+
+
+def test_few_titles_read_few_rows(spark, tmp_path):
+    rows = spark.range(4000).select(F.concat(F.lit("t"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("title"), F.lit(1).alias("scan"))
+    stores.write_titles(rows, str(tmp_path / "t"), 100)
+    got = stores.by_titles(spark, str(tmp_path / "t"), ["t000007", "t003999", "absent"])
+    assert sorted(x.title for x in got.collect()) == ["t000007", "t003999"]
+    leaves = got._jdf.queryExecution().executedPlan().collectLeaves()
+    assert leaves.apply(0).metrics().get("numOutputRows").get().value() <= 2100
+
+
+def test_two_level_writers_round_trip(spark, tmp_path):
+    pairs = [(k % 2, k % 3, f"a{k}", f"b{k}", 500.0 + k, 600.0, 2, 3, "D: K-X") for k in range(30)]
+    found = [(f"a{k}", f"b{k}", n, 500.5, "PEPK", "", 1.0 / n, [0.5, 0.25]) for k in range(29) for n in (1, 2)]
+    p = spark.createDataFrame(pairs, "a_data_idx int, b_data_idx int, a_title string, b_title string, a_mass double, b_mass double, a_charge int, b_charge int, mirror_anno string")
+    c = spark.createDataFrame(found, "a_title string, b_title string, rank int, calc_mh double, sequence string, modifications string, score double, aa_scores array<double>")
+    writers.pair_candidates(p, c, str(tmp_path / "out"))
+    texts = [f.read_text() for f in (tmp_path / "out").rglob("part-*.txt")]
+    assert all(t.startswith("a_title\tb_title\t") and t.count("a_title") == 1 for t in texts) and len({f.parent.parent for f in (tmp_path / "out").rglob("part-*.txt")}) == 6
+    rows = results.under_headers(spark, str(tmp_path / "out"), r"[^\t]", r"\t\d").collect()
+    assert len(rows) == 58 and {x.header.split("\t")[0] for x in rows} == {f"a{k}" for k in range(29)}
+    assert any(line.startswith("a29\tb29\t529.00000\t600.00000\t2\t3\tD: K-X") for t in texts for line in t.splitlines())
+    writers.single_candidates(spark.createDataFrame([("a1",), ("a2",), ("none",)], "title string"), c.withColumnRenamed("a_title", "title").where("title IN ('a1', 'a2')"), str(tmp_path / "single"))
+    back = results.candidates(spark, str(tmp_path / "single")).collect()
+    assert {(x.title, x["rank"], x.sequence) for x in back} == {(t, n, "PEPK") for t in ("a1", "a2") for n in (1, 2)}
