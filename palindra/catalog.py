@@ -17,7 +17,6 @@ from palindra.functions import ions
 from palindra.functions import peaks as P
 from palindra.functions import sequences as S
 from palindra.operators import kernels, mapping, merging, recall, statistics
-from palindra.plans import workflow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -192,16 +191,15 @@ def complement_peaks(spark, sf_dir):
 
 
 @query(
-    f"WITH {_PEAKS}, s AS (SELECT *, row_number() OVER (PARTITION BY spectrum ORDER BY inten DESC, mz DESC, k DESC, j DESC) AS r FROM p), "
-    "a AS (SELECT *, 1 / (1 + exp(-CAST(row_number() OVER (PARTITION BY spectrum ORDER BY mz, inten, k, j) AS DOUBLE))) AS w FROM s WHERE r <= 20), "
+    f"WITH {_PEAKS}, a AS (SELECT *, 1 / (1 + exp(-CAST(row_number() OVER (PARTITION BY spectrum ORDER BY mz, inten, k, j) AS DOUBLE))) AS w FROM p), "
     "h AS (SELECT x.spectrum AS a_id, y.spectrum AS b_id, CAST(trunc((x.mz - y.mz) / 0.04 + sign(x.mz - y.mz) * 0.5) AS BIGINT) AS bin, "
     "sum(x.w * y.w) AS weight, sum(x.w * y.w * (x.inten + y.inten)) AS strength FROM a x JOIN a y ON y.spectrum = x.spectrum + 1 "
     "WHERE x.spectrum % 2 = 0 AND abs(x.mz - y.mz) <= 200 GROUP BY 1, 2, 3) "
-    "SELECT a_id, b_id, bin, round(weight * strength, 4) AS score FROM h"
+    "SELECT a_id, b_id, bin, round(weight * strength, 2) AS score FROM h"
 )
 def delta_histogram(spark, sf_dir):
-    """Score of every mass difference between two spectra: the native twin of the pair kernel, on 20 peaks each."""
-    top = spectra(spark, sf_dir).select("spectrum", P.top(F.col("peaks"), 20).alias("peaks"))
+    """Score of every mass difference between two spectra: the native twin of the pair kernel, on all their peaks."""
+    top = spectra(spark, sf_dir).select("spectrum", "peaks")
     top = top.withColumn("w", P.rank_weights(F.col("peaks"))).select("spectrum", F.explode(F.arrays_zip("peaks", "w")).alias("x"))
     side = lambda s: top.select(F.col("spectrum").alias(f"{s}_id"), F.col("x.peaks.mz").alias(f"{s}_mz"), F.col("x.peaks.inten").alias(f"{s}_inten"), F.col("x.w").alias(f"{s}_w"))
     gap = F.col("a_mz") - F.col("b_mz")
@@ -211,7 +209,7 @@ def delta_histogram(spark, sf_dir):
     bin_ = F.when(scaled >= 0, F.floor(scaled)).otherwise(F.ceil(scaled)).cast("long")
     w = F.col("a_w") * F.col("b_w")
     out = rows.groupBy("a_id", "b_id", bin_.alias("bin")).agg(F.sum(w).alias("weight"), F.sum(w * (F.col("a_inten") + F.col("b_inten"))).alias("strength"))
-    return out.select("a_id", "b_id", "bin", F.round(F.col("weight") * F.col("strength"), 4).alias("score"))
+    return out.select("a_id", "b_id", "bin", F.round(F.col("weight") * F.col("strength"), 2).alias("score"))
 
 
 # ---- statistics ---------------------------------------------------------------------------------
@@ -540,15 +538,6 @@ def isotope_cluster(spark, sf_dir):
     return kernels.isotopes(_spread(spectra(spark, sf_dir)))
 
 
-@query()
-def judge_type(spark, sf_dir):
-    """Scored pairs of every cleaned spectrum with the next one, read as each of the types A to G."""
-    rows = workflow.clean(_spread(spectra(spark, sf_dir)).select(F.col("spectrum").alias("id"), F.col("mass").alias("mh"), "peaks")).withColumnRenamed("mh", "mass")
-    codes = F.array(*(F.lit(c) for c in sorted({code for code, _ in chemistry.recall_types()})))
-    pairs = rows.select(F.col("id").alias("a_id"), (F.col("id") + 1).alias("b_id"), F.explode(codes).alias("type_code"))
-    return kernels.scored_pairs(_spread(pairs), rows, rows)
-
-
 def ladders(spark, sf_dir):
     """(spectrum, mass, peaks, sequence): the b and y ions of all letters of part names and kinds, read as residues."""
     seq = F.translate(F.regexp_replace(F.upper(F.concat("p_name", "p_type")), "[^A-Z]", ""), "IBJOUXZ", "LAAAAAA")

@@ -67,18 +67,19 @@ def residue_accuracy(spark, sf_dir):
 
 
 @query(
-    f"WITH {_PART}, {_PREFIX}, p AS (SELECT p_partkey, i, m + {_P} AS b, total - m + {_W} + {_P} AS y FROM w WHERE i < n AND p_partkey % 20 = 1), "
-    f"k AS (SELECT l_suppkey, 100 + l_extendedprice / 60 AS mz, l_quantity AS inten FROM lineitem), "
-    "v AS (SELECT p_partkey, i, unnest([b, y]) AS ion_mz, unnest([1, 2]) AS u FROM p), "
-    "x AS (SELECT v.p_partkey, v.i, v.u, v.ion_mz, arg_min(k.inten, (abs(k.mz - v.ion_mz), k.inten)) AS inten, min(abs(k.mz - v.ion_mz)) AS d FROM v JOIN k ON k.l_suppkey = 1 GROUP BY ALL) "
-    "SELECT p_partkey, CAST(i AS INTEGER) AS site, CAST(max(CASE WHEN d <= ion_mz * 200 * 1e-6::DOUBLE THEN 1 ELSE 0 END) AS INTEGER) AS tag, round(sum(CASE WHEN d <= ion_mz * 200 * 1e-6::DOUBLE THEN inten ELSE 0 END), 4) AS inten FROM x GROUP BY p_partkey, i"
+    f"WITH {_PART}, {_PREFIX}, z AS (SELECT max(l_suppkey) AS last FROM lineitem), p AS (SELECT p_partkey, i, p_partkey % last + 1 AS spectrum, p_partkey % 2 > 0 AS many, m + {_P} AS b, total - m + {_W} + {_P} AS y FROM w, z WHERE i < n), "
+    "k AS (SELECT l_suppkey, 100 + l_extendedprice / 60 AS mz, CAST(l_quantity AS DOUBLE) AS inten FROM lineitem), "
+    f"v AS (SELECT p_partkey, i, spectrum, unnest([b, y, CASE WHEN many THEN (b + {_P}) / 2 END, CASE WHEN many THEN (y + {_P}) / 2 END]) AS ion_mz, unnest([1, 2, 3, 4]) AS u FROM p), "
+    "x AS (SELECT v.p_partkey, v.i, v.u, arg_min(k.inten, (abs(k.mz - v.ion_mz), k.inten)) AS inten FROM v JOIN k ON k.l_suppkey = v.spectrum AND abs(k.mz - v.ion_mz) <= v.ion_mz * 200 * 1e-6::DOUBLE GROUP BY ALL) "
+    "SELECT p.p_partkey, CAST(p.i AS INTEGER) AS site, CAST(count(x.u) > 0 AS INTEGER) AS tag, round(coalesce(sum(x.inten), 0), 4) AS inten FROM p LEFT JOIN x ON x.p_partkey = p.p_partkey AND x.i = p.i GROUP BY p.p_partkey, p.i"
 )
 def site_evidence(spark, sf_dir):
-    """Evidence of peptides' cleavage sites in one spectrum, at 200 ppm."""
-    one = spectra(spark, sf_dir).where("spectrum = 1").select(F.transform("peaks", lambda p: F.struct(p.mz.alias("mz"), p.inten.cast("double").alias("inten"))).alias("peaks"))
-    rows = part(spark, sf_dir).where("p_partkey % 20 = 1").crossJoin(F.broadcast(one))  # one spectrum
-    found = rows.select("p_partkey", F.posexplode(ions.evidence(F.col("seq"), F.col("peaks"), F.lit(2), 200.0)).alias("i", "x"))
-    return found.select("p_partkey", (F.col("i") + 1).alias("site"), "x.tag", F.round("x.inten", 4).alias("inten"))
+    """Evidence of every part's cleavage sites in one of the spectra, at 200 ppm; odd parts have ions of charge two."""
+    rows = part(spark, sf_dir).select("p_partkey", "seq", (2 + F.col("p_partkey") % 2).alias("charge"))
+    last = table(spark, sf_dir, "lineitem").agg(F.max("l_suppkey").alias("c"))  # one row
+    rows = rows.crossJoin(F.broadcast(last)).withColumn("spectrum", F.col("p_partkey") % F.col("c") + 1)
+    found = study.site_evidence(rows.join(spectra(spark, sf_dir).select("spectrum", "peaks"), "spectrum"), "p_partkey", 200.0)
+    return found.select("p_partkey", "site", "tag", F.round("inten", 4).alias("inten"))
 
 
 @query(f"WITH {_PEAKS}, r AS (SELECT *, row_number() OVER (PARTITION BY spectrum ORDER BY inten DESC, mz DESC, k DESC, j DESC) / CAST(count(*) OVER (PARTITION BY spectrum) AS DOUBLE) AS share FROM p) SELECT spectrum, k, j, round(7 * exp(-7 * share), 8) AS density FROM r")
