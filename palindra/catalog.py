@@ -16,6 +16,7 @@ from palindra import chemistry
 from palindra.functions import ions
 from palindra.functions import peaks as P
 from palindra.functions import sequences as S
+from palindra.kernels import pairscore
 from palindra.operators import kernels, mapping, merging, recall, statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,24 +193,23 @@ def complement_peaks(spark, sf_dir):
 
 @query(
     f"WITH {_PEAKS}, a AS (SELECT *, 1 / (1 + exp(-CAST(row_number() OVER (PARTITION BY spectrum ORDER BY mz, inten, k, j) AS DOUBLE))) AS w FROM p), "
-    "h AS (SELECT x.spectrum AS a_id, y.spectrum AS b_id, CAST(trunc((x.mz - y.mz) / 0.04 + sign(x.mz - y.mz) * 0.5) AS BIGINT) AS bin, "
-    "sum(x.w * y.w) AS weight, sum(x.w * y.w * (x.inten + y.inten)) AS strength FROM a x JOIN a y ON y.spectrum = x.spectrum + 1 "
+    f"h AS (SELECT x.spectrum AS a_id, y.spectrum AS b_id, CAST(trunc((x.mz - y.mz) / {pairscore.PLAIN.width!r}::DOUBLE + sign(x.mz - y.mz) * 0.5) AS BIGINT) AS bin, "
+    "sum(x.w + y.w) AS weight, sum(x.w * x.inten + y.w * y.inten) AS strength FROM a x JOIN a y ON y.spectrum = x.spectrum + 1 "
     "WHERE x.spectrum % 2 = 0 AND abs(x.mz - y.mz) <= 200 GROUP BY 1, 2, 3) "
-    "SELECT a_id, b_id, bin, round(weight * strength, 2) AS score FROM h"
+    f"SELECT a_id, b_id, bin, round(weight * strength * {pairscore.SAME**2!r}::DOUBLE, 2) AS score FROM h"
 )
 def delta_histogram(spark, sf_dir):
     """Score of every mass difference between two spectra: the native twin of the pair kernel, on all their peaks."""
     top = spectra(spark, sf_dir).select("spectrum", "peaks")
     top = top.withColumn("w", P.rank_weights(F.col("peaks"))).select("spectrum", F.explode(F.arrays_zip("peaks", "w")).alias("x"))
-    side = lambda s: top.select(F.col("spectrum").alias(f"{s}_id"), F.col("x.peaks.mz").alias(f"{s}_mz"), F.col("x.peaks.inten").alias(f"{s}_inten"), F.col("x.w").alias(f"{s}_w"))
+    side = lambda s: top.select(F.col("spectrum").alias(f"{s}_id"), F.col("x.peaks.mz").alias(f"{s}_mz"), (F.col("x.w") * F.col("x.peaks.inten")).alias(f"{s}_height"), F.col("x.w").alias(f"{s}_w"))
     gap = F.col("a_mz") - F.col("b_mz")
     b = side("b").withColumn("a_id", F.col("b_id") - 1)
-    rows = side("a").where("a_id % 2 = 0").join(b, "a_id").where(F.abs(gap) <= 200)
-    scaled = gap / 0.04 + F.signum(gap) * 0.5
+    rows = side("a").where("a_id % 2 = 0").join(b, "a_id").where(F.abs(gap) <= pairscore.REACH)
+    scaled = gap / pairscore.PLAIN.width + F.signum(gap) * 0.5
     bin_ = F.when(scaled >= 0, F.floor(scaled)).otherwise(F.ceil(scaled)).cast("long")
-    w = F.col("a_w") * F.col("b_w")
-    out = rows.groupBy("a_id", "b_id", bin_.alias("bin")).agg(F.sum(w).alias("weight"), F.sum(w * (F.col("a_inten") + F.col("b_inten"))).alias("strength"))
-    return out.select("a_id", "b_id", "bin", F.round(F.col("weight") * F.col("strength"), 2).alias("score"))
+    out = rows.groupBy("a_id", "b_id", bin_.alias("bin")).agg(F.sum(F.col("a_w") + F.col("b_w")).alias("weight"), F.sum(F.col("a_height") + F.col("b_height")).alias("strength"))
+    return out.select("a_id", "b_id", "bin", F.round(F.col("weight") * F.col("strength") * pairscore.SAME**2, 2).alias("score"))
 
 
 # ---- statistics ---------------------------------------------------------------------------------

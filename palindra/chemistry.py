@@ -44,9 +44,21 @@ MIRROR_TYPES = (
 )
 
 
-def recall_types() -> list[tuple[int, float]]:
+#: Masses of K and R that carry the two labels of doubly labelled samples.
+K_LABELLED, R_LABELLED = 136.10916, 160.08925
+
+
+def mirror_types(labelled: bool = False) -> tuple[MirrorType, ...]:
+    """The mirror types, with the shifts of labelled K and R if asked for."""
+    if not labelled:
+        return MIRROR_TYPES
+    heavy = {0.0: 0.0, K: K_LABELLED, R: R_LABELLED, -K: -K_LABELLED, -R: -R_LABELLED, R - K: R_LABELLED - K_LABELLED, K - R: K_LABELLED - R_LABELLED}
+    return tuple(MirrorType(t.code, t.name, heavy[t.precursor], heavy[t.b], heavy[t.y], t.on) for t in MIRROR_TYPES)
+
+
+def recall_types(labelled: bool = False) -> list[tuple[int, float]]:
     """(code, precursor shift) of the recall; the types without a shift are recalled together as 0."""
-    return [(0, 0.0), *((t.code, t.precursor) for t in MIRROR_TYPES if t.on and t.code > 3)]
+    return [(0, 0.0), *((t.code, t.precursor) for t in mirror_types(labelled) if t.on and t.code > 3)]
 
 
 def composition(formula: str) -> dict[str, int]:

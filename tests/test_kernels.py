@@ -55,23 +55,61 @@ def test_mirror_pairs_score_at_their_shift(code, a, b):
     sides = [pairscore.Side.of(*spectrum(s)) for s in (a, b)]
     scores = pairscore.histogram(*sides)
     wanted = next(t for t in chemistry.MIRROR_TYPES if t.code == (1 if code == 0 else code))
-    best = max(scores[pairscore.spot(wanted.b)], scores[pairscore.spot(wanted.y)])
+    best = max(scores[pairscore.PLAIN.spot(wanted.b)], scores[pairscore.PLAIN.spot(wanted.y)])
     assert best >= 0.5 * scores.max()
 
 
-def test_histogram_equals_its_double_loop():
+@pytest.mark.parametrize("labelled", [False, True])
+def test_histogram_equals_its_double_loop(labelled):
     r = np.random.default_rng(1)
-    a, b = (pairscore.Side.of(np.sort(r.uniform(100, 900, 12)), r.uniform(1, 9, 12), 1000.0) for _ in range(2))
-    weight, height = np.zeros(pairscore.BINS + 1), np.zeros(pairscore.BINS + 1)
+    scale = pairscore.LABELLED if labelled else pairscore.PLAIN
+    a, b = (pairscore.Side.of(np.sort(r.uniform(100, 900, 12)), r.uniform(1, 9, 12), 1000.0, 0.0, r.random(12) < 0.5) for _ in range(2))
+    kind = next(t for t in scale.types if t.code == 4)
+    b.mz[3], b.mz[5] = a.mz[2] - kind.b, a.mz[4] - kind.y
+    weight, height = np.zeros(scale.bins + 1), np.zeros(scale.bins + 1)
     for i in range(len(a.mz)):
         for j in range(len(b.mz)):
             d = a.mz[i] - b.mz[j]
-            if abs(d) <= pairscore.BINS * pairscore.BIN / 2:
-                k = int(math.trunc(d / pairscore.BIN + math.copysign(0.5, d))) + pairscore.BINS // 2
-                w = (0.3 if a.original[i] == b.original[j] else 0.7) * a.weight[i] * b.weight[j]
-                weight[k] += w
-                height[k] += w * (a.inten[i] + b.inten[j])
-    assert np.allclose(pairscore.histogram(a, b), weight * height)
+            if abs(d) <= scale.bins * scale.width / 2:
+                k = int(math.trunc(d / scale.width + math.copysign(0.5, d))) + (scale.bins + 1) // 2
+                w = 0.3 if a.original[i] == b.original[j] else 0.7
+                weight[k] += w * (a.weight[i] + b.weight[j])
+                own, other = w * a.weight[i] * a.inten[i], w * b.weight[j] * b.inten[j]
+                height[k] += own + other
+                if labelled:
+                    is_b, is_y = k == scale.spot(kind.b), k == scale.spot(kind.y)
+                    height[k] += own * (is_b and not a.label[i] or is_y and a.label[i]) + other * (is_y and not b.label[j] or is_b and b.label[j])
+    assert np.allclose(pairscore.histogram(a, b, scale, [kind] if labelled else None), weight * height)
+
+
+def test_bins_of_shifts():
+    """The bin where a shift is read is that of the shift's own difference, but for labelled R, which lies one off."""
+    for scale in (pairscore.PLAIN, pairscore.LABELLED):
+        for t in scale.types:
+            for d in (t.b, t.y):
+                off = scale.spot(d) - int(scale.at(np.array([d]))[0])
+                assert off == (1 if scale is pairscore.LABELLED and d == chemistry.R_LABELLED else 0)
+    assert (pairscore.PLAIN.spot(0.0), pairscore.LABELLED.spot(chemistry.R_LABELLED)) == (10056, 8996)
+
+
+def test_labelled_pairs_are_judged():
+    """Labels are on y ions of the first digest and on b ions of its mirror, where they agree."""
+    heavy = dict(chemistry.RESIDUES, K=chemistry.K_LABELLED, R=chemistry.R_LABELLED)
+
+    def side(peptide, labelled_y):
+        masses = np.array([heavy[c] for c in peptide])
+        b, y = np.cumsum(masses)[:-1] + chemistry.PROTON, np.cumsum(masses[::-1])[:-1] + chemistry.WATER + chemistry.PROTON
+        mz = np.concatenate([b, y])
+        order = np.argsort(mz)
+        label = np.concatenate([np.full(len(b), not labelled_y), np.full(len(y), labelled_y)])[order]
+        return pairscore.Side.of(mz[order], np.full(len(mz), 100.0), masses.sum() + chemistry.WATER + chemistry.PROTON, 0.0, label)
+
+    for code, a, b in ((0, "PEPTLDEGASK", "KPEPTLDEGAS"), (4, "PEPTLDEGASR", "KPEPTLDEGAS"), (6, "GAVPEPTLDSK", "GAVPEPTLDS"), (8, "GAVPEPTLDS", "KGAVPEPTLDS")):
+        sides = side(a, True), side(b, False)
+        kind, _, _, with_labels, _ = pairscore.score_pair(*sides, code, 0, True)
+        assert kind == (code or 1)
+        wrong = [pairscore.Side(s.mz, s.inten, s.weight, s.original, ~s.label) for s in sides]
+        assert pairscore.score_pair(*wrong, code, 0, True)[3] < with_labels
 
 
 @pytest.mark.parametrize("sequence", ["PEPTLDEK", "GAVSTNR"])
