@@ -27,6 +27,8 @@ from .memory import lean
 WINDOW = 2048
 END_ID = 1
 SHARD_TOKENS = 1 << 20
+#: Bytes of texts encoded at once, and pieces that a worker keeps: later stages share its memory.
+ENCODED, KEPT = 2 << 20, 400_000
 #: Rows a shard at most; rows of which the best are sought at once.
 SHARD_ROWS, AT_ONCE = 1 << 16, 256
 #: A term in more than this share of a shard's rows is kept as a dense row of weights instead of postings.
@@ -45,7 +47,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(vocabulary)
-        for block in text.blocks(batches, "text"):
+        enc.keep = KEPT
+        for block in text.blocks(batches, "text", ENCODED):
             ids, first = enc.ids(block.column("text"))
             ids = np.insert(ids.astype("<u4"), first[1:], end_id)
             yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), binary(ids, first + np.arange(len(first)))], names=["doc_id", "ids"])

@@ -21,7 +21,13 @@ _ENCODERS: dict = {}
 
 
 class Encoder:
-    """Ids of string columns; one instance a worker and vocabulary file (see :func:`encoder`)."""
+    """Ids of string columns; one instance a worker and vocabulary file (see :func:`encoder`).
+
+    ``keep`` is the number of pieces beyond which a worker drops those that it has met in one block only, and all of them if
+    most were met again.
+    """
+
+    keep = KEEP
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -35,8 +41,22 @@ class Encoder:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.pool, self.begin, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.again = np.zeros(1 << 16, bool)
         self.used = 0
 
+    def purge(self) -> None:
+        """Drop the pieces that were met in one block only; all, if more than half of ``keep`` would stay."""
+        kept = np.flatnonzero(self.again[: len(self.known)])
+        if 2 * len(kept) > self.keep:
+            self.forget()
+            return
+        names = np.array(list(self.known), object)[kept].tolist()
+        begin, size, pool = self.begin[kept], self.size[kept], self.pool
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = pool[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
+        self.forget()
+        self._add(names, ids, size)
+
     def whole(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sizes) of the values, each encoded by itself."""
         lists = [e.ids for e in self.tokenizer.encode_batch_fast(values, add_special_tokens=False)]
@@ -63,7 +83,7 @@ class Encoder:
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while n + len(pieces) > len(self.begin):
-            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+            self.begin, self.size, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.again))
         self.pool[self.used : self.used + len(ids)] = ids
         self.size[n : n + len(pieces)] = sizes
         self.begin[n : n + len(pieces)] = self.used + np.cumsum(sizes) - sizes
@@ -83,11 +103,14 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         coded = text.strings(data, starts, ends).dictionary_encode()
         pieces = coded.dictionary.to_pylist()
-        if len(self.known) > KEEP:
-            self.forget()
+        if len(self.known) > self.keep:
+            self.purge()
+        before = len(self.known)
         if new := [p for p in pieces if p not in self.known]:
             self.learn(new)
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[coded.indices.to_numpy(zero_copy_only=False)]
+        number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        self.again[number[number < before]] = True
+        at = number[coded.indices.to_numpy(zero_copy_only=False)]
         each = self.size[at]
         upto = np.concatenate([[0], np.cumsum(each)])
         take = np.repeat(self.begin[at] - upto[:-1], each) + np.arange(upto[-1])

@@ -41,6 +41,21 @@ def test_piecewise_ids_equal_the_tokenizer(texts):
     assert [ids[s:e].tolist() for s, e in zip(first[:-1], first[1:])] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_pieces_met_again_are_kept():
+    r = random.Random(3)
+    enc = tokens.Encoder(tokens.default_vocabulary())
+    enc.keep = 300
+    common = fixture.vocabulary(60)
+    for _ in range(12):
+        texts = [" ".join(r.choice(common) if r.random() < 0.5 else f"{r.random():.9f}q" for _ in range(80)) for _ in range(3)]
+        ids, first = enc.ids(pa.array(texts))
+        assert [ids[s:e].tolist() for s, e in zip(first[:-1], first[1:])] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(enc.known) < 800 and sum(w in enc.known for w in common) > 40
+    enc.again[: len(enc.known)] = True
+    enc.purge()
+    assert not enc.known  # most were met again: all go
+
+
 def test_special_token_text_is_encoded_whole():
     enc = tokens.encoder(tokens.default_vocabulary())
     texts = ["a <|endoftext|> b", "plain, text"]
