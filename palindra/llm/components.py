@@ -20,7 +20,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         # large star: every larger neighbour is tied to the smallest of a node and its neighbours
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # there are never more of these than edges, so repeated ones may stay until the end of the round
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # small star: smaller neighbours and the node itself are tied to the smallest of them
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         tied = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -105,17 +105,13 @@ def alike(common: np.ndarray, a: np.ndarray, b: np.ndarray, least: tuple[int, in
 def verified(pairs_: DataFrame, sets: DataFrame, key: list[str], least: tuple[int, int]) -> DataFrame:
     """The rows of ``pairs_`` (a_*, b_*) whose sets (key columns, hashes binary, ascending) are similar.
 
-    A set that many pairs name is dealt to many tasks, on either side.
+    A set that many pairs name as b, as all rows of a star do, is dealt to many tasks; a list names a row as a at most once a row.
     """
-    total = pairs_.count()
-
-    def with_sets(rows: DataFrame, s: str) -> DataFrame:
-        names = [f"{s}_{k}" for k in key]
-        side = sets.select(*(F.col(k).alias(n) for k, n in zip(key, names)), F.col("hashes").alias(f"{s}_hashes"))
-        return spread_join(rows, side, names, heavy_keys(pairs_.groupBy(*names).agg(F.count("*").alias("n")), names, total))
-
+    side = lambda s: sets.select(*(F.col(k).alias(f"{s}_{k}") for k in key), F.col("hashes").alias(f"{s}_hashes"))
+    b = [f"b_{k}" for k in key]
+    heavy = heavy_keys(pairs_.groupBy(*b).agg(F.count("*").alias("n")), b, pairs_.count())
     names = pairs_.columns
-    both = with_sets(with_sets(pairs_, "a"), "b")
+    both = spread_join(pairs_.join(side("a"), [f"a_{k}" for k in key]), side("b"), b, heavy)
 
     def check(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
