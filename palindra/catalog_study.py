@@ -234,7 +234,7 @@ def joined_sequence(spark, sf_dir):
 @query("SELECT p_partkey, replace(replace(translate(regexp_replace(upper(p_name), '[^A-Z]', '', 'g'), 'I', 'L'), 'J', 'M(+15.99)'), 'C', 'C(+57.02)') AS plain FROM part")
 def tool_letters(spark, sf_dir):
     seq = F.regexp_replace(F.upper("p_name"), "[^A-Z]", "")
-    return table(spark, sf_dir, "part").select("p_partkey", S.tool_letters(seq, "pnovom").alias("plain"))
+    return table(spark, sf_dir, "part").select("p_partkey", S.tool_letters(seq, "large_j").alias("plain"))
 
 
 @query("SELECT p_partkey, split_part(p_name, ' ', 2) AS second, split_part(p_name, ' ', -1) AS last, length(p_name) - length(replace(p_name, 'e', '')) AS n_e FROM part WHERE contains(p_name, ' ')")
@@ -334,3 +334,34 @@ def residue_depth(spark, sf_dir):
 def mirror_counts(spark, sf_dir):
     """Restored sequences of every protein, of it alone and of several, and those mapped by their two forms."""
     return study.mirror_counts(study.whole_or_parts(_restored(spark, sf_dir), proteins(spark, sf_dir))).drop("n_places")
+
+
+_ATOM_SUMS = ", ".join(f"{base} + " + " + ".join(f"{v[k]} * (length(seq) - length(replace(seq, '{a}', '')))" for a, v in chemistry.ATOMS.items() if v[k]) + f" AS n{k}" for k, base in enumerate((0, 2, 0, 1, 0)))
+_FORMULA = " || ".join(f"CASE WHEN n{k} > 0 THEN '{e}(' || n{k} || ')' ELSE '' END" for k, e in enumerate(chemistry.ELEMENTS))
+
+
+@query(f"WITH s AS (SELECT p_partkey, translate(regexp_replace(upper(p_name || p_type), '[^A-Z]', '', 'g'), 'I', 'L') AS seq FROM part), n AS (SELECT p_partkey, seq, {_ATOM_SUMS} FROM s) SELECT p_partkey, CASE WHEN regexp_matches(seq, '[BJOUXZ]') THEN NULL ELSE {_FORMULA} END AS formula FROM n")
+def peptide_formula(spark, sf_dir):
+    """Element counts of part names and kinds read as residues; null where a letter is none."""
+    seq = F.regexp_replace(F.upper(F.concat("p_name", "p_type")), "[^A-Z]", "")
+    return table(spark, sf_dir, "part").select("p_partkey", S.formula(S.atoms(seq)).alias("formula"))
+
+
+@query("SELECT l_orderkey AS title, l_partkey AS sequence, l_tax AS q FROM lineitem WHERE l_tax <= 0.01 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_tax, l_partkey) = 1")
+def best_matches(spark, sf_dir):
+    """The best search result of every title under a q-value of one hundredth."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("title"), F.col("l_partkey").alias("sequence"), F.col("l_tax").alias("q"))
+    return study.best_matches(rows)
+
+
+@query(
+    "WITH r AS (SELECT DISTINCT l_partkey AS sequence, l_orderkey AS title FROM lineitem), c AS (SELECT o_orderkey AS title, CAST(o_custkey % 10 + 1 AS INTEGER) AS class FROM orders WHERE o_custkey % 3 > 0) "
+    "SELECT coalesce(class, 0) AS class, count(DISTINCT sequence) AS n_peptides, count(*) AS n_titles FROM r LEFT JOIN c ON c.title = r.title GROUP BY 1"
+)
+def class_histogram(spark, sf_dir):
+    """Peptides and titles by the class of their titles."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("sequence"), F.col("l_orderkey").cast("string").alias("title")).distinct()
+    peptides_ = rows.groupBy("sequence").agg(F.array_join(F.collect_list("title"), ",").alias("titles"))
+    classes = table(spark, sf_dir, "orders").where("o_custkey % 3 > 0").select(F.col("o_orderkey").alias("title"), (F.col("o_custkey") % 10 + 1).cast("int").alias("class"))
+    return study.class_histogram(peptides_, classes)
+

@@ -18,6 +18,10 @@ K, R = 128.09496, 156.10111
 #: Residues; isoleucine is read as leucine everywhere.
 RESIDUES = {"A": 71.037114, "C": 103.009185, "D": 115.026943, "E": 129.042593, "F": 147.068414, "G": 57.021464, "H": 137.058912, "K": K, "L": 113.084064, "M": 131.040485, "N": 114.042927, "P": 97.052764, "Q": 128.058578, "R": R, "S": 87.032028, "T": 101.047679, "V": 99.068414, "W": 186.079313, "Y": 163.063329}
 
+#: Elements of residues and how many atoms of each a residue has.
+ELEMENTS = ("C", "H", "N", "O", "S")
+ATOMS = {"A": (3, 5, 1, 1, 0), "C": (3, 5, 1, 1, 1), "D": (4, 5, 1, 3, 0), "E": (5, 7, 1, 3, 0), "F": (9, 9, 1, 1, 0), "G": (2, 3, 1, 1, 0), "H": (6, 7, 3, 1, 0), "K": (6, 12, 2, 1, 0), "L": (6, 11, 1, 1, 0), "M": (5, 9, 1, 1, 1), "N": (4, 6, 2, 2, 0), "P": (5, 7, 1, 1, 0), "Q": (5, 8, 2, 2, 0), "R": (6, 12, 4, 1, 0), "S": (3, 5, 1, 2, 0), "T": (4, 7, 1, 2, 0), "V": (5, 9, 1, 1, 0), "W": (11, 10, 2, 1, 0), "Y": (9, 9, 1, 2, 0)}
+
 
 @dataclass(frozen=True)
 class MirrorType:

@@ -21,6 +21,13 @@ class Config:
     peaks_per_bin: int = 7
     bin_width: float = 100.0
     deisotope: bool = True
+    most_charge: int = 3
+    remove_precursor: bool = True
+    anchor_peaks: bool = True
+    remove_immonium: bool = True
+    labelled: bool = False
+    doublet_gap: float = 0.036
+    doublet_ratio: float = 2.0
     decoy_mode: int = 2
     p_threshold: float = 0.05
     fdr_threshold: float = 0.02
@@ -34,7 +41,7 @@ class Config:
             raise ValueError("decoy_mode is 0, 1, 2 or 3")
         if not self.fragment_ppm:
             raise ValueError("fragment tolerances are in ppm")
-        for name in ("precursor_tolerance", "fragment_tolerance", "keep_peaks", "final_peaks", "peaks_per_bin", "bin_width", "report_limit"):
+        for name in ("most_charge", "doublet_gap", "doublet_ratio", "precursor_tolerance", "fragment_tolerance", "keep_peaks", "final_peaks", "peaks_per_bin", "bin_width", "report_limit"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive")
 

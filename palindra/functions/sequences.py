@@ -59,10 +59,10 @@ def joined(a_form: Column, b_form: Column) -> Column:
 
 
 def tool_letters(seq: Column, tool: str) -> Column:
-    """Other tools' letters for modified residues in the bracket form: 'pnovo' writes a, 'pnovom' J for oxidised methionine."""
-    oxidised = {"pnovo": "a", "pnovom": "J"}[tool]
+    """Other tools' letters for modified residues in the bracket form: 'small_a' writes a, 'large_j' J for oxidised methionine."""
+    oxidised = {"small_a": "a", "large_j": "J"}[tool]
     out = F.regexp_replace(F.regexp_replace(seq, oxidised, "M(+15.99)"), "C", "C(+57.02)")
-    return leucine(out) if tool == "pnovom" else F.regexp_replace(out, "^0(.)", "B(+42.01)$1")
+    return leucine(out) if tool == "large_j" else F.regexp_replace(out, "^0(.)", "B(+42.01)$1")
 
 
 def place_text(protein: Column, start: Column, end: Column) -> Column:
@@ -105,3 +105,34 @@ def base_name(path: Column) -> Column:
 def half_up(x: Column) -> Column:
     """Halves away from zero, as an integer."""
     return (F.floor(F.abs(x) + 0.5) * F.signum(x)).cast("long")
+
+
+def atoms(seq: Column, mods: Column | None = None, known: dict[str, dict[str, int]] | None = None) -> Column:
+    """Counts of C, H, N, O and S of a peptide with water, as an array; null where a letter is no residue or a modification is unknown.
+
+    ``mods`` are 'pos,name;' pairs, ``known`` the atoms that a modification adds, by name; elements other than the five are left out.
+    """
+    counts = lambda values: F.array(*(F.lit(int(v)) for v in values))
+    table = F.create_map(*(x for a, v in chemistry.ATOMS.items() for x in (F.lit(a), counts(v))))
+    add = lambda acc, more: F.zip_with(acc, more, lambda x, y: x + y)
+    letters = F.filter(F.split(leucine(seq), ""), lambda c: c != "")
+    out = F.aggregate(letters, counts((0, 2, 0, 1, 0)), lambda acc, c: add(acc, F.try_element_at(table, c)))
+    if mods is not None:
+        entries = [x for name, c in (known or {}).items() for x in (F.lit(name), counts(c.get(e, 0) for e in chemistry.ELEMENTS))]
+        by_name = F.create_map(*entries) if entries else F.create_map().cast("map<string,array<int>>")
+        names = F.transform(F.filter(F.split(F.coalesce(mods, F.lit("")), ";"), lambda m: m != ""), lambda m: F.substring_index(m, ",", -1))
+        out = F.aggregate(names, out, lambda acc, n: add(acc, F.try_element_at(by_name, n)))
+    return F.when(~F.exists(out, lambda n: n.isNull()), out)
+
+
+def formula(counts: Column) -> Column:
+    """Atom counts as 'C(2)H(3)...', elements without atoms left out."""
+    named = F.arrays_zip(F.array(*map(F.lit, chemistry.ELEMENTS)).alias("e"), counts.alias("n"))
+    return F.array_join(F.transform(F.filter(named, lambda x: x["n"] != 0), lambda x: F.concat(x["e"], F.lit("("), x["n"].cast("string"), F.lit(")"))), "")
+
+
+def modified_mass(seq: Column) -> Column:
+    """MH+ of a sequence with bracketed mass shifts, M(+15.99); null where a letter is no residue or a bracket holds no number."""
+    shifts = F.regexp_extract_all(seq, F.lit(r"\(([^)]*)\)"), F.lit(1))
+    return mass(F.regexp_replace(seq, r"\([^)]*\)", "")) + F.aggregate(shifts, F.lit(0.0), lambda acc, x: acc + x.try_cast("double"))
+

@@ -81,6 +81,14 @@ def merge_close(mz: np.ndarray, inten: np.ndarray, tolerance: float = 20.0, ppm:
     return np.where(total > 0, np.bincount(group, inten * mz) / safe, mz[np.searchsorted(group, np.arange(len(total)))]), total
 
 
+def strongest(mz: np.ndarray, inten: np.ndarray, *more: np.ndarray, most: int | None) -> tuple[np.ndarray, ...]:
+    """The ``most`` strongest peaks in their order, all if None; of equally intense ones that of the smaller m/z goes first."""
+    if most is None or len(mz) <= most:
+        return mz, inten, *more
+    kept = np.sort(np.lexsort((mz, inten))[-most:])
+    return tuple(x[kept] for x in (mz, inten, *more))
+
+
 def collapse_losses(mz: np.ndarray, inten: np.ndarray, tolerance: float = 20.0, ppm: bool = True, share: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
     """From high m/z down, peaks at a loss of ammonia or water join their parent if stronger than ``share`` of it."""
     kept, height = np.ones(len(mz), bool), inten.astype(float).copy()
@@ -108,7 +116,7 @@ def cluster_labels(mz: np.ndarray, inten: np.ndarray, most_charge: int, toleranc
     return number, charge
 
 
-def labelled_singles(mz: np.ndarray, inten: np.ndarray, label: np.ndarray, most_charge: int, tolerance: float = 20.0, ppm: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def labelled_singles(mz: np.ndarray, inten: np.ndarray, label: np.ndarray, most_charge: int, tolerance: float = 20.0, ppm: bool = True, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(m/z, intensity, label) of charge one of doublets' light peaks: see ``operators.doublets.deisotoped``."""
     order = np.lexsort((inten, mz))
     mz, inten, label = mz[order], inten[order], label[order]
@@ -130,7 +138,7 @@ def labelled_singles(mz: np.ndarray, inten: np.ndarray, label: np.ndarray, most_
             g[1], g[2], g[3] = total, max(g[2], lab), m
         else:
             groups.append([m, h, lab, m])
-    mz, inten, label = (np.array([g[k] for g in groups], float) for k in range(3))
+    mz, inten, label = strongest(*(np.array([g[k] for g in groups], float) for k in range(3)), most=most)
     kept = np.zeros(len(mz), bool)
     for lab in (0, 1):
         # a loss joins a parent of the same label

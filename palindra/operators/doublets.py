@@ -110,12 +110,12 @@ def labelled(spectra: DataFrame, most_charge: int = 3, tolerance: float = 20.0)
     return spectra.mapInArrow(run, T.StructType([*spectra.schema.fields, T.StructField("labels", _LABELS)]))
 
 
-def deisotoped(spectra: DataFrame, most_charge: int = 3, tolerance: float = 20.0, most: int = 350) -> DataFrame:
+def deisotoped(spectra: DataFrame, most_charge: int = 3, tolerance: float = 20.0, most: int = 350, left: int | None = None) -> DataFrame:
     """``spectra`` with peaks (mz, inten, label) of merged doublets as peaks of charge one, with label 0 or 1.
 
     The ``most`` strongest peaks are clustered. A cluster becomes its first peak, labelled if any member is, and twice as high then. A
     single peak of label c stands for any charge up to c and becomes c labelled peaks, twice as high. Close peaks merge under the larger
-    label, and losses join a parent of the same label. Null peaks give an empty list.
+    label, of which the ``left`` strongest stay if given, and losses join a parent of the same label. Null peaks give an empty list.
     """
     at = spectra.columns.index("peaks")
     peak = T.StructType([T.StructField("mz", T.DoubleType()), T.StructField("inten", T.DoubleType()), T.StructField("label", T.IntegerType())])
@@ -127,7 +127,7 @@ def deisotoped(spectra: DataFrame, most_charge: int = 3, tolerance: float = 20.0
             flat, sizes = peaks.flatten(), peaks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             mz, inten, label = (flat.field(n).to_numpy(zero_copy_only=False).astype(float) for n in ("mz", "inten", "label"))
             ends = np.cumsum(sizes)
-            found = [peaklists.labelled_singles(mz[e - n : e], inten[e - n : e], label[e - n : e].astype(int), most_charge, tolerance) for e, n in zip(ends, sizes)]
+            found = [peaklists.labelled_singles(mz[e - n : e], inten[e - n : e], label[e - n : e].astype(int), most_charge, tolerance, most=left) for e, n in zip(ends, sizes)]
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32))
             columns = [np.concatenate([np.zeros(0), *(f[k] for f in found)]) for k in range(3)]
             lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32))], names=["mz", "inten", "label"]))

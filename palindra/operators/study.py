@@ -177,3 +177,28 @@ def site_evidence(rows: DataFrame, key: str, ppm: float = 20.0) -> DataFrame:
     hit = ions.bound(best, lambda b: F.when(b["d"] <= at * ppm * 1e-6, b["inten"]))
     each = found.select(key, F.col("target.site").alias("site"), hit.alias("hit"))
     return each.groupBy(key, "site").agg(F.max(F.col("hit").isNotNull().cast("int")).alias("tag"), F.sum(F.coalesce("hit", F.lit(0.0))).alias("inten"))
+
+
+def best_matches(rows: DataFrame, most: float = 0.01) -> DataFrame:
+    """Of the search results (title, sequence, q, ...) with a q-value of at most ``most`` the best of every title, ties by sequence."""
+    return merging.best(rows.where(F.col("q") <= most), ["title"], [F.col("q"), F.col("sequence")])
+
+
+def class_histogram(peptides: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, n_peptides, n_titles): peptides (sequence, titles, comma-joined) by the classes (title, class) of their titles.
+
+    A peptide counts once in every class that one of its titles has; titles without a class count as class 0.
+    """
+    rows = peptides.select("sequence", F.explode(F.split("titles", ",")).alias("title"))
+    named = rows.join(classes.select(F.col("title").cast("string").alias("title"), "class"), "title", "left")
+    return named.groupBy(F.coalesce("class", F.lit(0)).alias("class")).agg(F.count_distinct("sequence").alias("n_peptides"), F.count("*").alias("n_titles"))
+
+
+def confident(cover: DataFrame, least_mass: float, masses: DataFrame) -> DataFrame:
+    """The locations (sequence, protein_id, ...) of peptides whose mass is at least ``least_mass`` and whose evidence is full.
+
+    ``masses`` is (sequence, mass, evident), one row a sequence.
+    """
+    kept = masses.where((F.col("mass") >= least_mass) & F.col("evident")).select("sequence")
+    return cover.join(kept, "sequence", "left_semi")
+

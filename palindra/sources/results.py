@@ -94,32 +94,30 @@ def mztab(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return found.select("file", "title", rank.alias("rank"), "sequence", "score")
 
 
-#: Separator, title column (from the end if negative), sequence column and what becomes of the sequence, by tool.
-_TABLES = {
-    "peaks": (",", -1, 2, lambda s: s),
-    "graphnovo": (",", -1, 2, lambda s: s),
-    "primenovo": ("\t", 0, 1, lambda s: F.replace(F.replace(s, F.lit("C[+57.021]"), F.lit("C(+57.02)")), F.lit("M[+15.995]"), F.lit("M(+15.99)"))),
-    "pointnovo": ("\t", 0, 2, lambda s: F.replace(F.replace(F.replace(s, F.lit(","), F.lit("")), F.lit("M(Oxidation)"), F.lit("M(+15.99)")), F.lit("C(Carbamidomethylation)"), F.lit("C(+57.02)"))),
+#: Separator, title column (from the end if negative), sequence column and what becomes of the sequence, by layout of a table.
+_LAYOUTS = {
+    "title_last": (",", -1, 2, lambda s: s),
+    "square_brackets": ("\t", 0, 1, lambda s: F.replace(F.replace(s, F.lit("C[+57.021]"), F.lit("C(+57.02)")), F.lit("M[+15.995]"), F.lit("M(+15.99)"))),
+    "named_brackets": ("\t", 0, 2, lambda s: F.replace(F.replace(F.replace(s, F.lit(","), F.lit("")), F.lit("M(Oxidation)"), F.lit("M(+15.99)")), F.lit("C(Carbamidomethylation)"), F.lit("C(+57.02)"))),
 }
 
 
-def tool_table(spark: SparkSession, paths: str | list[str], tool: str) -> DataFrame:
-    """(title, sequence) of a tool's table with one line a spectrum: 'peaks', 'graphnovo', 'primenovo' or 'pointnovo'.
+def tool_table(spark: SparkSession, paths: str | list[str], layout: str) -> DataFrame:
+    """(title, sequence) of a tool's table with one line a spectrum.
 
-    The line of column names is known by its sequence, which holds letters that no residue has, and is left out; a sequence with an
-    unknown modification is null. A title that occurs twice keeps both rows.
+    Layouts: 'title_last' is comma-separated with bracketed shifts, 'square_brackets' tab-separated with shifts in square brackets,
+    'named_brackets' tab-separated with residues parted by commas and modifications by name. The line of column names is known by what stands for
+    its sequence and is left out; a sequence with an unknown modification is null. A title that occurs twice keeps both rows.
     """
-    separator, title, sequence, plain = _TABLES[tool]
+    separator, title, sequence, plain = _LAYOUTS[layout]
     cells = F.split(F.regexp_replace("value", "\r$", ""), separator)
-    if tool == "pointnovo":  # residues are separated by commas, columns by tabs
-        cells = F.split(F.regexp_replace("value", "\r$", ""), "\t")
     at = F.get(cells, F.lit(title)) if title >= 0 else F.element_at(cells, title)
     raw = F.get(cells, F.lit(sequence))
-    rows = spark.read.text(paths).where(F.size(cells) > max(title, sequence)).where(~raw.rlike("(?i)^(sequence|peptide|prediction|denovo|predicted_sequence|output_seq|target_seq|predicted)"))
+    rows = spark.read.text(paths).where(F.size(cells) > max(title, sequence)).where(~raw.rlike("(?i)^(sequence|peptide|prediction|denovo|predicted|output_seq|target_seq)"))
     return rows.select(F.trim(at).alias("title"), _known(F.translate(plain(raw), "I", "L")).alias("sequence"))
 
 
-def blocks(spark: SparkSession, paths: str | list[str], tool: str = "pnovo") -> DataFrame:
+def blocks(spark: SparkSession, paths: str | list[str], tool: str = "small_a") -> DataFrame:
     """(title, rank, sequence, score) of text with a line 'S<n> title' a spectrum and lines 'P<n> sequence score' below, in the tool's letters."""
     rows = under_headers(spark, paths, r"S\d*\s", r"P\d*\s")
     head, cells = F.split("header", r"\s+"), F.split("line", r"\s+")

@@ -176,11 +176,11 @@ def test_other_tools_results(spark, tmp_path):
     got = {(x.title, x["rank"]): (x.sequence, x.score) for x in results.mztab(spark, str(tmp_path / "c.mztab")).collect()}
     assert got == {("ms_run[1]:index=7", 1): ("AAK", 0.75), ("ms_run[1]:index=7", 2): ("PEC(+57.02)LM(+15.99)K", 0.5), ("ms_run[1]:index=8", 1): (None, None)}
     (tmp_path / "p.csv").write_text("scan,score,sequence,title\n1,0.5,AIC(+57.02)K,t1\n2,0.5,AM(+3.1)K,t2\n")
-    assert {tuple(x) for x in results.tool_table(spark, str(tmp_path / "p.csv"), "peaks").collect()} == {("t1", "ALC(+57.02)K"), ("t2", None)}
+    assert {tuple(x) for x in results.tool_table(spark, str(tmp_path / "p.csv"), "title_last").collect()} == {("t1", "ALC(+57.02)K"), ("t2", None)}
     (tmp_path / "q.tsv").write_text("title\tprediction\nt1\tIC[+57.021]M[+15.995]\nt2\tA[+1]K\n")
-    assert {tuple(x) for x in results.tool_table(spark, str(tmp_path / "q.tsv"), "primenovo").collect()} == {("t1", "LC(+57.02)M(+15.99)"), ("t2", None)}
+    assert {tuple(x) for x in results.tool_table(spark, str(tmp_path / "q.tsv"), "square_brackets").collect()} == {("t1", "LC(+57.02)M(+15.99)"), ("t2", None)}
     (tmp_path / "r.tsv").write_text("feature\tx\toutput_seq\nt1\t0\tA,I,M(Oxidation)\nt2\t0\tN(Deamidation),K\n")
-    assert {tuple(x) for x in results.tool_table(spark, str(tmp_path / "r.tsv"), "pointnovo").collect()} == {("t1", "ALM(+15.99)"), ("t2", None)}
+    assert {tuple(x) for x in results.tool_table(spark, str(tmp_path / "r.tsv"), "named_brackets").collect()} == {("t1", "ALM(+15.99)"), ("t2", None)}
     (tmp_path / "s.txt").write_text("S1\tt1\nP1\tAaCK\t0.9\nP2\tAAK\t0.1\n\nS2\tt2\n\n")
     assert {(x.title, x["rank"], x.sequence, x.score) for x in results.blocks(spark, str(tmp_path / "s.txt")).collect()} == {("t1", 1, "AM(+15.99)C(+57.02)K", 0.9), ("t1", 2, "AAK", 0.1)}
     (tmp_path / "v.tsv").write_text("Protein\tCoverage_AA_num\tTotal_AA_num\tCoverage_rate\np1\t5\t10\t0.5\nmean\t-\t-\t0.5\n")
