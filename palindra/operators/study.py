@@ -47,9 +47,11 @@ def confirmed_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def residue_accuracy(rows: DataFrame) -> DataFrame:
-    """One row of (target, found): residues matched, residue recall and precision, and sequences wholly matched."""
-    per = rows.select(ions.residue_matches(F.col("target"), F.col("found")).alias("m"), F.length("target").alias("t"), F.length("found").alias("f"))
-    out = per.agg(F.sum("m").alias("n_match"), F.sum("t").alias("n_target"), F.sum("f").alias("n_found"), F.sum(((F.col("m") == F.col("t")) & (F.col("m") == F.col("f"))).cast("long")).alias("n_whole"))
+    """One row of (target, found): residues matched, residue recall and precision, and sequences wholly matched; equal rows are compared once."""
+    n = F.col("n")
+    each = rows.groupBy("target", "found").agg(F.count("*").alias("n"))
+    per = each.select("n", ions.residue_matches(F.col("target"), F.col("found")).alias("m"), F.length("target").alias("t"), F.length("found").alias("f"))
+    out = per.agg(F.sum(n * F.col("m")).alias("n_match"), F.sum(n * F.col("t")).alias("n_target"), F.sum(n * F.col("f")).alias("n_found"), F.sum(F.when((F.col("m") == F.col("t")) & (F.col("m") == F.col("f")), n).otherwise(0)).alias("n_whole"))
     return out.select("*", F.round(F.col("n_match") / F.col("n_target"), 6).alias("recall"), F.round(F.col("n_match") / F.col("n_found"), 6).alias("precision"))
 
 
