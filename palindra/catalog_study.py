@@ -78,7 +78,7 @@ def site_evidence(spark, sf_dir):
     rows = part(spark, sf_dir).select("p_partkey", "seq", (2 + F.col("p_partkey") % 2).alias("charge"))
     last = table(spark, sf_dir, "lineitem").agg(F.max("l_suppkey").alias("c"))  # one row
     rows = rows.crossJoin(F.broadcast(last)).withColumn("spectrum", F.col("p_partkey") % F.col("c") + 1)
-    found = study.site_evidence(rows.join(spectra(spark, sf_dir).select("spectrum", "peaks"), "spectrum"), "p_partkey", 200.0)
+    found = study.site_evidence(rows, "p_partkey", 200.0, spectra(spark, sf_dir).select("spectrum", "peaks"))
     return found.select("p_partkey", "site", "tag", F.round("inten", 4).alias("inten"))
 
 

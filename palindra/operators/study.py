@@ -161,23 +161,31 @@ def mirror_counts(found: DataFrame) -> DataFrame:
     return mapping.counts(found).join(split, "protein_id", "left").withColumn("n_split", F.coalesce("n_split", F.lit(0)))
 
 
-def site_evidence(rows: DataFrame, key: str, ppm: float = 20.0) -> DataFrame:
+def site_evidence(rows: DataFrame, key: str, ppm: float = 20.0, spectra: DataFrame | None = None, spectrum: str = "spectrum") -> DataFrame:
     """(key, site, tag, inten) of peptides (key, seq, charge, peaks of mz and inten): what :func:`palindra.functions.ions.evidence` finds.
 
     Ions and peaks are sorted by the logarithm of m/z, where a tolerance in ppm is a band of one width, so no ion looks at all peaks.
     ``key`` names a peptide with its spectrum; sequences of one residue, or without known residues, have no sites, null peaks none.
+    With ``spectra`` (spectrum, peaks), one row a spectrum, peptides name theirs in the column ``spectrum``, and its peaks are laid out
+    once for all of them; peptides of other spectra have no sites.
     """
     share = ppm * 1e-6
-    target, peak = "struct<site:int,ion:double>", "struct<d:double,mz:double,inten:double>"
-    ion = lambda x, c: F.struct(F.ln(c).alias("at"), F.struct(x["site"].cast("int").alias("site"), c.alias("ion")).alias("target"), F.lit(None).cast(peak).alias("peak"))
+    group = [spectrum] if spectra is not None else [key]
+    kind = rows.schema[key].dataType.simpleString()
+    target, peak = f"struct<key:{kind},site:int,ion:double>", "struct<d:double,mz:double,inten:double>"
+    ion = lambda x, c: F.struct(F.ln(c).alias("at"), F.struct(F.col(key).alias("key"), x["site"].cast("int").alias("site"), c.alias("ion")).alias("target"), F.lit(None).cast(peak).alias("peak"))
     asked = F.flatten(F.transform(ions.ladder(F.col("seq")), lambda x: F.filter(F.array(*(ion(x, x[c]) for c in ("b", "y")), *(ion(x, F.when(F.col("charge") > 2, x[c])) for c in ("b2", "y2"))), lambda v: v["at"].isNotNull())))
     own = F.transform("peaks", lambda p: F.struct(F.ln(p.mz.cast("double")).alias("at"), F.lit(None).cast(target).alias("target"), F.struct(F.lit(0.0).alias("d"), p.mz.cast("double").alias("mz"), p.inten.cast("double").alias("inten")).alias("peak")))
-    flat = rows.select(key, F.explode(F.concat(asked, F.coalesce(own, F.array().cast(f"array<struct<at:double,target:{target},peak:{peak}>>")))).alias("x")).select(key, "x.*")
-    found = bands.near(flat, [key], -math.log1p(-share) + 1e-12)
+    listed = lambda t, x: t.select(*group, F.explode(x).alias("x")).select(*group, "x.*")
+    if spectra is None:
+        flat = listed(rows, F.concat(asked, F.coalesce(own, F.array().cast(f"array<struct<at:double,target:{target},peak:{peak}>>"))))
+    else:
+        flat = listed(rows.join(spectra.select(spectrum), spectrum, "left_semi"), asked).union(listed(spectra, own))
+    found = bands.near(flat, group, -math.log1p(-share) + 1e-12)
     at = F.col("target.ion")
     best = F.array_min(F.transform("near", lambda p: F.struct(F.abs(p.mz - at).alias("d"), p.inten.alias("inten"))))
     hit = ions.bound(best, lambda b: F.when(b["d"] <= at * ppm * 1e-6, b["inten"]))
-    each = found.select(key, F.col("target.site").alias("site"), hit.alias("hit"))
+    each = found.select(F.col("target.key").alias(key), F.col("target.site").alias("site"), hit.alias("hit"))
     return each.groupBy(key, "site").agg(F.max(F.col("hit").isNotNull().cast("int")).alias("tag"), F.sum(F.coalesce("hit", F.lit(0.0))).alias("inten"))
 
 
