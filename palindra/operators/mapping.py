@@ -17,6 +17,8 @@ SEED = 8
 AHEAD = 32
 #: Marks of the seeds of one length, and the multiplier that spreads them.
 SLOTS, _STEP = 1 << 20, 40503
+#: Letters A to Z of the longest peptides that have a mark each, so that a marked place needs no other look; 26^4 is below ``SLOTS``.
+EXACT = 4
 #: Letters of proteins that are looked at together.
 _LETTERS = 1 << 20
 
@@ -32,7 +34,16 @@ def marks(wanted: DataFrame) -> tuple[dict[int, np.ndarray], int]:
 
     Spark sets the bits, so one map of ``SLOTS`` bits a length of seed comes to the driver, however many seeds there are.
     """
-    slot = _slot(F.col("seed")) + 1
+    return _bits(wanted, _slot(F.col("seed")))
+
+
+def _code(short: Column) -> Column:
+    """The mark of up to ``EXACT`` letters A to Z, which no others of that length have."""
+    return F.aggregate(F.sequence(F.lit(1), F.length(short)), F.lit(0).cast("long"), lambda acc, at: acc * 26 + F.ascii(F.substr(short, at, F.lit(1))) - ord("A"))
+
+
+def _bits(wanted: DataFrame, mark: Column) -> tuple[dict[int, np.ndarray], int]:
+    slot = mark + 1
     rows = wanted.select(F.length("seed").alias("size"), F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"), F.length("sequence").alias("most"))
     found = rows.groupBy("size", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"), F.max("most").alias("most")).collect()
     out: dict[int, np.ndarray] = {}
@@ -42,6 +53,57 @@ def marks(wanted: DataFrame) -> tuple[dict[int, np.ndarray], int]:
     return out, max((r.most for r in found), default=0)
 
 
+def _blocks(batches) -> Iterator[tuple[pa.Array, list[str]]]:
+    """(ids, texts) of proteins that are looked at together."""
+    for b in batches:
+        texts = b.column("seq").to_pylist()
+        low = 0
+        while low < len(texts):
+            high, letters = low, 0
+            while high < len(texts) and (high == low or letters + len(texts[high]) <= _LETTERS):
+                letters += len(texts[high])
+                high += 1
+            yield b.column("protein_id").slice(low, high - low), texts[low:high]
+            low = high
+
+
+def marked_places(proteins: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
+    """(sequence, protein_id, start, end) of the places of short peptides that have a mark each (:func:`_code`): a scan without a shuffle."""
+    shared = proteins.sparkSession.sparkContext.broadcast(wanted)  # a fixed number of bits
+
+    def found(ids: pa.Array, texts: list[str]) -> Iterator[pa.RecordBatch]:
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64) - ord("A")
+        known = (codes >= 0) & (codes < 26)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(sizes)
+        for size, marked in shared.value.items():
+            n = len(codes) - size + 1
+            if n <= 0:
+                continue
+            code, good = np.zeros(n, np.int64), np.ones(n, bool)
+            for j in range(size):
+                code = code * 26 + codes[j : j + n]
+                good &= known[j : j + n]
+            at = np.flatnonzero(good)
+            at = at[marked[code[at]]]
+            owner = np.searchsorted(ends, at, "right")
+            inside = at + size <= ends[owner]
+            at, owner = at[inside], owner[inside]
+            each, which = np.unique(code[at], return_inverse=True)
+            names = pa.array(["".join(chr(ord("A") + int(c) // 26**j % 26) for j in range(size - 1, -1, -1)) for c in each], pa.string())
+            start = (at - (ends - sizes)[owner]).astype(np.int32)
+            for low in range(0, len(at), 1 << 16):
+                part = slice(low, low + (1 << 16))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(which[part])), ids.take(pa.array(owner[part])), pa.array(start[part]), pa.array(start[part] + np.int32(size))], names=["sequence", "protein_id", "start", "end"])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _blocks(batches):
+            yield from found(ids, texts)
+
+    kind = proteins.schema["protein_id"].dataType.simpleString()
+    return proteins.select("protein_id", "seq").where("seq <> ''").mapInArrow(run, f"sequence string, protein_id {kind}, start int, end int")
+
+
 def seeded(proteins: DataFrame, wanted: dict[int, np.ndarray], ahead: int, k: int = SEED) -> DataFrame:
     """(protein_id, pos, seed, ahead) of the places, from 0, whose first letters bear a wanted mark: one scan, only hits come out.
 
@@ -71,16 +133,8 @@ def seeded(proteins: DataFrame, wanted: dict[int, np.ndarray], ahead: int, k: in
         return pa.RecordBatch.from_arrays([ids.take(pa.array(owner[at])), pa.array((at - (ends - sizes)[owner[at]]).astype(np.int32)), pa.array(seeds, pa.string()), pa.array(whole, pa.string())], names=["protein_id", "pos", "seed", "ahead"])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("seq").to_pylist()
-            low = 0
-            while low < len(texts):
-                high, letters = low, 0
-                while high < len(texts) and (high == low or letters + len(texts[high]) <= _LETTERS):
-                    letters += len(texts[high])
-                    high += 1
-                yield found(b.column("protein_id").slice(low, high - low), texts[low:high])
-                low = high
+        for ids, texts in _blocks(batches):
+            yield found(ids, texts)
 
     kind = proteins.schema["protein_id"].dataType.simpleString()
     return proteins.select("protein_id", "seq").where("seq <> ''").mapInArrow(run, f"protein_id {kind}, pos int, seed string, ahead string")
@@ -93,9 +147,17 @@ def locate(peptides: DataFrame, proteins: DataFrame, k: int = SEED, salts: int |
     the mark of a wanted seed; only those are shuffled. They meet the peptides of their seed, dealt by seed and place to ``salts`` tasks (by
     default one in sixteen shuffle partitions, 8 at least), so that a common seed is no single task's, and are verified on the letters
     ahead or, beyond ``AHEAD``, on the protein. Equal peptides are searched once; empty ones have no place.
+
+    Peptides of up to ``EXACT`` letters A to Z, which have most places, come out of a scan of their own and are not shuffled.
     """
-    wanted = peptides.select("sequence").where("sequence <> ''").distinct().withColumn("seed", F.substring("sequence", 1, k))
+    asked = peptides.select("sequence").where("sequence <> ''").distinct()
+    short = F.col("sequence").rlike(f"\\A[A-Z]{{1,{EXACT}}}\\z")
+    exact = _bits(asked.where(short).withColumn("seed", F.col("sequence")), _code(F.col("seed")))[0]
+    wanted = asked.where(~short).withColumn("seed", F.substring("sequence", 1, k))
     marked, most = marks(wanted)
+    places = marked_places(proteins, exact)
+    if not marked:
+        return places
     salts = salts or max(8, int(proteins.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
     hits = seeded(proteins, marked, min(most, AHEAD), k)
     salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -107,7 +169,8 @@ def locate(peptides: DataFrame, proteins: DataFrame, k: int = SEED, salts: int |
         checked = found.where(long).join(proteins.select("protein_id", "seq"), "protein_id")
         checked = checked.where(F.substr("seq", F.col("pos") + 1, F.length("sequence")) == F.col("sequence")).select("sequence", "protein_id", "pos")
         found = found.where(~long).union(checked)
-    return found.select("sequence", "protein_id", F.col("pos").alias("start"), (F.col("pos") + F.length("sequence")).alias("end"))
+    found = found.select("sequence", "protein_id", F.col("pos").alias("start"), (F.col("pos") + F.length("sequence")).alias("end"))
+    return places.union(found) if exact else found
 
 
 def with_decoys(proteins: DataFrame) -> DataFrame:
