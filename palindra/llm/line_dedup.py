@@ -142,7 +142,7 @@ def _needed(size: np.ndarray, least: tuple[int, int]) -> np.ndarray:
 
 #: A posting's place packs line << 36 | size << 8 | position, the position kept below 256.
 _SIZE = (1 << 28) - 1
-_POSTING = np.dtype([("token", "<i4"), ("doc", "<i8"), ("place", "<i8"), ("sketch_a", "<u8"), ("sketch_b", "<u8"), ("later", "u1")])
+_POSTING = np.dtype([("token", "<i4"), ("doc", "<i8"), ("place", "<i8"), ("sketch_a", "<u8"), ("sketch_b", "<u8"), ("set", "<u8"), ("later", "u1")])
 #: Postings of a bucket of rare words.
 _BUCKET = 1 << 16
 
@@ -153,7 +153,7 @@ def _postings(docs: DataFrame, classes, least: tuple[int, int], buckets: int, lo
     Of lines with equal sets in one block only the first is posted. A token is 32 bits of a word's
     hash: words that share them only bring more candidates. A word that may have more than
     ``longest`` postings has a key of its own. ``only`` (tokens, lines) holds Bloom filters: only those
-    tokens are posted, and those lines are marked as ``later``.
+    tokens are posted, and those lines are marked as ``later``; without it all are.
     """
     rare = int(np.log2(longest + 1.0) * 8)
 
@@ -183,8 +183,8 @@ def _postings(docs: DataFrame, classes, least: tuple[int, int], buckets: int, lo
             rows["place"] = x.number[line] << 36 | np.minimum(x.size[line], _SIZE) << 8 | np.minimum(position[post], 255)
             sketch = x.sketches()
             rows["sketch_a"], rows["sketch_b"] = sketch[line, 0], sketch[line, 1]
-            if only is not None:
-                rows["later"] = bounded.passes(only[1].value, _key(doc, x.number))[line]
+            rows["set"] = (sums[:, 0] ^ text.mix(sums[:, 1]))[line]
+            rows["later"] = bounded.passes(only[1].value, _key(doc, x.number))[line] if only is not None else 1
             key = (token * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             often = classes.value[bounded.count_slots(x.hashes[post])] >= rare
             key[often] = buckets + token[often].astype(np.int64)
@@ -229,20 +229,23 @@ def _lists(batches, buckets: int, longest: int) -> Iterator[tuple[np.ndarray, np
 
 
 _FOUND = ["doc", "line", "f_doc", "f_line", "more"]
-_HOT = ["token", "doc", "place", "sketch_a", "sketch_b", "later"]
+_HOT = ["token", "doc", "place", "sketch_a", "sketch_b", "set", "later"]
 
 
 def _list_candidates(rows: np.ndarray, begins: np.ndarray, least: tuple[int, int], most: int | None, side: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """(doc, line, f_doc, f_line, more) of the candidates f before a row in whole lists, each beginning at one of ``begins``.
 
     Only a row's ``most`` earliest ones in a list are named, the last with the list's token in ``more``
-    if there are others; if it is None, all those of rows marked ``later``. With ``side``, pairs of
-    rows of one side are left out.
+    if there are others; if it is None, all those of rows marked ``later``. Of equal sets in a list only
+    the earliest counts. With ``side``, pairs of rows of one side are left out.
     """
     lists_ = np.zeros(len(rows), np.int64)
     lists_[begins] = 1
     lists_ = np.cumsum(lists_)
-    token, doc, place, sa, sb, later = (np.ascontiguousarray(rows[c]) for c in _HOT)
+    own = np.flatnonzero(_first_of_equal(rows, lists_))
+    rows, lists_ = rows[own], lists_[own]
+    side = None if side is None else side[own]
+    token, doc, place, sa, sb, later = (np.ascontiguousarray(rows[c]) for c in _HOT if c != "set")
     line, n, position = place >> 36, place >> 8 & _SIZE, place & 255
     order = np.argsort(lists_ * (_SIZE + 1) + n)
     lists_, token, doc, line, n, position, sa, sb, later = (x[order] for x in (lists_, token, doc, line, n, position, sa, sb, later > 0))
@@ -295,6 +298,23 @@ def _list_candidates(rows: np.ndarray, begins: np.ndarray, least: tuple[int, int
         yield from named(*held[:, nth < most], more[nth < most])
 
 
+def _first_of_equal(rows: np.ndarray, lists_: np.ndarray) -> np.ndarray:
+    """Whether a row is the earliest of those with its set in its list."""
+    key = text.mix(rows["set"] + text.mix(lists_.view(np.uint64)))
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    first = np.ones(len(order), bool)
+    if not new.all():
+        # only rows whose keys are met again are put in order of their places
+        new_at = np.flatnonzero(new)
+        again = np.repeat(np.diff(np.append(new_at, len(order))) > 1, np.diff(np.append(new_at, len(order))))
+        found = order[again]
+        found = found[np.lexsort((rows["place"][found] >> 36, rows["doc"][found], key[found]))]
+        first[found[1:]] = key[found[1:]] != key[found[:-1]]
+    return first
+
+
 def _earliest(held: np.ndarray, doc: np.ndarray, line: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Of pairs (earlier, later), the ``most`` earliest of each later row, and which of these each is."""
     i, j = held
@@ -310,7 +330,7 @@ def _candidates(postings: DataFrame, least: tuple[int, int], buckets: int, longe
 
     The postings of a word that has more than ``longest`` are written and dealt out in pairs of blocks.
     """
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    kinds = [pa.int32(), *[pa.int64()] * 5, pa.bool_()]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for rows, begins, long in _lists(batches, buckets, longest):
@@ -322,7 +342,7 @@ def _candidates(postings: DataFrame, least: tuple[int, int], buckets: int, longe
                 yield pa.RecordBatch.from_arrays([*found.columns, *(pa.nulls(found.num_rows, k) for k in kinds)], names=[*_FOUND, *(f"p_{c}" for c in _HOT)])
 
     found_schema = "doc long, line long, f_doc long, f_line long, more int"
-    schema = found_schema + ", p_token int, p_doc long, p_place long, p_sketch_a long, p_sketch_b long, p_later boolean"
+    schema = found_schema + ", p_token int, p_doc long, p_place long, p_sketch_a long, p_sketch_b long, p_set long, p_later boolean"
     ordered = postings.repartition("key").sortWithinPartitions("key")
     out = storage.materialize(ordered.mapInArrow(lean(run), schema), "line-candidates")
     found = out.where("p_token IS NULL").select(*_FOUND)
@@ -333,7 +353,7 @@ def _candidates(postings: DataFrame, least: tuple[int, int], buckets: int, longe
     def task(job: pa.Table, own_low: np.ndarray) -> pa.RecordBatch | None:
         rows = np.zeros(job.num_rows, _POSTING)
         for c in _HOT:
-            rows[c] = job.column(c).combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64) if c.startswith("sketch") else job.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+            rows[c] = job.column(c).combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64) if c.startswith("s") else job.column(c).combine_chunks().to_numpy(zero_copy_only=False)
         side = None if job.column("low")[0].as_py() == job.column("high")[0].as_py() else own_low
         got = list(_list_candidates(rows, np.zeros(1, np.int64), least, most, side))
         return pa.Table.from_batches(got).combine_chunks().to_batches()[0] if got else None
@@ -427,6 +447,16 @@ def _firsts(docs: DataFrame, classes, buckets: int, copies: DataFrame, least: tu
     return late.groupBy(*row).agg(F.min("f").alias("f")).select(*row, F.col("f.f_doc").alias("first"))
 
 
+def _links(docs: DataFrame, classes, buckets: int, copies: DataFrame, least: tuple[int, int], longest: int) -> DataFrame:
+    """(doc, line, f_doc, f_line): every line that is the first of its set with every such line f before it whose set is similar."""
+    found = _candidates(_postings(docs, classes, least, buckets, longest), least, buckets, longest, None).drop("more").distinct()
+    # lists hold copies only if they are dealt out in blocks
+    found = found.join(copies.select("doc", "line"), ["doc", "line"], "left_anti")
+    found = found.join(copies.select(F.col("doc").alias("f_doc"), F.col("line").alias("f_line")), ["f_doc", "f_line"], "left_anti")
+    found = storage.materialize(found.select("doc", "line", "f_doc", "f_line"), "line-pairs")
+    return storage.materialize(_verified(docs, found, least), "line-links")
+
+
 def _reopened(docs: DataFrame, classes, buckets: int, rows: DataFrame, tokens: DataFrame, least: tuple[int, int], longest: int) -> DataFrame:
     """(doc, line, f_doc, f_line): all candidates before the lines ``rows`` in the lists of ``tokens``."""
     sc = docs.sparkSession.sparkContext
@@ -444,6 +474,14 @@ def removals(docs: DataFrame, least: tuple[int, int] = LEAST, longest: int = LIS
     rows with the same id have lines at the same places, none of which is later than the other.
     ``longest`` and ``most`` set how the work is dealt out, not its result.
     """
+    return _joined(docs, least, longest, most, False)[0]
+
+
+def _joined(docs: DataFrame, least: tuple[int, int], longest: int, most: int, every: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(``removals``, (doc, similar) of documents with links): with ``every`` all pairs of similar sets are found and counted, else None.
+
+    A link joins two different sets; ``similar`` counts those of all distinct sets of a document.
+    """
     spark = docs.sparkSession
     lines, counts = _scan(docs)
     classes = spark.sparkContext.broadcast(word_classes(counts))
@@ -456,56 +494,75 @@ def removals(docs: DataFrame, least: tuple[int, int] = LEAST, longest: int = LIS
     heavy = joins.heavy_keys(equal.select("digest", "n"), ["digest"], total)
     copies = joins.spread_join(lines, equal.select("digest", "head"), ["digest"], heavy).where(place > F.col("head"))
     copies = storage.materialize(copies.select("doc", "line", F.col("head.doc").alias("h_doc"), F.col("head.line").alias("h_line")), "equal-lines")
-    late = storage.materialize(_firsts(docs, classes, buckets, copies, least, longest, most), "late-lines")
+    links = _links(docs, classes, buckets, copies, least, longest) if every else None
+    if every:
+        late = links.groupBy("doc", "line").agg(F.min(F.struct("f_doc", "f_line")).alias("f")).select("doc", "line", F.col("f.f_doc").alias("first"))
+    else:
+        late = _firsts(docs, classes, buckets, copies, least, longest, most)
+    late = storage.materialize(late, "late-lines")
     # what is similar to the first of equal lines is similar to its copies
     heads = equal.select(F.col("head.doc").alias("h_doc"), F.col("head.line").alias("h_line")).distinct()
     heads = heads.join(late.select(F.col("doc").alias("h_doc"), F.col("line").alias("h_line"), "first"), ["h_doc", "h_line"], "left")
     heads = heads.select("h_doc", "h_line", F.coalesce("first", "h_doc").alias("first"))
     heavy = joins.heavy_keys(copies.groupBy("h_doc", "h_line").agg(F.count("*").alias("n")), ["h_doc", "h_line"], total)
-    copies = joins.spread_join(copies, heads, ["h_doc", "h_line"], heavy).select("doc", "line", F.least("h_doc", "first").alias("first"))
-    return late.union(copies).groupBy("doc", "line").agg(F.min("first").alias("first"))
-
-
-def dedup(docs: DataFrame, least: tuple[int, int] = LEAST, longest: int = LIST, most: int = EARLIEST) -> DataFrame:
+    gone = joins.spread_join(copies, heads, ["h_doc", "h_line"], heavy).select("doc", "line", F.least("h_doc", "first").alias("first"))
+    gone = late.union(gone).groupBy("doc", "line").agg(F.min("first").alias("first"))
+    if not every:
+        return gone, None
+    # a document has a set once, as its first holder or by a copy
+    ends = links.select("doc", "line").union(links.select("f_doc", "f_line"))
+    degree = storage.materialize(ends.groupBy(F.col("doc").alias("h_doc"), F.col("line").alias("h_line")).agg(F.count("*").alias("similar")), "linked-sets")
+    held = joins.spread_join(copies.select("doc", "h_doc", "h_line").distinct(), degree, ["h_doc", "h_line"], heavy).where("doc <> h_doc")
+    held = held.select("doc", "similar").union(degree.select("h_doc", "similar"))
+    return gone, held.groupBy("doc").agg(F.sum("similar").alias("similar"))
+
+
+def dedup(docs: DataFrame, least: tuple[int, int] = LEAST, longest: int = LIST, most: int = EARLIEST, every: bool = False) -> DataFrame:
     """``docs`` with their repeated lines removed from ``text``.
 
     Adds (n_lines, n_removed, n_links, class_id): lines with a word, those removed, the number of
     other documents that hold their earliest matches, and the smallest id among those documents, the
     row's own if there is none. A removed line goes with its line break. Rows with a null text or
     id are returned as they are, with n_lines 0 for a null text; columns of ``docs`` with one of
-    these four names are replaced.
+    these names are replaced. ``every`` adds n_similar: of all pairs of different word sets in the corpus
+    that are similar, those with a set of the document, each of its sets counted once.
     """
-    added = ("n_lines", "n_removed", "n_links", "class_id")
+    added = ("n_lines", "n_removed", "n_links", "class_id", *(("n_similar",) if every else ()))
     docs = docs.drop(*added)
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    gone = removals(rows, least, longest, most)
+    gone, linked_docs = _joined(rows, least, longest, most, every)
     columns = docs.columns
     key, found = fresh(columns, "doc", "found")
     first = F.col("first")
     own = F.struct(F.collect_list("line").alias("gone"), F.countDistinct(F.when(first != F.col("doc"), first)).alias("links"), F.min("first").alias("first"))
-    per = storage.materialize(gone.groupBy(F.col("doc").alias(key)).agg(own.alias(found)), "line-removals")
+    per = gone.groupBy("doc").agg(own.alias("own"))
+    if every:
+        per = per.join(linked_docs, "doc", "full")
+    similar = F.coalesce("similar", F.lit(0)) if every else F.lit(0)
+    per = per.select(F.col("doc").alias(key), F.struct("own.gone", "own.links", "own.first", similar.cast("long").alias("similar")).alias(found))
+    per = storage.materialize(per, "line-removals")
     touched, passed = bounded.split(docs, "doc_id", per.select(key))
     at = columns.index("text")
 
     def strip(batches, removed: bool = True) -> Iterator[pa.RecordBatch]:
         for b in text.blocks(batches, "text", BLOCK):
             texts, n_gone = b.column("text"), np.zeros(b.num_rows, np.int64)
-            links, smallest = pa.array(n_gone), b.column("doc_id").cast(pa.int64())
+            links, smallest, similar = pa.array(n_gone), b.column("doc_id").cast(pa.int64()), pa.array(n_gone)
             full = _full_lines(texts)
             if removed:
                 texts = texts.to_pylist()
-                gone_lines, linked, earliest = (pc.struct_field(b.column(found), n) for n in ("gone", "links", "first"))
+                gone_lines, linked, earliest, similar = (pc.struct_field(b.column(found), n) for n in ("gone", "links", "first", "similar"))
                 for k, gone_ in enumerate(gone_lines.to_pylist()):
                     if gone_ and texts[k] is not None:
                         drop = set(gone_)
                         texts[k] = "\n".join(p for n, p in enumerate(texts[k].split("\n")) if n not in drop)
                         n_gone[k] = len(drop)
                 texts = pa.array(texts, b.column("text").type)
-                links = pc.fill_null(linked, 0)
+                links, similar = pc.fill_null(linked, 0), pc.fill_null(similar, 0)
                 smallest = pc.min_element_wise(earliest, smallest, skip_nulls=True)
             arrays = [b.column(c) for c in columns]
             arrays[at] = texts
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(full), pa.array(n_gone), links, smallest], names=[*columns, *added])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(full), pa.array(n_gone), links, smallest, *([similar] if every else [])], names=[*columns, *added])
 
     schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in added)])
     both = touched.join(per, touched.doc_id == per[key], "left").select(*columns, found)
@@ -525,5 +582,5 @@ def _full_lines(texts: pa.Array) -> np.ndarray:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_removed", "n_links", "class_id", F.sha2("text", 256).alias("kept_sha256"))
+    out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), every=True)
+    return out.select("doc_id", "n_lines", "n_removed", "n_links", "class_id", "n_similar", F.sha2("text", 256).alias("kept_sha256"))
