@@ -6,7 +6,8 @@ itself under its rarest words only (prefix filter) with its size, its position a
 pairs that pass the length, positional and sketch filters, all of them bounds, are candidates. A line
 goes if a line before it, in document and line order, is similar, so of its candidates the earliest
 is verified on whole sets first, and later ones only if that one fails: pairs within a group of
-similar lines are never listed.
+similar lines are never listed. Where all links are wanted, they are counted where the whole sets of
+a list lie, each in the list of the pair's first common word.
 """
 
 from __future__ import annotations
@@ -232,12 +233,13 @@ _FOUND = ["doc", "line", "f_doc", "f_line", "more"]
 _HOT = ["token", "doc", "place", "sketch_a", "sketch_b", "set", "later"]
 
 
-def _list_candidates(rows: np.ndarray, begins: np.ndarray, least: tuple[int, int], most: int | None, side: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def _list_candidates(rows: np.ndarray, begins: np.ndarray, least: tuple[int, int], most: int | None, side: np.ndarray | None = None, places: bool = False) -> Iterator:
     """(doc, line, f_doc, f_line, more) of the candidates f before a row in whole lists, each beginning at one of ``begins``.
 
     Only a row's ``most`` earliest ones in a list are named, the last with the list's token in ``more``
     if there are others; if it is None, all those of rows marked ``later``. Of equal sets in a list only
-    the earliest counts. With ``side``, pairs of rows of one side are left out.
+    the earliest counts. With ``side``, pairs of rows of one side are left out. ``places`` gives, in place of
+    names, where in ``rows`` the earlier and the later row of each pair stand, for ``most`` None.
     """
     lists_ = np.zeros(len(rows), np.int64)
     lists_[begins] = 1
@@ -250,6 +252,7 @@ def _list_candidates(rows: np.ndarray, begins: np.ndarray, least: tuple[int, int
     order = np.argsort(lists_ * (_SIZE + 1) + n)
     lists_, token, doc, line, n, position, sa, sb, later = (x[order] for x in (lists_, token, doc, line, n, position, sa, sb, later > 0))
     side = None if side is None else side[order]
+    own = own[order]
     # rows by size: the larger sets that the length filter leaves follow a row at once
     width = _SIZE + 1
     upto = np.searchsorted(lists_ * width + n, lists_ * width + np.minimum(least[1] * n // least[0], _SIZE), "right")
@@ -285,6 +288,9 @@ def _list_candidates(rows: np.ndarray, begins: np.ndarray, least: tuple[int, int
         if most is None:
             distinct &= later[j]
         i, j = i[distinct], j[distinct]
+        if places:
+            yield own[i], own[j]
+            continue
         if most is None:
             yield from named(i, j, np.zeros(len(i), bool))
             continue
@@ -325,6 +331,15 @@ def _earliest(held: np.ndarray, doc: np.ndarray, line: np.ndarray, most: int) ->
     return held[:, order[nth < most]], nth[nth < most]
 
 
+def _unpacked(job: pa.Table) -> np.ndarray:
+    """Postings from a table of their fields."""
+    rows = np.zeros(job.num_rows, _POSTING)
+    for c in _HOT:
+        values = job.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        rows[c] = values.view(np.uint64) if c.startswith("s") else values
+    return rows
+
+
 def _candidates(postings: DataFrame, least: tuple[int, int], buckets: int, longest: int, most: int | None) -> DataFrame:
     """(doc, line, f_doc, f_line, more) of candidates as _list_candidates gives them.
 
@@ -351,9 +366,7 @@ def _candidates(postings: DataFrame, least: tuple[int, int], buckets: int, longe
         return found
 
     def task(job: pa.Table, own_low: np.ndarray) -> pa.RecordBatch | None:
-        rows = np.zeros(job.num_rows, _POSTING)
-        for c in _HOT:
-            rows[c] = job.column(c).combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64) if c.startswith("s") else job.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        rows = _unpacked(job)
         side = None if job.column("low")[0].as_py() == job.column("high")[0].as_py() else own_low
         got = list(_list_candidates(rows, np.zeros(1, np.int64), least, most, side))
         return pa.Table.from_batches(got).combine_chunks().to_batches()[0] if got else None
@@ -366,15 +379,18 @@ def _key(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return text.mix(doc.astype(np.int64).view(np.uint64)) + line.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, line, hashes) of the lines in ``wanted`` and perhaps others, by one scan behind a Bloom filter of fixed size."""
+def _line_sets(docs: DataFrame, wanted: DataFrame, classes=None) -> DataFrame:
+    """(doc, line, hashes) of the lines in ``wanted`` and perhaps others, by one scan behind a Bloom filter of fixed size.
+
+    With ``classes`` the hashes are in the global order, else ascending.
+    """
     keys = lambda b: _key(b.column("doc").to_numpy(zero_copy_only=False), b.column("line").to_numpy(zero_copy_only=False))
     table = docs.sparkSession.sparkContext.broadcast(bounded.bloom(wanted.select("doc", "line"), keys))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in text.blocks(batches, "text", BLOCK):
             doc = b.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
-            x = Lines(b.column("text"), None, lambda owner, number, doc=doc: bounded.passes(table.value, _key(doc[owner], number)))
+            x = Lines(b.column("text"), classes.value if classes is not None else None, lambda owner, number, doc=doc: bounded.passes(table.value, _key(doc[owner], number)))
             data = pa.py_buffer(np.ascontiguousarray(x.hashes))
             # cut by rows, so that no batch outgrows the offsets
             sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(x.size), [None, pa.py_buffer(x.first * 8), data]).cast(pa.binary()) if len(x.size) else pa.array([], pa.binary())
@@ -447,14 +463,154 @@ def _firsts(docs: DataFrame, classes, buckets: int, copies: DataFrame, least: tu
     return late.groupBy(*row).agg(F.min("f").alias("f")).select(*row, F.col("f.f_doc").alias("first"))
 
 
+def _by_lists(postings: DataFrame, buckets: int, longest: int, met, schema: str) -> DataFrame:
+    """What ``met`` (postings, begins of lists, side) makes of all lists, those of more than ``longest`` rows dealt out in pairs of blocks."""
+    kinds, names = [pa.int32(), *[pa.int64()] * 5, pa.bool_()], ["token", "doc", "line", "size"]
+    own_kinds = [pa.int32(), *[pa.int64()] * 3]
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for rows, begins, long in _lists(batches, buckets, longest):
+            if long:
+                hot = [pa.array(np.ascontiguousarray(rows[c]).astype(k.to_pandas_dtype())) for c, k in zip(_HOT, kinds)]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), k) for k in own_kinds), *hot], names=[*names, *(f"p_{c}" for c in _HOT)])
+                continue
+            found = met(rows, begins)
+            yield pa.RecordBatch.from_arrays([*found.columns, *(pa.nulls(found.num_rows, k) for k in kinds)], names=[*names, *(f"p_{c}" for c in _HOT)])
+
+    full = schema + ", p_token int, p_doc long, p_place long, p_sketch_a long, p_sketch_b long, p_set long, p_later boolean"
+    out = storage.materialize(postings.repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), full), "line-lists")
+    found = out.where("p_token IS NULL").select(*names)
+    hot = out.where("p_token IS NOT NULL").select(*(F.col(f"p_{c}").alias(c) for c in _HOT))
+    if hot.isEmpty():
+        return found
+
+    def task(job: pa.Table, own_low: np.ndarray) -> pa.RecordBatch | None:
+        rows = _unpacked(job)
+        return met(rows, np.zeros(1, np.int64), None if job.column("low")[0].as_py() == job.column("high")[0].as_py() else own_low)
+
+    jobs = joins.block_jobs(hot.withColumn("items", F.lit(1)), ["doc", "place"], "items", max(1, longest // 2))
+    return found.union(joins.run_jobs(jobs, task, schema))
+
+
+def _touched(postings: DataFrame, least: tuple[int, int], buckets: int, longest: int) -> DataFrame:
+    """(token, doc, line, size): every line that has a candidate, before or after it, in the list of a word; no pairs are named."""
+
+    def met(rows: np.ndarray, begins: np.ndarray, side: np.ndarray | None = None) -> pa.RecordBatch:
+        hit = np.zeros(len(rows), bool)
+        for i, j in _list_candidates(rows, begins, least, None, side, True):
+            hit[i] = hit[j] = True
+        rows = rows[hit]
+        arrays = [rows["token"], rows["doc"], rows["place"] >> 36, rows["place"] >> 8 & _SIZE]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in arrays], names=["token", "doc", "line", "size"])
+
+    return _by_lists(postings, buckets, longest, met, "token int, doc long, line long, size long")
+
+
+#: Rows of a list that one task looks at on whole sets, where the list is not a long one; words that are looked up at once.
+_SETS, _WORDS = 512, 1 << 20
+
+
 def _links(docs: DataFrame, classes, buckets: int, copies: DataFrame, least: tuple[int, int], longest: int) -> DataFrame:
-    """(doc, line, f_doc, f_line): every line that is the first of its set with every such line f before it whose set is similar."""
-    found = _candidates(_postings(docs, classes, least, buckets, longest), least, buckets, longest, None).drop("more").distinct()
+    """(doc, line, n, f_doc, f_line): of lines that are the first of their sets, the number of similar sets and the earliest similar line before.
+
+    Pairs are compared and counted where a list's whole sets lie, and never listed: a row counts once a list, by parts that are to be
+    added up. Two sets meet in the lists of several words; the pair counts in that of their first common word only, which
+    both have posted if they are similar.
+    """
+    row = ["doc", "line"]
+    met = _touched(_postings(docs, classes, least, buckets, longest), least, buckets, longest)
     # lists hold copies only if they are dealt out in blocks
-    found = found.join(copies.select("doc", "line"), ["doc", "line"], "left_anti")
-    found = found.join(copies.select(F.col("doc").alias("f_doc"), F.col("line").alias("f_line")), ["f_doc", "f_line"], "left_anti")
-    found = storage.materialize(found.select("doc", "line", "f_doc", "f_line"), "line-pairs")
-    return storage.materialize(_verified(docs, found, least), "line-links")
+    met = storage.materialize(met.distinct().join(copies.select(*row), row, "left_anti"), "met-lines")
+    block = F.when(F.col("rows") <= longest, min(_SETS, max(1, longest // 2))).otherwise(max(1, longest // 2))
+    jobs = joins.block_jobs(met, row, "size", block).drop("size")
+    rows = jobs.join(_line_sets(docs, met, classes), row).select("token", "low", "high", "own", *row, "hashes")
+    schema = "doc long, line long, n long, f_doc long, f_line long"
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in joins._with_end(batches):
+            if batch is not None:
+                table = pa.Table.from_batches([batch])
+                held = table if held is None else pa.concat_tables([held, table])
+                if held.num_rows < 1 << 12:
+                    continue
+            if held is None or not held.num_rows:
+                continue
+            held = held.combine_chunks()
+            new = _begins(held)
+            cut = held.num_rows if batch is None else int(new[-1])
+            if cut:
+                yield _counted(held.slice(0, cut).combine_chunks(), least)
+            held = held.slice(cut)
+
+    dealt = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+    parts = storage.materialize(dealt.mapInArrow(lean(run), schema), "line-links")
+    return parts.groupBy(*row).agg(F.sum("n").alias("n"), F.min(F.when(F.col("f_doc").isNotNull(), F.struct("f_doc", "f_line"))).alias("f")).select(*row, "n", "f.f_doc", "f.f_line")
+
+
+def _begins(jobs: pa.Table) -> np.ndarray:
+    ids = np.stack([jobs.column(c).to_numpy().astype(np.int64) for c in ("token", "low", "high")])
+    return np.flatnonzero(np.concatenate([[True], (ids[:, 1:] != ids[:, :-1]).any(0)]))
+
+
+def _counted(jobs: pa.Table, least: tuple[int, int]) -> pa.RecordBatch:
+    """(doc, line, n, f_doc, f_line) of the rows of whole jobs, as :func:`_links` counts them."""
+    token, doc, line, own, low, high = (jobs.column(c).to_numpy() for c in ("token", "doc", "line", "own", "low", "high"))
+    sets = [x for chunk in jobs.column("hashes").chunks for x in joins.sets_of(chunk)]
+    size = np.array([len(x) for x in sets], np.int64)
+    first, flat = np.concatenate([[0], np.cumsum(size)]), np.concatenate(sets)
+    owner = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(flat)) - first[owner]
+    # a list's word by its upper half: of two such words the first stands for both
+    position = np.full(len(size), 255, np.int64)
+    hit = np.flatnonzero((flat >> np.uint64(32)).astype(np.uint32).view(np.int32) == token[owner])[::-1]
+    position[owner[hit]] = place[hit]
+    rows = np.zeros(len(size), _POSTING)
+    rows["token"], rows["doc"], rows["set"], rows["later"] = token, doc, np.arange(len(size)), 1
+    rows["place"] = line.astype(np.int64) << 36 | np.minimum(size, _SIZE) << 8 | np.minimum(position, 255)
+    bit, half = np.uint64(1) << (flat & np.uint64(63)), flat >> np.uint64(6) & np.uint64(1)
+    for k, name in enumerate(("sketch_a", "sketch_b")):
+        rows[name] = np.bitwise_xor.reduceat(np.where(half == k, bit, np.uint64(0)), first[:-1])
+    # pairs within one side of two blocks are left to other jobs
+    side = np.where(low == high, np.arange(len(size)) + 2, own == low)
+    # every word has a number, every (row, word) a key
+    number = np.unique(flat, return_inverse=True)[1].astype(np.int64)
+    width = int(number.max()) + 1
+    keys = np.sort(owner * width + number)
+
+    def shared(i: np.ndarray, j: np.ndarray, upto: np.ndarray) -> np.ndarray:
+        """Of the first ``upto`` words of rows i how many rows j have."""
+        pair = np.repeat(np.arange(len(i)), upto)
+        at = np.arange(len(pair)) - np.repeat(np.cumsum(upto) - upto, upto) + first[i][pair]
+        key = j[pair] * width + number[at]
+        found = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
+        return np.bincount(pair[found], minlength=len(i))
+
+    order = np.lexsort((line, doc))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    n, earliest = np.zeros(len(size), np.int64), np.full(len(size), len(size))
+    word = token.astype(np.int32)
+    upper = (flat >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    for all_i, all_j in _list_candidates(rows, _begins(jobs), least, None, side, True):
+        cost = np.cumsum(size[all_i]) // _WORDS
+        for part in np.split(np.arange(len(all_i)), np.flatnonzero(cost[1:] != cost[:-1]) + 1):
+            i, j = all_i[part], all_j[part]
+            # the list's word is the first that both have, by the order of words
+            new = shared(i, j, np.where(position[i] < 255, position[i], 0)) == 0
+            i, j = i[new], j[new]
+            c = shared(i, j, size[i])
+            good = joins.alike(c, size[i], size[j], least)
+            for k in np.flatnonzero(good & (position[i] >= 255)):  # words before such a place were not looked up
+                common = np.flatnonzero(np.isin(sets[i[k]], sets[j[k]]))
+                good[k] = upper[first[i[k]] + common[0]] == word[i[k]]
+            i, j = i[good], j[good]
+            n += np.bincount(i, minlength=len(n)) + np.bincount(j, minlength=len(n))
+            np.minimum.at(earliest, j, rank[i])
+    some = np.flatnonzero(n)
+    f = order[np.minimum(earliest[some], len(size) - 1)]
+    none = earliest[some] == len(size)
+    return pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(line[some]), pa.array(n[some]), pa.array(doc[f], mask=none), pa.array(line[f], mask=none)], names=["doc", "line", "n", "f_doc", "f_line"])
 
 
 def _reopened(docs: DataFrame, classes, buckets: int, rows: DataFrame, tokens: DataFrame, least: tuple[int, int], longest: int) -> DataFrame:
@@ -496,7 +652,8 @@ def _joined(docs: DataFrame, least: tuple[int, int], longest: int, most: int, ev
     copies = storage.materialize(copies.select("doc", "line", F.col("head.doc").alias("h_doc"), F.col("head.line").alias("h_line")), "equal-lines")
     links = _links(docs, classes, buckets, copies, least, longest) if every else None
     if every:
-        late = links.groupBy("doc", "line").agg(F.min(F.struct("f_doc", "f_line")).alias("f")).select("doc", "line", F.col("f.f_doc").alias("first"))
+        links = storage.materialize(links, "linked-sets")
+        late = links.where("f_doc IS NOT NULL").select("doc", "line", F.col("f_doc").alias("first"))
     else:
         late = _firsts(docs, classes, buckets, copies, least, longest, most)
     late = storage.materialize(late, "late-lines")
@@ -510,8 +667,7 @@ def _joined(docs: DataFrame, least: tuple[int, int], longest: int, most: int, ev
     if not every:
         return gone, None
     # a document has a set once, as its first holder or by a copy
-    ends = links.select("doc", "line").union(links.select("f_doc", "f_line"))
-    degree = storage.materialize(ends.groupBy(F.col("doc").alias("h_doc"), F.col("line").alias("h_line")).agg(F.count("*").alias("similar")), "linked-sets")
+    degree = links.select(F.col("doc").alias("h_doc"), F.col("line").alias("h_line"), F.col("n").alias("similar"))
     held = joins.spread_join(copies.select("doc", "h_doc", "h_line").distinct(), degree, ["h_doc", "h_line"], heavy).where("doc <> h_doc")
     held = held.select("doc", "similar").union(degree.select("h_doc", "similar"))
     return gone, held.groupBy("doc").agg(F.sum("similar").alias("similar"))
