@@ -53,7 +53,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID)
             ids = np.insert(ids.astype("<u4"), first[1:], end_id)
             yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), binary(ids, first + np.arange(len(first)))], names=["doc_id", "ids"])
 
-    return storage.materialize(docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, ids binary"), "token-ids")
+    return storage.materialize(docs.select("doc_id", "text").mapInArrow(lean(run, "encoders"), "doc_id long, ids binary"), "token-ids")
 
 
 def binary(ids: np.ndarray, first: np.ndarray) -> pa.Array:

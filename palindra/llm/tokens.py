@@ -11,13 +11,14 @@ import numpy as np
 import pyarrow as pa
 
 from . import text
+from .memory import kept
 
 KEEP = 1_000_000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _SIGN = np.zeros(256, bool)
 _SIGN[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = True
-_ENCODERS: dict = {}
+_ENCODERS = kept("encoders")
 
 
 class Encoder:
