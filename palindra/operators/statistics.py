@@ -2,28 +2,50 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import lineage
+
 UP, DOWN = W.unboundedPreceding, W.unboundedFollowing
 
 
 #: Ranges at most, and sampled rows a range.
 _MOST_RANGES, _SAMPLED = 256, 32
+#: Bins of the first column, and how many times its share the largest range of bins may hold.
+_BINS, _UNEVEN = 4096, 4
 
 
-def _ranges(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Rows with the number ``_part`` of their range of a total order, dealt by it.
+def _ranges(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """(rows with the number ``_part`` of their range of a total order, partitions to deal the ranges to).
 
     The ranges begin at rows of a sample by hash, of a bounded size, that is taken once: every branch of a plan, and every retry,
-    sees the same ranges.
+    sees the same ranges. Where bins of equal width of the first column share the rows out evenly, a range is some bins and named by one
+    look into a table: a tree of all comparisons is more code than the JVM compiles.
     """
     n = min(_MOST_RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = rows.select(*order)
     one_in = max(1, keys.count() // (n * _SAMPLED))
     sample = keys.where(F.pmod(F.xxhash64(*order), F.lit(one_in)) == 0).distinct().orderBy(*order).limit(4 * n * _SAMPLED).collect()
     begins = [sample[len(sample) * k // n] for k in range(1, n)] if len(sample) >= n else sample[1:]
+    values = [r[0] for r in sample]
+    if begins and rows.schema[order[0]].dataType.simpleString() == "double" and all(v is not None and math.isfinite(v) for v in values):
+        low, scale = values[0], (_BINS - 1) / (values[-1] - values[0] or 1.0)
+        bins = [int(min(max((v - low) * scale, 0.0), _BINS - 1)) for v in values]
+        # a bin is dealt whole: every n-th part of the sample goes on to the next range with the next bin
+        share = Counter(bins)
+        before, ranges = 0, []
+        for k in range(_BINS):
+            ranges.append(before * n // len(bins))
+            before += share[k]
+        if max(Counter(ranges[k] for k in bins).values()) * n <= _UNEVEN * len(bins):
+            # of all values, null counts as the least and NaN as the greatest, as in the order
+            at = F.least(F.greatest((F.col(order[0]) - low) * scale, F.lit(0.0)), F.lit(_BINS - 1.0)).cast("int")
+            return rows.withColumn("_part", F.split(F.lit(",".join(map(str, ranges))), ",").cast("array<int>")[at]), n
     key = F.struct(*order)
 
     def tree(low: int, high: int) -> Column:
@@ -34,7 +56,7 @@ def _ranges(rows: DataFrame, order: list[str]) -> DataFrame:
         begin = F.struct(*(F.lit(begins[mid - 1][c]).cast(rows.schema[c].dataType).alias(c) for c in order))
         return F.when(key >= begin, tree(mid, high)).otherwise(tree(low, mid))
 
-    return rows.withColumn("_part", tree(0, len(begins) + 1)).repartition(n, "_part")
+    return rows.withColumn("_part", tree(0, len(begins) + 1)), n
 
 
 def _with_totals(part: DataFrame, totals: DataFrame) -> DataFrame:
@@ -45,25 +67,25 @@ def q_values(rows: DataFrame, target: str, decoy: str, tie: list[str]) -> DataFr
     """Adds (p, is_target, fdr, q): ties of target and decoy count as decoys.
 
     Rows are ordered by the smaller p, then by ``tie``; fdr is (1 + decoys) / max(targets, 1) so far
-    and q its smallest value from the row on. The order is dealt into ranges: counts and minima run
-    inside a range, and one row a range carries what lies before and after it.
+    and q its smallest value from the row on. The order is dealt into ranges: a range is sorted once, from its end, and counts and
+    minima run inside it; one row a range carries what lies before and after it.
     """
     order = ["p", *tie]
     scored = rows.withColumn("p", F.least(target, decoy)).withColumn("is_target", F.col(target) < F.col(decoy))
-    part = _ranges(scored, order)
-    inside = W.partitionBy("_part").orderBy(*order)
-    # a frame that grows from the end is a running frame of the reverse order
+    named, n = _ranges(scored, order)
     back = W.partitionBy("_part").orderBy(*(F.desc(c) for c in order)).rowsBetween(UP, 0)
-    hits, misses = F.col("is_target").cast("long"), (~F.col("is_target")).cast("long")
-    part = part.withColumns({"_t": F.sum(hits).over(inside.rowsBetween(UP, 0)), "_d": F.sum(misses).over(inside.rowsBetween(UP, 0))})
-    before = W.orderBy("_part").rowsBetween(UP, -1)
-    earlier = part.groupBy("_part").agg(F.max("_t").alias("t"), F.max("_d").alias("d"))
-    earlier = earlier.select("_part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}0") for c in "td"))
-    part = _with_totals(part, earlier).withColumn("fdr", (1 + F.col("_d") + F.col("_d0")) / F.greatest(F.col("_t") + F.col("_t0"), F.lit(1)))
+    hit, miss = (F.when(F.col("is_target"), a).otherwise(1 - a).cast("long") for a in (1, 0))
+    # what lies before a range's end: its rows are counted from there
+    upto = W.orderBy("_part").rowsBetween(UP, 0)
+    ends = named.groupBy("_part").agg(F.sum(hit).alias("t"), F.sum(miss).alias("d"))
+    ends = ends.select("_part", *(F.sum(c).over(upto).alias(f"_{c}1") for c in "td"))
+    part = named.repartition(n, "_part").withColumns({"_t": F.sum(hit).over(back), "_d": F.sum(miss).over(back)})
+    targets, decoys = F.col("_t1") - F.col("_t") + hit, F.col("_d1") - F.col("_d") + miss
+    part = _with_totals(part, ends).withColumn("fdr", (1 + decoys) / F.greatest(targets, F.lit(1)))
+    part = lineage.once(part.withColumn("q", F.min("fdr").over(back)).select(*scored.columns, "fdr", "q", "_part"))
     after = W.orderBy("_part").rowsBetween(1, DOWN)
     later = part.groupBy("_part").agg(F.min("fdr").alias("m")).select("_part", F.min("m").over(after).alias("_m"))
-    part = _with_totals(part.withColumn("q", F.min("fdr").over(back)), later)
-    return part.select(*scored.columns, "fdr", F.least("q", "_m").alias("q"))
+    return _with_totals(part, later).select(*scored.columns, "fdr", F.least("q", "_m").alias("q"))
 
 
 def accepted(rows: DataFrame, least: float = 0.02) -> DataFrame:
