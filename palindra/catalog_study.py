@@ -321,7 +321,7 @@ def mapped_proteins(spark, sf_dir):
 )
 def residue_depth(spark, sf_dir):
     """Runs of residues with equally many peptides over them; SQL counts every residue."""
-    return mapping.depth(mapping.locate(peptides(spark, sf_dir), proteins(spark, sf_dir)))
+    return mapping.peptide_depth(peptides(spark, sf_dir), proteins(spark, sf_dir))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +43,13 @@ def _code(short: Column) -> Column:
 
 
 def _bits(wanted: DataFrame, mark: Column) -> tuple[dict[int, np.ndarray], int]:
-    slot = mark + 1
-    rows = wanted.select(F.length("seed").alias("size"), F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"), F.length("sequence").alias("most"))
+    return _bitmaps(wanted.select(F.length("seed").alias("size"), mark.alias("mark"), F.length("sequence").alias("most")))
+
+
+def _bitmaps(rows: DataFrame) -> tuple[dict[int, np.ndarray], int]:
+    """(by size, which of ``SLOTS`` marks rows (size, mark, most) have; the greatest ``most``)."""
+    slot = F.col("mark") + 1
+    rows = rows.select("size", F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"), "most")
     found = rows.groupBy("size", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"), F.max("most").alias("most")).collect()
     out: dict[int, np.ndarray] = {}
     for r in found:
@@ -53,8 +58,8 @@ def _bits(wanted: DataFrame, mark: Column) -> tuple[dict[int, np.ndarray], int]:
     return out, max((r.most for r in found), default=0)
 
 
-def _blocks(batches) -> Iterator[tuple[pa.Array, list[str]]]:
-    """(ids, texts) of proteins that are looked at together."""
+def _blocks(batches) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """(rows, texts) of proteins that are looked at together."""
     for b in batches:
         texts = b.column("seq").to_pylist()
         low = 0
@@ -63,42 +68,49 @@ def _blocks(batches) -> Iterator[tuple[pa.Array, list[str]]]:
             while high < len(texts) and (high == low or letters + len(texts[high]) <= _LETTERS):
                 letters += len(texts[high])
                 high += 1
-            yield b.column("protein_id").slice(low, high - low), texts[low:high]
+            yield b.slice(low, high - low), texts[low:high]
             low = high
 
 
+def _marked(texts: list[str], wanted: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(letters, places in the joined texts, numbers of their texts, marks) of wanted peptides that have a mark each, by their length."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64) - ord("A")
+    known = (codes >= 0) & (codes < 26)
+    ends = np.cumsum([len(t) for t in texts])
+    for size, marked in wanted.items():
+        n = len(codes) - size + 1
+        if n <= 0:
+            continue
+        code, good = np.zeros(n, np.int64), np.ones(n, bool)
+        for j in range(size):
+            code = code * 26 + codes[j : j + n]
+            good &= known[j : j + n]
+        at = np.flatnonzero(good)
+        at = at[marked[code[at]]]
+        owner = np.searchsorted(ends, at, "right")
+        inside = at + size <= ends[owner]
+        at, owner = at[inside], owner[inside]
+        yield size, at, owner, code[at]
+
+
 def marked_places(proteins: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
     """(sequence, protein_id, start, end) of the places of short peptides that have a mark each (:func:`_code`): a scan without a shuffle."""
     shared = proteins.sparkSession.sparkContext.broadcast(wanted)  # a fixed number of bits
 
     def found(ids: pa.Array, texts: list[str]) -> Iterator[pa.RecordBatch]:
-        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64) - ord("A")
-        known = (codes >= 0) & (codes < 26)
         sizes = np.array([len(t) for t in texts], np.int64)
-        ends = np.cumsum(sizes)
-        for size, marked in shared.value.items():
-            n = len(codes) - size + 1
-            if n <= 0:
-                continue
-            code, good = np.zeros(n, np.int64), np.ones(n, bool)
-            for j in range(size):
-                code = code * 26 + codes[j : j + n]
-                good &= known[j : j + n]
-            at = np.flatnonzero(good)
-            at = at[marked[code[at]]]
-            owner = np.searchsorted(ends, at, "right")
-            inside = at + size <= ends[owner]
-            at, owner = at[inside], owner[inside]
-            each, which = np.unique(code[at], return_inverse=True)
+        begins = np.cumsum(sizes) - sizes
+        for size, at, owner, code in _marked(texts, shared.value):
+            each, which = np.unique(code, return_inverse=True)
             names = pa.array(["".join(chr(ord("A") + int(c) // 26**j % 26) for j in range(size - 1, -1, -1)) for c in each], pa.string())
-            start = (at - (ends - sizes)[owner]).astype(np.int32)
+            start = (at - begins[owner]).astype(np.int32)
             for low in range(0, len(at), 1 << 16):
                 part = slice(low, low + (1 << 16))
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(which[part])), ids.take(pa.array(owner[part])), pa.array(start[part]), pa.array(start[part] + np.int32(size))], names=["sequence", "protein_id", "start", "end"])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _blocks(batches):
-            yield from found(ids, texts)
+        for rows, texts in _blocks(batches):
+            yield from found(rows.column("protein_id"), texts)
 
     kind = proteins.schema["protein_id"].dataType.simpleString()
     return proteins.select("protein_id", "seq").where("seq <> ''").mapInArrow(run, f"sequence string, protein_id {kind}, start int, end int")
@@ -133,8 +145,8 @@ def seeded(proteins: DataFrame, wanted: dict[int, np.ndarray], ahead: int, k: in
         return pa.RecordBatch.from_arrays([ids.take(pa.array(owner[at])), pa.array((at - (ends - sizes)[owner[at]]).astype(np.int32)), pa.array(seeds, pa.string()), pa.array(whole, pa.string())], names=["protein_id", "pos", "seed", "ahead"])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _blocks(batches):
-            yield found(ids, texts)
+        for rows, texts in _blocks(batches):
+            yield found(rows.column("protein_id"), texts)
 
     kind = proteins.schema["protein_id"].dataType.simpleString()
     return proteins.select("protein_id", "seq").where("seq <> ''").mapInArrow(run, f"protein_id {kind}, pos int, seed string, ahead string")
@@ -150,14 +162,22 @@ def locate(peptides: DataFrame, proteins: DataFrame, k: int = SEED, salts: int |
 
     Peptides of up to ``EXACT`` letters A to Z, which have most places, come out of a scan of their own and are not shuffled.
     """
+    exact, found = _searched(peptides, proteins, k, salts)
+    places = marked_places(proteins, exact)
+    if found is None:
+        return places
+    return places.union(found) if exact else found
+
+
+def _searched(peptides: DataFrame, proteins: DataFrame, k: int = SEED, salts: int | None = None) -> tuple[dict[int, np.ndarray], DataFrame | None]:
+    """(marks of the peptides that have one each, by length; the places of all others, None if there are none)."""
     asked = peptides.select("sequence").where("sequence <> ''").distinct()
     short = F.col("sequence").rlike(f"\\A[A-Z]{{1,{EXACT}}}\\z")
     exact = _bits(asked.where(short).withColumn("seed", F.col("sequence")), _code(F.col("seed")))[0]
     wanted = asked.where(~short).withColumn("seed", F.substring("sequence", 1, k))
     marked, most = marks(wanted)
-    places = marked_places(proteins, exact)
     if not marked:
-        return places
+        return exact, None
     salts = salts or max(8, int(proteins.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
     hits = seeded(proteins, marked, min(most, AHEAD), k)
     salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -169,8 +189,7 @@ def locate(peptides: DataFrame, proteins: DataFrame, k: int = SEED, salts: int |
         checked = found.where(long).join(proteins.select("protein_id", "seq"), "protein_id")
         checked = checked.where(F.substr("seq", F.col("pos") + 1, F.length("sequence")) == F.col("sequence")).select("sequence", "protein_id", "pos")
         found = found.where(~long).union(checked)
-    found = found.select("sequence", "protein_id", F.col("pos").alias("start"), (F.col("pos") + F.length("sequence")).alias("end"))
-    return places.union(found) if exact else found
+    return exact, found.select("sequence", "protein_id", F.col("pos").alias("start"), (F.col("pos") + F.length("sequence")).alias("end"))
 
 
 def with_decoys(proteins: DataFrame) -> DataFrame:
@@ -191,6 +210,127 @@ def pair_tag(a, b):
     return F.when((a == "NoMatch") | (b == "NoMatch"), "NoMatch").when((a == "T") & (b == "T"), "T").when((a == "D") & (b == "D"), "D").otherwise("TD")
 
 
+def _alone(proteins: DataFrame, exact: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """Of peptides that have a mark each, by length, those that stand in one protein only: a table of fixed size a task, no row a place."""
+    shared = proteins.sparkSession.sparkContext.broadcast(exact)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        seen = {size: np.zeros(SLOTS, np.int64) for size in shared.value}
+        for _, texts in _blocks(batches):
+            for size, _, owner, code in _marked(texts, shared.value):
+                seen[size] = np.minimum(seen[size] + np.bincount(np.unique(owner * SLOTS + code) % SLOTS, minlength=SLOTS), 2)
+        for size, n in seen.items():
+            mark = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mark), size, np.int32)), pa.array(mark), pa.array(n[mark])], names=["size", "mark", "n"])
+
+    rows = proteins.select("seq").where("seq <> ''").mapInArrow(run, "size int, mark long, n long")
+    one = rows.groupBy("size", "mark").agg(F.sum("n").alias("n")).where("n = 1")
+    return _bitmaps(one.select("size", "mark", F.lit(0).alias("most")))[0]
+
+
+def _swept(proteins: DataFrame, own: DataFrame | None, make: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``make`` gives for blocks of rows (protein_id, seq, ...) with the columns of ``own``, a row a protein, null where it has none.
+
+    Only proteins that are in ``own`` are shuffled to it, and those few that bear the mark of one; the others pass in the scan.
+    """
+    rows = proteins.select("protein_id", "seq").where("seq <> '' AND protein_id IS NOT NULL")
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for block, texts in _blocks(batches):
+            yield make(block, texts)
+
+    if own is None:
+        return rows.mapInArrow(run, schema)
+    own = once(own)
+    slot = F.pmod(F.xxhash64("protein_id"), F.lit(SLOTS))
+    marked = _bitmaps(own.select(F.lit(0).alias("size"), slot.alias("mark"), F.lit(0).alias("most")))[0].get(0, np.zeros(SLOTS, bool))
+    shared = rows.sparkSession.sparkContext.broadcast(marked)  # a fixed number of bits
+
+    def part(wanted: bool, batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(shared.value[b.column("_slot").to_numpy()] == wanted)).drop_columns(["_slot"])
+
+    named = rows.withColumn("_slot", slot)
+    touched = named.mapInArrow(lambda batches: part(True, batches), rows.schema).join(own, "protein_id", "left")
+    return touched.mapInArrow(run, schema).union(named.mapInArrow(lambda batches: run(part(False, batches)), schema))
+
+
+def _depths(block: pa.RecordBatch, texts: list[str], places: Iterator[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(how many places cover each letter of the joined texts, lengths of the texts), of short ``places`` and the lists ``spans`` of the rows."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    step = np.zeros(sizes.sum() + 1, np.int64)
+    for size, at in places:
+        step += np.bincount(at, minlength=len(step)) - np.bincount(at + size, minlength=len(step))
+    if "spans" in block.schema.names:
+        spans = block.column("spans")
+        begin = np.repeat(np.cumsum(sizes) - sizes, spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        flat = spans.flatten()
+        low, high = (begin + flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end"))
+        step += np.bincount(low, minlength=len(step)) - np.bincount(high, minlength=len(step))
+    return np.cumsum(step)[:-1], sizes
+
+
+def _repeated_ids(proteins: DataFrame) -> bool:
+    return not proteins.groupBy("protein_id").count().where("count > 1").isEmpty()
+
+
+def peptide_coverage(peptides: DataFrame, proteins: DataFrame) -> DataFrame:
+    """:func:`coverage` of all places of ``peptides``, counted where a protein lies: places of short peptides have no row."""
+    if _repeated_ids(proteins):
+        return coverage(locate(peptides, proteins), proteins)  # its places lie in several rows
+    exact, found = _searched(peptides, proteins)
+    shared = proteins.sparkSession.sparkContext.broadcast((exact, _alone(proteins, exact)))
+    own = None
+    if found is not None:
+        found = once(found.where("protein_id IS NOT NULL"))
+        per = found.groupBy("sequence").agg((F.min("protein_id") == F.max("protein_id")).alias("alone"))
+        each = found.groupBy("sequence", "protein_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).join(per, "sequence")
+        own = each.groupBy("protein_id").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.sum(F.col("alone").cast("long")).alias("alone"), F.count("*").alias("all"))
+
+    def make(block: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        exact, alone = shared.value
+        sums = {c: block.column(c).fill_null(0).to_numpy(zero_copy_only=False).copy() if c in block.schema.names else np.zeros(len(texts), np.int64) for c in ("alone", "all")}
+        places = []
+        for size, at, owner, code in _marked(texts, exact):
+            pairs = np.unique(owner * SLOTS + code)
+            sums["all"] += np.bincount(pairs // SLOTS, minlength=len(texts))
+            if size in alone:
+                sums["alone"] += np.bincount(pairs // SLOTS, alone[size][pairs % SLOTS], len(texts)).astype(np.int64)
+            places.append((size, at))
+        depth, sizes = _depths(block, texts, places)
+        covered = np.add.reduceat((depth > 0).astype(np.int64), np.cumsum(sizes) - sizes)
+        out = pa.RecordBatch.from_arrays([block.column("protein_id"), *map(pa.array, (covered, sizes, sums["alone"], sums["all"]))], names=["protein_id", "covered", "total", "n_unique", "n_total"])
+        return out.filter(pa.array(sums["all"] > 0))
+
+    kind = proteins.schema["protein_id"].dataType.simpleString()
+    out = _swept(proteins, own, make, f"protein_id {kind}, covered long, total long, n_unique long, n_total long")
+    return out.select("protein_id", "covered", "total", F.round(F.col("covered") / F.col("total"), 6).alias("rate"), "n_unique", (F.col("n_total") - F.col("n_unique")).alias("n_nonunique"), "n_total")
+
+
+def peptide_depth(peptides: DataFrame, proteins: DataFrame) -> DataFrame:
+    """:func:`depth` of all places of ``peptides``, counted where a protein lies: places of short peptides have no row."""
+    if _repeated_ids(proteins) or not proteins.where("protein_id IS NULL").isEmpty():
+        return depth(locate(peptides, proteins))
+    exact, found = _searched(peptides, proteins)
+    shared = proteins.sparkSession.sparkContext.broadcast(exact)
+    own = None if found is None else found.groupBy("protein_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+    def make(block: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        deep, sizes = _depths(block, texts, ((size, at) for size, at, _, _ in _marked(texts, shared.value)))
+        begins = np.cumsum(sizes) - sizes
+        new = np.concatenate([[True], deep[1:] != deep[:-1]])
+        new[begins] = True
+        start = np.flatnonzero(new)
+        end = np.append(start[1:], len(deep))
+        start, end = start[deep[start] > 0], end[deep[start] > 0]
+        owner = np.searchsorted(begins, start, "right") - 1
+        columns = [block.column("protein_id").take(pa.array(owner)), pa.array((start - begins[owner]).astype(np.int32)), pa.array((end - begins[owner]).astype(np.int32)), pa.array(deep[start])]
+        return pa.RecordBatch.from_arrays(columns, names=["protein_id", "start", "end", "depth"])
+
+    kind = proteins.schema["protein_id"].dataType.simpleString()
+    return _swept(proteins, own, make, f"protein_id {kind}, start int, end int, depth long")
+
+
 def coverage(locations: DataFrame, proteins: DataFrame) -> DataFrame:
     """(protein_id, covered, total, rate, n_unique, n_nonunique, n_total) of proteins with a location.
 
